@@ -1,0 +1,45 @@
+"""DuckDB SQL that gives the rows of the queries by other means."""
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["op3_url_filter"] = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rhost, rpath, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+hit AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM (SELECT DISTINCT page_id, host, path FROM p) q, rules
+  WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, hit.rule, coalesce(hit.verdict, 'allow') AS verdict FROM p LEFT JOIN hit USING (page_id)
+"""
+
+ORACLES["op10_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (
+  SELECT r, i, array_to_string(ws[i:i+7], ' ') AS v FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+again AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, v) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM again) GROUP BY r),
+l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+l AS (SELECT r, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS n FROM l0),
+bad AS (
+  SELECT r, line, n,
+    (n >= 20 AND length(regexp_replace(line, '[^#*$%&|<>{}\[\]~^=_]+', '', 'g')) > 0.15 * n)
+    OR regexp_matches(line, '^[^|>»•·\n]{0,40}(?:[|>»•·][^|>»•·\n]{0,40}){2,}$')
+    OR regexp_matches(lower(line), '^\s*(?:https?://|www\.)\S+\s*$')
+    OR (n <= 120 AND regexp_matches(lower(line), 'all rights reserved|accept cookies|cookie policy|privacy policy|terms of service|terms of use|subscribe to our newsletter|sign up for our newsletter|click here|log in|sign in|skip to content|follow us on|share this|read more|back to top|powered by|lorem ipsum|javascript is disabled')) AS b
+  FROM l WHERE n > 0),
+ls AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (b) AS n_bad_lines,
+         coalesce(sum(n) FILTER (b), 0)::BIGINT AS lost_chars FROM bad GROUP BY r),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_bad_lines, 0)::BIGINT AS n_bad_lines, coalesce(lost_chars, 0)::BIGINT AS lost_chars
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN ls USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM m
+"""
