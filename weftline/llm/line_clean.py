@@ -31,19 +31,26 @@ MAX_SYMBOLS, MAX_LOST, BOILERPLATE_CHARS = 0.15, 0.5, 120
 SYMBOLS = "#*$%&|<>"
 
 
-def _count(c: Column, keep: str) -> Column:
-    """Characters of ``c`` that the class ``keep`` holds."""
-    return F.length(F.regexp_replace(c, f"[^{keep}]+", ""))
+def _bare(c: Column, *chars: str) -> Column:
+    for x in chars:
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return c
 
 
-def bad_line(line: Column) -> Column:
-    """Whether a line fails the punctuation, navigation or boilerplate rule; a line without words never does."""
-    low = F.lower(line)
-    n = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
-    punctuation = (n >= 20) & (_count(line, r"#*$%&|<>{}\\[\\]~^=_") > MAX_SYMBOLS * n)
-    navigation = F.regexp_like(line, F.lit(r"^[^|>»•·\n]{0,40}(?:[|>»•·][^|>»•·\n]{0,40}){2,}$")) | F.regexp_like(low, F.lit(r"^\s*(?:https?://|www\.)\S+\s*$"))
-    boilerplate = (n <= BOILERPLATE_CHARS) & F.regexp_like(low, F.lit("|".join(BOILERPLATE)))
-    return (n > 0) & (punctuation | navigation | boilerplate)
+def measured_line(line: Column) -> Column:
+    """A line with the number of its characters in words."""
+    return F.struct(line.alias("line"), F.length(_bare(spaced(line), " ")).alias("n"))
+
+
+def bad_line(x: Column) -> Column:
+    """Whether a measured line fails the punctuation, navigation or boilerplate rule; a line without words never does."""
+    line, n = x["line"], x["n"]
+    punctuation = (n >= 20) & (F.length(line) - F.length(_bare(line, *SYMBOLS)) > MAX_SYMBOLS * n)
+    parted = F.contains(line, F.lit("|")) | F.contains(line, F.lit("»")) | F.contains(line, F.lit("•")) | F.contains(line, F.lit("·")) | F.contains(line, F.lit(">"))
+    navigation = parted & F.regexp_like(line, F.lit(r"^[^|>»•·\n]{0,40}(?:[|>»•·][^|>»•·\n]{0,40}){2,}$"))
+    link = (F.contains(line, F.lit("://")) | F.contains(line, F.lit("www."))) & F.regexp_like(line, F.lit(r"^\s*(?:https?://|www\.)\S+\s*$"))
+    boilerplate = (n <= BOILERPLATE_CHARS) & F.regexp_like(F.lower(line), F.lit("|".join(BOILERPLATE)))
+    return (n > 0) & (punctuation | navigation | link | boilerplate)
 
 
 def _ahead(c: Column, by: int) -> Column:
@@ -60,14 +67,12 @@ def _measured(docs: DataFrame, text: Column) -> DataFrame:
     none = F.array().cast("array<bigint>")
     out = docs.withColumns({"__spaced": spaced(text), "__lines": F.split(F.coalesce(text, F.lit("")), "\n", -1)})
     out = out.withColumn("__words", F.array_remove(F.split("__spaced", " ", -1), ""))
-    bare = F.coalesce(text, F.lit(""))
-    for x in SYMBOLS:
-        bare = F.replace(bare, F.lit(x), F.lit(""))
+    bare = _bare(F.coalesce(text, F.lit("")), *SYMBOLS)
     out = out.withColumns({
         "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.replace("__spaced", F.lit(" "), F.lit(""))).cast("long"),
         "n_symbols": (F.length(F.coalesce(text, F.lit(""))) - F.length(bare)).cast("long"),
-        "__lines": F.filter("__lines", lambda x: F.replace(spaced(x), F.lit(" "), F.lit("")) != ""),
+        "__lines": F.filter(F.transform("__lines", measured_line), lambda x: x["n"] > 0),
         "__w1": F.transform("__words", lambda w: F.xxhash64(w)),
     })
     width = 1
@@ -83,7 +88,7 @@ def _measured(docs: DataFrame, text: Column) -> DataFrame:
     out = out.withColumn("__at", F.array_sort(F.array_distinct(F.flatten(pairs))))
     adds = F.zip_with("__at", _ahead(F.col("__at"), 1), lambda p, q: F.least(F.lit(WINDOW), F.coalesce(q - p, F.lit(WINDOW))).cast("long"))
     return out.withColumns({
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines.line"))).cast("long"),
         "n_repeat_words": F.coalesce(F.aggregate(adds, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")),
     })
 
@@ -94,12 +99,12 @@ def line_clean(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LO
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_bad_lines", "lost_chars", "kept"]
     docs = without(docs, *(set(added) - {text_col}))
     out = _measured(docs, F.col(text_col)).withColumn("__bad", F.filter("__lines", bad_line))
-    lost = F.length(F.replace(spaced(F.array_join("__bad", " ")), F.lit(" "), F.lit(""))).cast("long")
+    lost = F.aggregate("__bad", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * int(100 * MAX_REPEATED))
     out = out.withColumns({"n_bad_lines": F.size("__bad").cast("long"), "lost_chars": lost, "base_failed": failed})
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= max_lost * F.col("word_chars")))
     columns = [*docs.columns, *added]
     if cleaned_col:
-        good = F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), lambda x: ~bad_line(x))
+        good = F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), lambda x: ~bad_line(measured_line(x)))
         out, columns = out.withColumn(cleaned_col, F.array_join(good, "\n")), [*columns, cleaned_col]
     return out.select(*columns)

@@ -27,9 +27,9 @@ l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 l AS (SELECT r, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS n FROM l0),
 bad AS (
   SELECT r, line, n,
-    (n >= 20 AND length(regexp_replace(line, '[^#*$%&|<>{}\[\]~^=_]+', '', 'g')) > 0.15 * n)
+    (n >= 20 AND length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) > 0.15 * n)
     OR regexp_matches(line, '^[^|>»•·\n]{0,40}(?:[|>»•·][^|>»•·\n]{0,40}){2,}$')
-    OR regexp_matches(lower(line), '^\s*(?:https?://|www\.)\S+\s*$')
+    OR regexp_matches(line, '^\s*(?:https?://|www\.)\S+\s*$')
     OR (n <= 120 AND regexp_matches(lower(line), 'all rights reserved|accept cookies|cookie policy|privacy policy|terms of service|terms of use|subscribe to our newsletter|sign up for our newsletter|click here|log in|sign in|skip to content|follow us on|share this|read more|back to top|powered by|lorem ipsum|javascript is disabled')) AS b
   FROM l WHERE n > 0),
 ls AS (
