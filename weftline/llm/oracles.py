@@ -43,3 +43,48 @@ m AS (
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM m
 """
+
+ORACLES["op8_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i+2], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 90 * (na.n + nb.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = w.doc_id
+"""
+
+ORACLES["op7_mix_sources"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS u FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source),
+s AS (SELECT source, z, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS w FROM s0),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY 3 * z / w, source IS NULL, source) AS k FROM s),
+lev AS (
+  SELECT source, z, w, 3.0 * z < w * (sum(z) OVER () - coalesce(sum(3.0 * z) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS is_full
+  FROM o WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (
+  SELECT (sum(z) - coalesce(sum(3.0 * z) FILTER (is_full), 0)) / sum(w) FILTER (NOT is_full) AS per_weight FROM lev),
+t AS (
+  SELECT source, z, CASE WHEN is_full THEN 3.0 * z ELSE w * per_weight END AS target FROM lev, g),
+q AS (
+  SELECT source, z, target, CASE WHEN z > 0 THEN floor(target / z + 1e-9) ELSE 0 END AS whole,
+         CASE WHEN z > 0 THEN greatest(0, target / z - floor(target / z + 1e-9)) * z ELSE 0 END AS want FROM t),
+c AS (
+  SELECT d.r, d.u, q.source, want, sum(size) OVER (PARTITION BY q.source ORDER BY u) AS upto,
+         coalesce(sum(size) OVER (PARTITION BY q.source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS have
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source WHERE size > 0 AND want > 1e-6),
+x AS (
+  SELECT source, min(CASE WHEN upto - want <= want - have THEN u + 1 ELSE u END) AS cut FROM c WHERE upto >= want AND have < want GROUP BY source)
+SELECT doc_id, size, z AS source_size, target, (least(3, whole + CASE WHEN u < coalesce(cut, 0) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN x ON x.source IS NOT DISTINCT FROM q.source
+"""

@@ -5,20 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_clean, oracles, url_filter
+from . import decontam, jaccard_join, line_clean, mix, oracles, pii, secrets, url_filter
 from .common import table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     out = url_filter.url_filter(pages, url_filter.rule_table(spark, url_filter.RULES))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", "spans"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_clean.line_clean(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op5_decontaminate, op6_pii, op7_mix_sources, op8_ngram_jaccard_join, op10_quality_rules)}
 ORACLES = oracles.ORACLES
