@@ -18,7 +18,6 @@ for a text is linear in its length. Repeated rows are judged alike; of the input
 
 from __future__ import annotations
 
-import hashlib
 import re
 from functools import lru_cache
 
@@ -149,6 +148,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, spans array<struct<kind:string,start:long,end:long>>, redacted string")
 
 
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the spans of its texts replaced and, where there is one, the length column counted anew."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            texts = [redact(t, found) if t and (found := spans(t)) else t for t in batch.column(text_col).to_pylist()]
+            columns = dict(zip(names, batch.columns, strict=True)) | {text_col: pa.array(texts, pa.string())}
+            if length_col in columns:
+                columns[length_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[length_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, a hash of their spans, and all spans as a string; ``found`` has doc_id and spans."""
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

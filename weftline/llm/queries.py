@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontam, jaccard_join, line_clean, mix, oracles, pii, secrets, url_filter
+from . import decontam, html_extract, jaccard_join, line_clean, mix, oracles, pii, quality, secrets, tool_calls, url_filter
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -19,6 +22,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_tool_calls(table(spark, sf_dir, "conversations"), tool_calls.tool_table(spark))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,10 +42,20 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_clean.line_clean(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op5_decontaminate, op6_pii, op7_mix_sources, op8_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_secret_scan, op3_url_filter, op4_tool_calls, op5_decontaminate, op6_pii, op7_mix_sources,
+        op8_ngram_jaccard_join, op9_html_extraction, op10_quality_rules,
+    )
+}
 ORACLES = oracles.ORACLES
