@@ -1,4 +1,330 @@
-"""Queries of the sequence-overlap engine by name, and the DuckDB SQL that gives the same rows."""
+"""Queries of the sequence-overlap engine by name, and the DuckDB SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Reads are the texts of ``documents`` folded to sequences; ``benchmark`` is the index of query mode. Stages that have one row
+for each symbol or k-mer are returned as one row for each strand with counts and a hash of the whole stage in order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.config import JoinParams, SketchParams
+from weftline.functions.sequence import twobit_decode, twobit_encode, twobit_slice, twobit_valid
+from weftline.operators import index, matching, readhash, report, sketch
+from weftline.sources.reads import table_reads
+
+from . import oracle as o
+
+P, J = SketchParams(), JoinParams()
+BOUNDED = JoinParams(min_coverage=3, max_coverage=20)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_reads(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_reads(_table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.chunks(reads(spark, sf_dir), P)
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of reads with repeats: those labelled toxic and those labelled low."""
+    labels = _table(spark, sf_dir, "labels")
+    return labels.where("toxic = 1").select(F.col("doc_id").alias("read_id")).union(labels.where("quality = 0").select("doc_id"))
+
+
+_LISTED = "listed AS (SELECT doc_id AS read_id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id FROM labels WHERE quality = 0)"
+_W = "WITH " + o.reads()
+_STRANDS = f"{_W},\n{o.strands()}"
+_SYMS = f"{_STRANDS},\n{o.symbols()}"
+_KMERS = f"{_SYMS},\n{o.kmers()}"
+_MINIMA = f"{_KMERS},\n{o.minima()}"
+_VECTORS = f"{_MINIMA},\n{o.vectors()}"
+_CHUNKS = f"WITH {o.to_chunks()}"
+_COVERED = f"{_CHUNKS},\n{o.covered()}"
+_MATCHES = f"{_COVERED},\n{o.matches()}"
+_NORMAL = f"{_MATCHES},\n{o.NORMAL}"
+_CHAINS = f"{_NORMAL},\n{o.chains()}"
+_BOTH = f"WITH {o.to_chunks()},\n{o.to_chunks('benchmark', 'item_id', pre='i_')}"
+_Q_MATCHES = f"{_BOTH},\n{o.matches(left='chunks', right='i_chunks', read=False)}"
+_Q_CHAINS = f"{_Q_MATCHES},\n{o.NORMAL},\n{o.chains()}"
+_MATCH_COLUMNS = '"left", "right", l_start, l_end, r_start, r_end, l_fw, r_fw'
+
+
+# --- scans and lookups
+
+
+@_query(f"{_W} SELECT * FROM reads")
+def q_reads(spark, sf_dir):
+    return reads(spark, sf_dir)
+
+
+@_query(f"{_W} SELECT read_id, sequence FROM reads")
+def q_reads_seq(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_id", "sequence")
+
+
+@_query(f"{_W} SELECT read_id, name, raw_length, sequence FROM reads WHERE read_id = 17")
+def q_read_lookup(spark, sf_dir):
+    return reads(spark, sf_dir).where("read_id = 17")
+
+
+@_query(f"{_W} SELECT count(*) AS number_reads, sum(raw_length)::BIGINT AS total_length FROM reads")
+def q_read_count(spark, sf_dir):
+    return reads(spark, sf_dir).agg(F.count("*").alias("number_reads"), F.sum("raw_length").alias("total_length"))
+
+
+# --- strands and masks
+
+
+@_query(f"{_STRANDS} SELECT * FROM strands")
+def q_strands(spark, sf_dir):
+    return sketch.strands(reads(spark, sf_dir))
+
+
+@_query(f"""{_SYMS} SELECT read_id, fw, raw_length, count(*) AS n_symbols, string_agg(s, '' ORDER BY c) AS symbols,
+md5(string_agg(a::VARCHAR || '-' || z::VARCHAR, ',' ORDER BY c)) AS intervals FROM syms GROUP BY ALL""")
+def q_masked(spark, sf_dir):
+    rows = sketch.masked(sketch.strands(reads(spark, sf_dir)), P.mask).where(F.size("syms") > 0)
+    places = F.array_join(F.transform("syms", lambda x: F.concat_ws("-", x["a"], x["z"])), ",")
+    return rows.select("read_id", "fw", "raw_length", F.size("syms").cast("long").alias("n_symbols"), F.array_join("syms.s", "").alias("symbols"), F.md5(places).alias("intervals"))
+
+
+@_query(f"{_SYMS} SELECT DISTINCT read_id, fw, n AS n_symbols, n - {P.span} + 1 AS n_positions FROM syms WHERE n >= {P.span}")
+def q_eligible_reads(spark, sf_dir):
+    rows = sketch.eligible(sketch.masked(sketch.strands(reads(spark, sf_dir)), P.mask), P)
+    n = F.size("syms").cast("long")
+    return rows.select("read_id", "fw", n.alias("n_symbols"), (n - P.span + 1).alias("n_positions"))
+
+
+# --- sketch stages: a hash over all of a strand's rows in order. Whole strands are one block here.
+
+WHOLE = SketchParams(block=1 << 30)
+
+
+def _masked(spark, sf_dir):
+    return sketch.blocks(sketch.masked(sketch.strands(reads(spark, sf_dir)), P.mask), WHOLE)
+
+
+@_query(f"""{_KMERS} SELECT read_id, fw, count(*) AS n_kmers, min(h) AS least, max(h) AS most, md5(string_agg(h, '' ORDER BY c)) AS hashes
+FROM kmers WHERE n >= {P.span} GROUP BY ALL""")
+def q_kmers(spark, sf_dir):
+    rows = sketch.hashed_kmers(_masked(spark, sf_dir), WHOLE)
+    return rows.select("read_id", "fw", F.size("h").cast("long").alias("n_kmers"), F.array_min("h").alias("least"), F.array_max("h").alias("most"), F.md5(F.array_join("h", "")).alias("hashes"))
+
+
+@_query(f"""{_MINIMA} SELECT read_id, fw, count(*) AS n_windows, md5(string_agg(h || p::VARCHAR, ',' ORDER BY c)) AS minima FROM minima GROUP BY ALL""")
+def q_minimizers(spark, sf_dir):
+    rows = sketch.minima(sketch.hashed_kmers(_masked(spark, sf_dir), WHOLE), WHOLE)
+    return rows.select("read_id", "fw", F.size("m").cast("long").alias("n_windows"), F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["h"], x["p"].cast("string"))), ",")).alias("minima"))
+
+
+@_query(f"""{_VECTORS} SELECT read_id, fw, count(*) AS n_positions, md5(string_agg(key || ':' || a::VARCHAR || ':' || z::VARCHAR, ',' ORDER BY c)) AS vectors FROM vectors GROUP BY ALL""")
+def q_window_vectors(spark, sf_dir):
+    rows = sketch.vectors(sketch.minima(sketch.hashed_kmers(_masked(spark, sf_dir), WHOLE), WHOLE), WHOLE)
+    text = F.array_join(F.transform("v", lambda x: F.concat_ws(":", F.array_join(x["v"], ""), x["a"], x["z"])), ",")
+    return rows.select("read_id", "fw", F.size("v").cast("long").alias("n_positions"), F.md5(text).alias("vectors"))
+
+
+@_query(f"{_VECTORS},\n{o.emissions()} SELECT read_id, fw, c AS shift, key, a AS first_place, z AS last_place FROM emissions")
+def q_emissions(spark, sf_dir):
+    rows = sketch.emitted(reads(spark, sf_dir), P).select("read_id", "fw", "base", F.explode("e").alias("x"))
+    long = lambda c: c.cast("long")
+    return rows.select("read_id", "fw", long(F.col("x.shift")).alias("shift"), F.array_join("x.v", "").alias("key"), long(F.col("x.a") + F.col("base")).alias("first_place"), long(F.col("x.z") + F.col("base")).alias("last_place"))
+
+
+@_query(f"{_CHUNKS} SELECT * FROM chunks")
+def q_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir)
+
+
+# --- index
+
+
+@_query(f"""{_COVERED} SELECT key, count(*) AS n, md5(string_agg(read_id::VARCHAR || CASE WHEN fw THEN '+' ELSE '-' END || start::VARCHAR || '-' || "end"::VARCHAR, ','
+ORDER BY read_id, fw, start, "end")) AS occurrences FROM covered GROUP BY key""")
+def q_buckets(spark, sf_dir):
+    rows = index.buckets(_chunks(spark, sf_dir))
+    text = F.transform("occurrences", lambda x: F.concat(x["read_id"].cast("string"), F.when(x["fw"], "+").otherwise("-"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    return rows.select("key", F.size("occurrences").cast("long").alias("n"), F.md5(F.array_join(text, ",")).alias("occurrences"))
+
+
+@_query(f"{_CHUNKS} SELECT count(*) AS distinct_chunks, count(*) FILTER (n = 1) AS singleton_chunks FROM (SELECT key, count(*) AS n FROM chunks GROUP BY key) x")
+def q_chunk_counts(spark, sf_dir):
+    return index.chunk_counts(_chunks(spark, sf_dir))
+
+
+@_query(f"{_CHUNKS},\n{o.covered(BOUNDED)} SELECT key, read_id, fw, start, \"end\", n FROM covered")
+def q_coverage(spark, sf_dir):
+    return index.covered(_chunks(spark, sf_dir), BOUNDED).select("key", "read_id", "fw", "start", "end", "n")
+
+
+@_query(f"{_COVERED} SELECT DISTINCT read_id, key FROM covered")
+def q_read_buckets(spark, sf_dir):
+    return index.read_buckets(_chunks(spark, sf_dir))
+
+
+# --- joins and chains
+
+
+@_query(f"{_MATCHES} SELECT key, {_MATCH_COLUMNS} FROM matches")
+def q_matches(spark, sf_dir):
+    return matching.matches(_chunks(spark, sf_dir)).select("key", *matching.COLUMNS)
+
+
+@_query(f"{_COVERED},\n{o.matches(order='<>')} SELECT key, {_MATCH_COLUMNS} FROM matches")
+def q_matches_both(spark, sf_dir):
+    return matching.matches(_chunks(spark, sf_dir), both_orders=True).select("key", *matching.COLUMNS)
+
+
+@_query(f"""{_COVERED}, allowed AS (SELECT * FROM covered WHERE key IN (SELECT key FROM chunks WHERE read_id % 2 = 0)
+  AND key NOT IN (SELECT key FROM chunks GROUP BY key HAVING count(*) > 10)),
+{o.matches(left='allowed', right='allowed')} SELECT key, {_MATCH_COLUMNS} FROM matches""")
+def q_matches_masked(spark, sf_dir):
+    """Keys in use by both lists: allowed are those of even reads, denied those of more than ten occurrences."""
+    c = _chunks(spark, sf_dir)
+    allow, deny = c.where("read_id % 2 = 0").select("key").distinct(), c.groupBy("key").count().where("count > 10").select("key")
+    return matching.matches(index.masked_keys(c, allow, deny)).select("key", *matching.COLUMNS)
+
+
+@_query(f"{_NORMAL} SELECT {_MATCH_COLUMNS} FROM normal")
+def q_norm_matches(spark, sf_dir):
+    return matching.normalised(matching.matches(_chunks(spark, sf_dir)))
+
+
+@_query(f'{_MATCHES} SELECT "left", "right", count(*) AS n_matches FROM matches GROUP BY ALL')
+def q_read_pairs(spark, sf_dir):
+    return matching.read_pairs(matching.matches(_chunks(spark, sf_dir)))
+
+
+@_query(f"""{_MATCHES}, pairs AS (SELECT DISTINCT "left" AS a, "right" AS b FROM matches), both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs)
+SELECT a AS read_id, count(*) AS n_partners, string_agg(b::VARCHAR, ',' ORDER BY b) AS partners FROM both_ways GROUP BY a""")
+def q_pair_sets(spark, sf_dir):
+    rows = matching.pair_sets(_chunks(spark, sf_dir))
+    return rows.select("read_id", F.size("partners").cast("long").alias("n_partners"), F.array_join("partners", ",").alias("partners"))
+
+
+@_query(f"{_COVERED} SELECT DISTINCT read_id FROM covered WHERE key IN (SELECT key FROM covered GROUP BY key HAVING count(DISTINCT read_id) > 1)")
+def q_reads_with_match(spark, sf_dir):
+    return matching.reads_with_match(_chunks(spark, sf_dir))
+
+
+@_query(f"{_CHAINS} SELECT * FROM chains")
+def q_chains(spark, sf_dir):
+    return matching.chains(matching.normalised(matching.matches(_chunks(spark, sf_dir))))
+
+
+@_query(f"{_CHAINS} {o.named()}")
+def q_overlaps(spark, sf_dir):
+    return report.overlaps(reads(spark, sf_dir), P, J)
+
+
+@_query(f"""{_CHAINS}, pairs AS (SELECT "left", "right", count(*) AS n FROM matches GROUP BY ALL), sizes AS (SELECT key, count(*) AS n FROM chunks GROUP BY key)
+SELECT (SELECT count(*) FROM reads) AS number_reads, (SELECT count(*) FROM sizes) AS distinct_chunks, (SELECT count(*) FROM covered) AS read_chunk_matches,
+  (SELECT count(*) FROM sizes WHERE n = 1) AS singleton_chunks,
+  (SELECT count(DISTINCT read_id) FROM covered WHERE key IN (SELECT key FROM covered GROUP BY key HAVING count(DISTINCT read_id) > 1)) AS reads_with_match,
+  (SELECT count(*) FROM pairs) AS read_pair_matches, (SELECT count(*) FROM chains) AS chain_matches, (SELECT count(*) FROM matches) AS window_matches,
+  (SELECT coalesce(max(n), 0) FROM covered) AS max_chunk_size""")
+def q_stats(spark, sf_dir):
+    return report.stats(reads(spark, sf_dir), P, J)
+
+
+# --- query mode
+
+
+@_query(f"{_Q_MATCHES} SELECT key, {_MATCH_COLUMNS} FROM matches")
+def q_query_matches(spark, sf_dir):
+    return matching.query_matches(_chunks(spark, sf_dir), sketch.chunks(items(spark, sf_dir), P)).select("key", *matching.COLUMNS)
+
+
+@_query(f"{_Q_CHAINS} SELECT * FROM chains")
+def q_query_chains(spark, sf_dir):
+    m = matching.query_matches(_chunks(spark, sf_dir), sketch.chunks(items(spark, sf_dir), P))
+    return matching.chains(matching.normalised(m))
+
+
+@_query(f"{_Q_CHAINS} {o.named('i_reads')}")
+def q_query_overlaps(spark, sf_dir):
+    return report.query_overlaps(reads(spark, sf_dir), items(spark, sf_dir), P, J)
+
+
+# --- per-read hashes, lookups, subsets, packed sequences
+
+_ONE = SketchParams(num_windows=1)
+_FORWARD = f"""WITH {o.reads()}, strands AS (SELECT read_id, true AS fw, raw_length, sequence AS seq FROM reads),
+{o.symbols()},\n{o.kmers(_ONE)},\n{o.minima(_ONE)},\n{o.vectors(_ONE)},\n{o.emissions()},
+pairs AS (SELECT DISTINCT read_id, a AS pos, key AS hash FROM emissions),
+hashes AS (SELECT read_id, string_agg(pos::VARCHAR, ',' ORDER BY pos, hash) AS positions, string_agg(hash, ',' ORDER BY pos, hash) AS hashes FROM pairs GROUP BY read_id)"""
+_NODES = f"""{_FORWARD.replace('WITH ', 'WITH ', 1)}, i_strands AS (SELECT read_id, true AS fw, raw_length, sequence AS seq FROM i_reads),
+{o.symbols('i_')},\n{o.kmers(_ONE, 'i_')},\n{o.minima(_ONE, 'i_')},\n{o.vectors(_ONE, 'i_')},\n{o.emissions('i_')},
+nodes AS (SELECT key AS hash, min(read_id) AS node FROM i_emissions GROUP BY key),
+found AS (SELECT pairs.*, CASE WHEN node IS NULL THEN '-' ELSE node::VARCHAR || '+' END AS kmer FROM pairs LEFT JOIN nodes USING (hash)),
+kmer_rows AS (SELECT read_id, string_agg(pos::VARCHAR, ',' ORDER BY pos, hash) AS positions, string_agg(kmer, ',' ORDER BY pos, hash) AS kmers FROM found GROUP BY read_id)""".replace(
+    f"WITH {o.reads()}", f"WITH {o.reads()}, {o.reads('benchmark', 'item_id', 'i_')}", 1
+)
+
+
+def _joined(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+
+
+@_query(f"{_FORWARD} SELECT * FROM hashes")
+def q_read_hashes(spark, sf_dir):
+    return sketch.read_hashes(reads(spark, sf_dir), P).select("read_id", _joined("positions"), _joined("hashes"))
+
+
+@_query(f"{_FORWARD}, {_LISTED} SELECT read_id, sequence, coalesce(positions, '') AS positions, coalesce(hashes, '') AS hashes FROM reads JOIN listed USING (read_id) LEFT JOIN hashes USING (read_id)")
+def q_reads_hashes_subset(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    rows = readhash.subset(readhash.with_hashes(r, sketch.read_hashes(r, P)), _listed(spark, sf_dir))
+    return rows.select("read_id", "sequence", _joined("positions"), _joined("hashes"))
+
+
+def _kmer_rows(spark, sf_dir):
+    """Hashes of documents looked up among those of benchmark items: the node is the first item that has the hash."""
+    h = sketch.read_hashes(items(spark, sf_dir), P).select("read_id", F.explode("hashes").alias("hash"))
+    nodes = h.groupBy("hash").agg(F.min("read_id").alias("node")).withColumn("fw", F.lit(True))
+    rows = readhash.kmer_lookup(sketch.read_hashes(reads(spark, sf_dir), P), nodes)
+    kmer = F.transform("kmers", lambda x: F.when(x.isNull(), "-").otherwise(F.concat(x["node"].cast("string"), F.when(x["fw"], "+").otherwise("-"))))
+    return rows.select("read_id", _joined("positions"), F.array_join(kmer, ",").alias("kmers"))
+
+
+@_query(f"{_NODES} SELECT * FROM kmer_rows")
+def q_kmer_lookup(spark, sf_dir):
+    return _kmer_rows(spark, sf_dir)
+
+
+@_query(f"{_NODES}, {_LISTED} SELECT read_id, positions, kmers FROM kmer_rows JOIN listed USING (read_id)")
+def q_kmers_subset(spark, sf_dir):
+    return readhash.subset(_kmer_rows(spark, sf_dir), _listed(spark, sf_dir))
+
+
+@_query(f"""{_W}, letters AS (SELECT read_id, unnest(range(raw_length)) AS p, unnest(string_split(sequence, '')) AS s FROM reads WHERE raw_length > 0),
+bytes AS (SELECT read_id, p // 4 AS b, sum((strpos('ACGT', s) - 1) * (4 ** (p % 4))::BIGINT)::BIGINT AS v FROM letters GROUP BY ALL),
+packed AS (SELECT read_id, string_agg(printf('%02X', v), '' ORDER BY b) AS packed FROM bytes GROUP BY read_id)
+SELECT read_id, raw_length, coalesce(packed, '') AS packed, sequence AS decoded, substr(sequence, 8, 30) AS piece, true AS valid FROM reads LEFT JOIN packed USING (read_id)""")
+def q_twobit(spark, sf_dir):
+    rows = reads(spark, sf_dir).select("read_id", "raw_length", twobit_valid(F.col("sequence")).alias("valid"), twobit_encode(F.col("sequence")).alias("b"))
+    size = F.col("raw_length").cast("int")
+    return rows.select("read_id", "raw_length", F.hex("b").alias("packed"), twobit_decode(F.col("b"), size).alias("decoded"), twobit_slice(F.col("b"), size, 7, 30).alias("piece"), "valid")
