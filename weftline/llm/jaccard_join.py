@@ -12,8 +12,9 @@ Hamming distance that drops most false candidates before texts are fetched. What
 
 Groups. Equal sets are one vertex from the start. The result needs connectivity and not all pairs, so candidates are
 taken in rounds: first the words of ``FIRST`` parts, each bucket as a star around its smallest member; verified links are
-contracted; then all parts, but only buckets that still hold several components, with ``PIVOTS`` pivots a bucket, four
-times as many in each round. A bucket of no more members than pivots is then complete. No link between different
+contracted; then all parts, but only buckets that still hold several components: first as a star around the member that
+shares most, which is the centre of its copies, then with ``PIVOTS`` times as many pivots in each round. A bucket of no more
+members than pivots is then complete. Sizes and bit sketches are compared inside the join, so it gives plausible pairs only. No link between different
 components is left unexamined when the rounds end, and a group of near copies costs its members times the pivots.
 
 Null, empty and blank texts have an empty set, link with nothing and are their own component; rows without doc_id
@@ -134,16 +135,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and Hamming distance of fine sketches leave a link possible."""
-    a = sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
-    b = sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
-    far = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = pairs.join(b, "b").join(a, "a")
+def _may_link(percent: int):
+    """Whether sizes (na, nb) and the Hamming distance of fine sketches (finea, fineb) leave a link possible."""
+    far = F.aggregate(F.zip_with("finea", "fineb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = (F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    # sketches of different width are folded to the shorter one's width before they are compared
-    return both.where(100 * small >= percent * large).where((F.size("fa") != F.size("fb")) | (far <= most)).select("a", "b")
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return near & ((F.size("finea") != F.size("fineb")) | (far <= most))
+
+
+def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link."""
+    for x in "ab":
+        pairs = pairs.join(sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"fine{x}")), x)
+    return pairs.where(_may_link(percent)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -167,7 +171,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         nonlocal labels
         labels = components(found)
 
-    def examine(pairs: DataFrame) -> None:
+    def examine(pairs: DataFrame, plausible: bool = False) -> None:
         """Verifies pairs that have not been examined yet, and contracts the links."""
         nonlocal found, tested
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -175,7 +179,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         new = keep(pairs)
         tested = new if tested is None else tested.union(new)
-        good = keep(_verified(_plausible(new, sizes, percent), docs, width, percent))
+        good = keep(_verified(new if plausible else _plausible(new, sizes, percent), docs, width, percent))
         if not good.isEmpty():
             found = good if found is None else found.union(good)
             relabel()
@@ -189,22 +193,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = labelled.select("id", "c", F.explode("keys").alias("key"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     bucket = keep(rows.join(mixed, "key", "left_semi").select("key", "id").distinct())
-    pivots = PIVOTS
+    # bucket rows carry what decides whether a pair is plausible, so that only such pairs come out of the join
+    bucket = keep(bucket.join(sizes, "id").select("key", "id", "n", "fine"))
+    pivots = 1
     while True:
         now = bucket.withColumn("c", F.col("id")) if labels is None else bucket.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
         state = now.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "g")
-        now = keep(now.join(state, "key").select("key", "id", "c", "g"))
+        now = keep(now.join(state, "key").select("key", "id", "n", "fine", "c", "g"))
         if now.isEmpty():
             break
-        few = now.where(F.col("g") <= pivots).select("key", "id", "c")
+        # the text that shares most is the centre of its copies: all buckets of a group choose the same pivots
+        shares = now.groupBy("id").agg(F.sum("g").alias("shared"))
+        few = now.where(F.col("g") <= pivots).select("key", "id", "n", "fine", "c")
         many = now.where(F.col("g") > pivots)
         salt = F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots))
-        picked = many.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "c")).alias("p")).select("key", "p.id", "p.c")
-        left = few.union(picked).select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-        pairs = left.join(now.select("key", F.col("id").alias("b"), F.col("c").alias("cb")), "key").where("ca <> cb").select("a", "b")
-        examine(pairs)
-        bucket = keep(many.select("key", "id"))
-        pivots *= 8
+        ranked = many.join(shares, "id").select("key", salt.alias("salt"), F.struct("shared", -F.col("id"), "id", "n", "fine", "c").alias("p"))
+        picked = ranked.groupBy("key", "salt").agg(F.max("p").alias("p")).select("key", "p.id", "p.n", "p.fine", "p.c")
+        left = few.union(picked).select("key", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "fine", "c")])
+        right = now.select("key", *[F.col(x).alias(f"{x}b") for x in ("id", "n", "fine", "c")])
+        examine(left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & _may_link(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b")), True)
+        bucket = keep(many.select("key", "id", "n", "fine"))
+        pivots *= PIVOTS
     whole = sets if labels is None else sets.join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("id"))
     whole = whole.select("h1", "h2", F.col("id").alias("c"))
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(whole, ["h1", "h2"], "left")
