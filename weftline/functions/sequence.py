@@ -46,10 +46,11 @@ def twobit_valid(seq: Column) -> Column:
 def twobit_encode(seq: Column) -> Column:
     """The packed form as binary; null if there is another letter. The number of symbols is kept beside it."""
     digits = F.transform(letters(F.translate(F.upper(seq), "ACGT", "0123")), lambda d: d.cast("int"))
-    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.length(seq) / 4).cast("int") - 1), lambda g: F.slice(digits, g * 4 + 1, 4))
-    byte = lambda x: F.get(x, F.lit(0)) + 4 * F.coalesce(F.get(x, F.lit(1)), F.lit(0)) + 16 * F.coalesce(F.get(x, F.lit(2)), F.lit(0)) + 64 * F.coalesce(F.get(x, F.lit(3)), F.lit(0))
-    packed = F.unhex(F.array_join(F.transform(groups, lambda x: F.lpad(F.hex(byte(x)), 2, "0")), ""))
-    return F.when(twobit_valid(seq), F.when(seq == "", F.unhex(F.lit(""))).otherwise(packed))
+    # pairs of neighbours, then pairs of pairs; every fourth element is a byte
+    two = F.zip_with(digits, ahead(digits, 1), lambda a, b: a + 4 * F.coalesce(b, F.lit(0)))
+    four = F.zip_with(two, ahead(two, 2), lambda a, b: a + 16 * F.coalesce(b, F.lit(0)))
+    packed = F.transform(F.filter(four, lambda x, i: i % 4 == 0), lambda x: F.lpad(F.hex(x), 2, "0"))
+    return F.when(twobit_valid(seq), F.unhex(F.array_join(packed, "")))
 
 
 def twobit_decode(packed: Column, size: Column) -> Column:

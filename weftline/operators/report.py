@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import JoinParams, SketchParams
+from weftline.plans.shared import written
 
 from .index import chunk_counts, covered
 from .matching import chains, matches, normalised, query_matches, read_pairs, reads_with_match
@@ -36,7 +37,7 @@ def query_overlaps(queries: DataFrame, index: DataFrame, p: SketchParams = Sketc
 
 def stats(reads: DataFrame, p: SketchParams = SketchParams(), j: JoinParams = JoinParams()) -> DataFrame:  # noqa: B008
     """The nine counters of an all-vs-all run, one row."""
-    c = chunks(reads, p)
+    c = written(chunks(reads, p))  # read by six aggregates
     m = matches(c, j)
     use = covered(c, j)
     parts = [

@@ -1,8 +1,9 @@
 """From reads to window chunks: strands, masks, k-mers, sliding minima, window vectors and changes.
 
-Everything up to a chunk is inside one row: a strand is cut to blocks of window positions before anything of the length
-of a sequence is exploded, and a block is an array that doubles its way to k-mers and window minima. No step needs a
-shuffle; the first one is on the chunk's key, which the joins then use as it is.
+Everything up to a chunk is inside one row, so no step needs a shuffle; the first one is on the chunk's key, by the join.
+The stages are column functions: a strand is cut to blocks of window positions before anything of the length of a sequence
+is exploded, and a block is an array that doubles its way to k-mers and window minima. ``chunks`` gives the same rows from
+``arrow_sketch``, which is what the joins use.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from weftline.config import SketchParams
 from weftline.functions.sequence import ahead, head, reverse_complement
 
+from .arrow_sketch import sketched
+
 _MARK = "\x01"
 #: What one symbol of a mask spans: a letter, a run of a letter, or a tandem run of a motif of up to six letters.
 _RUNS = {"none": "(.)", "hpc": r"(.)\1*", "microsat": r"(.{1,6}?)\1+|(.)"}
@@ -118,22 +121,23 @@ def emitted(reads: DataFrame, p: SketchParams) -> DataFrame:
     return emissions(vectors(minima(hashed_kmers(blocks(masked(strands(reads), p.mask), p), p), p), p))
 
 
-def chunks(reads: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:  # noqa: B008
+def chunks(reads: DataFrame, p: SketchParams = SketchParams(), columns_only: bool = False) -> DataFrame:  # noqa: B008
     """(key, read_id, fw, start, end, raw_length): window chunks of both strands. The key is the row of window hashes;
-    start and end are raw, inclusive and on the strand itself. Equal chunks of a strand are one. Partitioned by key."""
+    start and end are raw, inclusive and on the strand itself. Equal chunks of a strand are one.
+
+    Strands are sketched in Arrow batches; ``columns_only`` uses column functions throughout (see README for the cost),
+    with a shuffle at the end, as the blocks of a strand can repeat a chunk."""
+    if not columns_only:
+        return sketched(strands(reads), p).drop("place")
     e = F.transform("e", lambda x: F.struct(F.array_join(x["v"], "").alias("key"), F.get("syms", x["a"])["a"].cast("long").alias("start"), F.get("syms", x["z"] + (p.k - 1))["z"].cast("long").alias("end")))
     rows = emitted(reads, p).select("read_id", "fw", "raw_length", F.explode(F.array_distinct(e)).alias("x"))
-    rows = rows.select("x.key", "read_id", "fw", "x.start", "x.end", "raw_length")
-    # one shuffle, on what the joins need; the blocks of a strand can repeat a chunk
-    return rows.repartition("key").distinct()
+    return rows.select("x.key", "read_id", "fw", "x.start", "x.end", "raw_length").distinct()
 
 
 def read_hashes(reads: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:  # noqa: B008
     """(read_id, positions, hashes): the minimizers of the forward strand with one window, by place."""
     one = SketchParams(p.k, 1, p.window_size, p.mask, p.block)
-    forward = masked(reads.where(F.col("sequence").isNotNull()).select("read_id", F.lit(True).alias("fw"), "raw_length", F.col("sequence").alias("seq")), one.mask)
-    rows = emissions(vectors(minima(hashed_kmers(blocks(forward, one), one), one), one))
-    pairs = rows.select("read_id", F.explode(F.transform("e", lambda x: F.struct((x["a"] + F.col("base")).cast("long").alias("pos"), x["v"][0].alias("hash")))).alias("x"))
+    forward = reads.where(F.col("sequence").isNotNull()).select("read_id", F.lit(True).alias("fw"), "raw_length", F.col("sequence").alias("seq"))
     # the pairs of a read meet again: bounded by the read's own length
-    found = pairs.groupBy("read_id").agg(F.array_sort(F.collect_set("x")).alias("x"))
+    found = sketched(forward, one).groupBy("read_id").agg(F.array_sort(F.collect_set(F.struct(F.col("place").alias("pos"), F.col("key").alias("hash")))).alias("x"))
     return found.select("read_id", F.col("x.pos").alias("positions"), F.col("x.hash").alias("hashes"))

@@ -1,0 +1,20 @@
+"""A table written once for several readers, in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet under ``spark.checkpoint.dir`` (a temporary folder only where that is unset, as in tests)."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="weftline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/weftline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
