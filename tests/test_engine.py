@@ -146,7 +146,7 @@ def near_copies(spark):
 def test_tsv_round_trip_and_reverse_overlap(spark, tmp_path):
     r = near_copies(spark)
     flipped = r.withColumn("sequence", F.when(F.col("read_id") == 1, F.reverse(F.translate("sequence", "ACGT", "TGCA"))).otherwise(F.col("sequence")))
-    p = SketchParams(7, 2, 10)
+    p = SketchParams(11, 2, 10)
     for df, strand in ((r, "fw"), (flipped, "bw")):
         found = report.overlaps(df, p)
         got = {(x["left"], x["right"], x["right_strand"]) for x in found.collect()}

@@ -110,7 +110,7 @@ def chains(j: JoinParams = J) -> str:
     return f"""steps AS (
   SELECT *, CASE WHEN (r_start - l_start) - lag(r_start - l_start) OVER (PARTITION BY "left", "right", r_fw ORDER BY r_start - l_start) > {j.chain_gap} THEN 1 ELSE 0 END AS brk FROM normal),
 islands AS (
-  SELECT *, sum(brk) OVER (PARTITION BY "left", "right", r_fw ORDER BY r_start - l_start ROWS UNBOUNDED PRECEDING) AS island FROM steps),
+  SELECT *, sum(brk) OVER (PARTITION BY "left", "right", r_fw ORDER BY r_start - l_start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM steps),
 chains AS (
   SELECT "left", "right", min(l_start) AS l_start, max(l_end) AS l_end, true AS l_fw, min(r_start) AS r_start, max(r_end) AS r_end, r_fw, count(*) AS n_matches
   FROM islands GROUP BY "left", "right", r_fw, island)"""
