@@ -147,11 +147,12 @@ def q_window_vectors(spark, sf_dir):
     return rows.select("read_id", "fw", F.size("v").cast("long").alias("n_positions"), F.md5(text).alias("vectors"))
 
 
-@_query(f"{_VECTORS},\n{o.emissions()} SELECT read_id, fw, c AS shift, key, a AS first_place, z AS last_place FROM emissions")
+@_query(f"""{_VECTORS},\n{o.emissions()} SELECT read_id, fw, count(*) AS n_emissions,
+md5(string_agg(c::VARCHAR || ':' || key || ':' || a::VARCHAR || ':' || z::VARCHAR, ',' ORDER BY c)) AS emissions FROM emissions GROUP BY ALL""")
 def q_emissions(spark, sf_dir):
-    rows = sketch.emitted(reads(spark, sf_dir), P).select("read_id", "fw", "base", F.explode("e").alias("x"))
-    long = lambda c: c.cast("long")
-    return rows.select("read_id", "fw", long(F.col("x.shift")).alias("shift"), F.array_join("x.v", "").alias("key"), long(F.col("x.a") + F.col("base")).alias("first_place"), long(F.col("x.z") + F.col("base")).alias("last_place"))
+    rows = sketch.emissions(sketch.vectors(sketch.minima(sketch.hashed_kmers(_masked(spark, sf_dir), WHOLE), WHOLE), WHOLE))
+    text = F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["shift"], F.array_join(x["v"], ""), x["a"], x["z"])), ",")
+    return rows.select("read_id", "fw", F.size("e").cast("long").alias("n_emissions"), F.md5(text).alias("emissions"))
 
 
 @_query(f"{_CHUNKS} SELECT * FROM chunks")
