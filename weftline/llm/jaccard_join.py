@@ -32,11 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import stash, unstash
+from .common import release, stash, unstash
 from .components import components
 
-BAND, SPARE, FINE = 1.4, 2, 4
+BAND, SPARE, FINE = 1.4, 2, 16
 FIRST, PIVOTS = 4, 8
+#: The parts are joined in this many passes, so that the shuffle files of one pass are on disk at a time.
+PASSES = 6
+#: Words of 64 bits that a bucket row carries of a bit sketch; longer sketches are folded to that, and compared whole later.
+CARRIED = 8
 
 
 @lru_cache(maxsize=65536)
@@ -117,7 +121,12 @@ def sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, fine array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some vertices (id), written once."""
+    return stash(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts link."""
 
     def run(batches):
@@ -129,7 +138,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 ok.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
@@ -152,12 +160,16 @@ def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
-    base = stash(sketched(docs, width, percent))
+    spark = docs.sparkSession
+    wide = stash(sketched(docs, width, percent))
+    base = stash(wide.select("doc_id", "n", "h1", "h2"))
     sets = stash(base.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")))
     # one row for each different set: the row of its smallest doc_id
     chosen = sets.where("id is not null").select("id").distinct()
-    vertex = stash(base.where("n > 0").join(chosen, base["doc_id"] == chosen["id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys", "fine", F.xxhash64("h1", "h2").alias("h")).distinct())
-    sizes = vertex.select("id", "n", "fine")
+    vertex = stash(wide.where("n > 0").join(chosen, wide["doc_id"] == chosen["id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys", "fine", F.xxhash64("h1", "h2").alias("h")).distinct())
+    unstash(wide)
+    release(spark)
+    sizes = stash(vertex.select("id", "n", "fine"))
     found = None  # verified links so far
     labels = None
     tested = None
@@ -171,7 +183,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         nonlocal labels
         labels = components(found)
 
-    def examine(pairs: DataFrame, plausible: bool = False) -> None:
+    def examine(pairs: DataFrame, texts: DataFrame | None = None) -> None:
         """Verifies pairs that have not been examined yet, and contracts the links."""
         nonlocal found, tested
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -179,10 +191,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         new = keep(pairs)
         tested = new if tested is None else tested.union(new)
-        good = keep(_verified(new if plausible else _plausible(new, sizes, percent), docs, width, percent))
+        likely = keep(_plausible(new, sizes, percent))
+        release(spark)
+        own = texts if texts is not None else _texts(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")))
+        release(spark)
+        good = keep(_verified(likely, own, width, percent))
+        if texts is None:
+            unstash(own)
         if not good.isEmpty():
             found = good if found is None else found.union(good)
             relabel()
+        release(spark)
 
     # a star in each bucket of the first parts
     some = vertex.select("id", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
@@ -190,11 +209,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     examine(some.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")))
     # every part, buckets of several components only
     labelled = vertex.withColumn("c", F.col("id")) if labels is None else vertex.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
-    rows = labelled.select("id", "c", F.explode("keys").alias("key"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    bucket = keep(rows.join(mixed, "key", "left_semi").select("key", "id").distinct())
+    labelled = keep(labelled.select("id", "c", "keys"))
+    unstash(vertex)
+    release(spark)
+    bucket = None
+    for k in range(PASSES):
+        own = F.filter("keys", lambda x: F.pmod(x, F.lit(PASSES)) == k)
+        rows = labelled.select("id", "c", F.explode(own).alias("key"))
+        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        part = keep(rows.join(mixed, "key", "left_semi").select("key", "id").distinct())
+        bucket = part if bucket is None else bucket.union(part)
+        del rows, mixed
+        release(spark)
+    unstash(labelled)
     # bucket rows carry what decides whether a pair is plausible, so that only such pairs come out of the join
-    bucket = keep(bucket.join(sizes, "id").select("key", "id", "n", "fine"))
+    folded = F.transform(F.sequence(F.lit(0), F.least(F.size("fine"), F.lit(CARRIED)) - 1), lambda i: F.aggregate(F.filter("fine", lambda _, j: j % CARRIED == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
+    short = keep(sizes.select("id", "n", F.when(F.size("fine") > 0, folded).otherwise(F.col("fine")).alias("fine")))
+    texts = _texts(docs, bucket)
+    bucket = keep(bucket.join(short, "id").select("key", "id", "n", "fine"))
+    release(spark)
     pivots = 1
     while True:
         now = bucket.withColumn("c", F.col("id")) if labels is None else bucket.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
@@ -211,14 +244,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         picked = ranked.groupBy("key", "salt").agg(F.max("p").alias("p")).select("key", "p.id", "p.n", "p.fine", "p.c")
         left = few.union(picked).select("key", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "fine", "c")])
         right = now.select("key", *[F.col(x).alias(f"{x}b") for x in ("id", "n", "fine", "c")])
-        examine(left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & _may_link(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b")), True)
-        bucket = keep(many.select("key", "id", "n", "fine"))
+        examine(left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & _may_link(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b")), texts)
+        done, bucket = bucket, keep(many.select("key", "id", "n", "fine"))
+        unstash(done)
+        unstash(now)
+        release(spark)
         pivots *= PIVOTS
     whole = sets if labels is None else sets.join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("id"))
     whole = whole.select("h1", "h2", F.col("id").alias("c"))
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(whole, ["h1", "h2"], "left")
     # a component is named after its smallest doc_id; a text without words after itself
     out = keep(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id")))
-    for df in [*written[:-1], base, sets, vertex]:
+    for df in [*written[:-1], base, sets, sizes, texts]:
         unstash(df)
     return out
