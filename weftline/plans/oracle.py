@@ -35,7 +35,6 @@ def symbols(pre: str = "") -> str:
 def kmers(p: SketchParams = P, pre: str = "") -> str:
     """K-mers by doubling: strings of 2, 4, 8 ... symbols from neighbours, then the sum of powers that k is."""
     steps, have, last = [], 1, f"{pre}syms"
-    columns = ["s AS s1"]
     while have * 2 <= p.k:
         name = f"{pre}k{have * 2}"
         base = "*, s AS s1" if have == 1 else "*"
@@ -47,7 +46,6 @@ def kmers(p: SketchParams = P, pre: str = "") -> str:
         if p.k >> bit & 1:
             parts.append(f"lead(s{1 << bit}, {at}) OVER w" if at else f"s{1 << bit}")
             at += 1 << bit
-    del columns
     steps.append(f"""{pre}kmers AS (
   SELECT read_id, fw, c, n, substr(md5(kmer), 1, 16) AS h FROM (
     SELECT read_id, fw, c, n, {" || ".join(parts)} AS kmer FROM {last} WINDOW w AS (PARTITION BY read_id, fw ORDER BY c)) x

@@ -277,7 +277,7 @@ _FORWARD = f"""WITH {o.reads()}, strands AS (SELECT read_id, true AS fw, raw_len
 {o.symbols()},\n{o.kmers(_ONE)},\n{o.minima(_ONE)},\n{o.vectors(_ONE)},\n{o.emissions()},
 pairs AS (SELECT DISTINCT read_id, a AS pos, key AS hash FROM emissions),
 hashes AS (SELECT read_id, string_agg(pos::VARCHAR, ',' ORDER BY pos, hash) AS positions, string_agg(hash, ',' ORDER BY pos, hash) AS hashes FROM pairs GROUP BY read_id)"""
-_NODES = f"""{_FORWARD.replace('WITH ', 'WITH ', 1)}, i_strands AS (SELECT read_id, true AS fw, raw_length, sequence AS seq FROM i_reads),
+_NODES = f"""{_FORWARD}, i_strands AS (SELECT read_id, true AS fw, raw_length, sequence AS seq FROM i_reads),
 {o.symbols('i_')},\n{o.kmers(_ONE, 'i_')},\n{o.minima(_ONE, 'i_')},\n{o.vectors(_ONE, 'i_')},\n{o.emissions('i_')},
 nodes AS (SELECT key AS hash, min(read_id) AS node FROM i_emissions GROUP BY key),
 found AS (SELECT pairs.*, CASE WHEN node IS NULL THEN '-' ELSE node::VARCHAR || '+' END AS kmer FROM pairs LEFT JOIN nodes USING (hash)),
