@@ -5,10 +5,13 @@ A text's set is its distinct shingles of ``width`` words. Texts link when ``100
 Sketches. The range of 64-bit shingle hashes is cut into ``m`` equal parts, and the hashes in a part are XORed to one
 word: a parity sketch in which each differing shingle changes one word at most, so the number of differing words is a
 lower bound of the symmetric difference. Two sets of a size band that link differ in ``d`` shingles at most, and with
-``m = d + 1 + SPARE`` parts they agree in ``1 + SPARE`` words at least: they meet in an equi-join on (band, part, word).
-A set whose empty parts do not exceed ``SPARE`` need not emit them. A set is in its own size band and in the one below if
-a smaller partner may be there. A second sketch of single bits (``FINE`` bits for each allowed difference) gives a
-Hamming distance that drops most false candidates before texts are fetched. What is left is verified on whole texts.
+``m = d + spare + agree`` parts they agree in ``spare + agree`` words at least. A set whose empty parts do not exceed
+``spare`` (what chance leaves empty, and five deviations more) need not emit them; any other emits all. So two linked sets
+meet in ``agree`` keys (band, part, word) at least, and each of them can go without its ``agree - 1`` most frequent ones:
+the rarest key that they share stays. That keeps passages which many documents repeat out of the buckets. A set is in its
+own size band and in the one below if a smaller partner may be there. A second sketch of single bits (``FINE`` bits for
+each allowed difference) gives a Hamming distance that drops most false candidates before texts are fetched. What is left
+is verified on whole texts.
 
 Groups. Equal sets are one vertex from the start. The result needs connectivity and not all pairs, so candidates are
 taken in rounds: first the words of ``FIRST`` parts, each bucket as a star around its smallest member; verified links are
@@ -28,14 +31,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
 from .common import release, stash, unstash
 from .components import components
 
-BAND, SPARE, FINE = 1.4, 2, 16
+BAND, FINE = 1.4, 16
+#: The lowest bits of a key hold the number of its band.
+BAND_BITS = 6
 FIRST, PIVOTS = 4, 8
 #: The parts are joined in this many passes, so that the shuffle files of one pass are on disk at a time.
 PASSES = 6
@@ -51,10 +56,19 @@ def differing(size: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=1024)
-def band_parts(band: int, percent: int) -> int:
-    """Parts of the sketches of a size band."""
-    top = math.ceil(BAND ** (band + 1))
-    return 1 + SPARE + math.floor((100 - percent) / (100 + percent) * (top + top * 100 / percent))
+def band_parts(band: int, percent: int) -> tuple[int, int, int]:
+    """(parts, spare, agree) of the sketches of a size band."""
+    low, top = BAND**band, math.ceil(BAND ** (band + 1))
+    d = math.floor((100 - percent) / (100 + percent) * (top + top * 100 / percent))
+    agree = 1 + max(min(8, int(low / 8)), int(low / 32))
+    m = d + agree
+    while m < 8 * top:
+        void = math.exp(-low / m)
+        spare = math.ceil(m * void + 5 * math.sqrt(m * void * max(0.0, 1 - (1 + low / m) * void)))
+        if d + spare + agree <= m:
+            break
+        m = d + spare + agree
+    return m, m - d - agree, agree
 
 
 @lru_cache(maxsize=65536)
@@ -77,15 +91,15 @@ def _sketch(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     if not differing(len(s), percent):
         return keys[0], keys[0]
     for band in bands(len(s), percent):
-        m = band_parts(band, percent)
+        m, spare, _ = band_parts(band, percent)
         at = np.concatenate(([0], np.searchsorted(s, _edges(m))))
         counts = np.diff(np.concatenate((at, [len(s)])))
         word = np.zeros(m, np.uint64)
         filled = np.flatnonzero(counts)
         word[filled] = np.bitwise_xor.reduceat(s, at[filled])
-        parts = filled if m - len(filled) <= SPARE else np.arange(m)
-        # parts in the order of their own hash, so that the first few are spread over the range
-        keys.append(textvec.mix(word[parts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 1_000_003 + 1) * (parts.astype(np.uint64) + np.uint64(1))))
+        parts = filled if m - len(filled) <= spare else np.arange(m)
+        key = textvec.mix(word[parts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 1_000_003 + 1) * (parts.astype(np.uint64) + np.uint64(1)))
+        keys.append(key << np.uint64(BAND_BITS) | np.uint64(band))
     width = 64 * max(1, -(-FINE * (differing(len(s), percent) + 1) // 64))
     width = 64 * (1 << int(width // 64 - 1).bit_length())  # powers of two, so that a longer sketch folds onto a shorter one
     bits = np.bincount((textvec.mix(s) & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
@@ -214,14 +228,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     release(spark)
     bucket = None
     for k in range(PASSES):
-        own = F.filter("keys", lambda x: F.pmod(x, F.lit(PASSES)) == k)
-        rows = labelled.select("id", "c", F.explode(own).alias("key"))
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        part = keep(rows.join(mixed, "key", "left_semi").select("key", "id").distinct())
+        own = F.filter("keys", lambda x: F.pmod(F.shiftright(x, BAND_BITS), F.lit(PASSES)) == k)
+        rows = labelled.select("id", "c", F.explode(F.array_distinct(own)).alias("key"))
+        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("key", "g")
+        part = keep(rows.join(mixed, "key").select("key", "id", "g"))
         bucket = part if bucket is None else bucket.union(part)
         del rows, mixed
         release(spark)
     unstash(labelled)
+    # of the keys of a text in a band, its most frequent ones are not needed
+    band = F.pmod("key", F.lit(1 << BAND_BITS)).cast("int")
+    spared = F.element_at(F.array(*[F.lit(band_parts(b, percent)[2] - 1) for b in range(1 << BAND_BITS)]), band + 1)
+    rank = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.desc("g"), "key"))
+    bucket = bucket.withColumn("band", band).withColumn("rank", rank).where(F.col("rank") > spared).select("key", "id")
+    bucket = keep(bucket)
+    several = bucket.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
+    bucket = keep(bucket.join(several, "key", "left_semi"))
+    release(spark)
     # bucket rows carry what decides whether a pair is plausible, so that only such pairs come out of the join
     folded = F.transform(F.sequence(F.lit(0), F.least(F.size("fine"), F.lit(CARRIED)) - 1), lambda i: F.aggregate(F.filter("fine", lambda _, j: j % CARRIED == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
     short = keep(sizes.select("id", "n", F.when(F.size("fine") > 0, folded).otherwise(F.col("fine")).alias("fine")))
