@@ -41,9 +41,9 @@ from .components import components
 BAND, FINE = 1.4, 16
 #: The lowest bits of a key hold the number of its band.
 BAND_BITS = 6
-FIRST, PIVOTS = 4, 8
+FIRST, PIVOTS = 4, 16
 #: The parts are joined in this many passes, so that the shuffle files of one pass are on disk at a time.
-PASSES = 6
+PASSES = 4
 #: Words of 64 bits that a bucket row carries of a bit sketch; longer sketches are folded to that, and compared whole later.
 CARRIED = 8
 
@@ -203,10 +203,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        new = keep(pairs)
-        tested = new if tested is None else tested.union(new)
-        likely = keep(_plausible(new, sizes, percent))
+        likely = keep(_plausible(pairs, sizes, percent))
         release(spark)
+        if likely.isEmpty():
+            return
+        tested = likely if tested is None else tested.union(likely)
         own = texts if texts is not None else _texts(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")))
         release(spark)
         good = keep(_verified(likely, own, width, percent))
@@ -241,21 +242,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     spared = F.element_at(F.array(*[F.lit(band_parts(b, percent)[2] - 1) for b in range(1 << BAND_BITS)]), band + 1)
     rank = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.desc("g"), "key"))
     bucket = bucket.withColumn("band", band).withColumn("rank", rank).where(F.col("rank") > spared).select("key", "id")
-    bucket = keep(bucket)
-    several = bucket.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
-    bucket = keep(bucket.join(several, "key", "left_semi"))
-    release(spark)
     # bucket rows carry what decides whether a pair is plausible, so that only such pairs come out of the join
     folded = F.transform(F.sequence(F.lit(0), F.least(F.size("fine"), F.lit(CARRIED)) - 1), lambda i: F.aggregate(F.filter("fine", lambda _, j: j % CARRIED == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
-    short = keep(sizes.select("id", "n", F.when(F.size("fine") > 0, folded).otherwise(F.col("fine")).alias("fine")))
-    texts = _texts(docs, bucket)
+    short = sizes.select("id", "n", F.when(F.size("fine") > 0, folded).otherwise(F.col("fine")).alias("fine"))
     bucket = keep(bucket.join(short, "id").select("key", "id", "n", "fine"))
+    texts = _texts(docs, bucket)
     release(spark)
-    pivots = 1
+    pivots, done = 1, bucket
     while True:
         now = bucket.withColumn("c", F.col("id")) if labels is None else bucket.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
         state = now.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "g")
         now = keep(now.join(state, "key").select("key", "id", "n", "fine", "c", "g"))
+        unstash(done)
         if now.isEmpty():
             break
         # the text that shares most is the centre of its copies: all buckets of a group choose the same pivots
@@ -268,9 +266,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         left = few.union(picked).select("key", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "fine", "c")])
         right = now.select("key", *[F.col(x).alias(f"{x}b") for x in ("id", "n", "fine", "c")])
         examine(left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & _may_link(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b")), texts)
-        done, bucket = bucket, keep(many.select("key", "id", "n", "fine"))
-        unstash(done)
-        unstash(now)
+        done, bucket = now, many.select("key", "id", "n", "fine")
         release(spark)
         pivots *= PIVOTS
     whole = sets if labels is None else sets.join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("id"))
