@@ -177,6 +177,28 @@ def test_search_equals_full_scoring(spark, small):
         assert got == set(want.items())
 
 
+def test_decontamination_does_not_depend_on_slices(spark, monkeypatch):
+    """Copies cut down towards the threshold; common words differ in frequency from slice to slice."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    draw = lambda n: [vocabulary[min(int(rng.expovariate(0.02)), 399)] for _ in range(n)]
+    items = [(i, " ".join(draw(rng.randint(20, 150)))) for i in range(60)]
+    rows = []
+    for i, t in items:
+        for share in (0.3, 0.4, 0.45, 0.5):  # what the question loses in front and the answer behind
+            keep, at = t.split(), decontam._answer_at(t)
+            rows.append((len(rows), " ".join(draw(40) + keep[int(at * share) : at + int((len(keep) - at) * (1 - share))] + draw(40))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = [(0, items[0][1]), (90, None), (None, "no id"), (91, " "), (5, "the same id with another text of a few words")]
+    benchmark = spark.createDataFrame(items + extra, "item_id long, text string")
+    got = []
+    for size in (1 << 20, 8000, 2000):
+        monkeypatch.setattr(decontam, "SLICE", size)
+        got.append(sorted((r["doc_id"], r["item_id"], *(round(r[c], 9) for c in ("score", "question_overlap", "answer_overlap"))) for r in decontam.contaminated(df, benchmark).collect()))
+    assert got[0] == got[1] == got[2]
+    assert min(x[2] for x in got[0]) < 0.65
+
+
 def test_quality_model_learns(spark, docs):
     labels, rows = [], []
     rng = random.Random(0)

@@ -14,7 +14,8 @@ Verification. An item is split into a question and an answer (its last line or s
 ``ANSWER`` words). The share of the 3-word shingles of each that the passage holds must be ``OVERLAP`` for both.
 
 The index goes to the tasks in slices of at most ``SLICE`` bytes of item text, measured before anything is collected; a
-larger benchmark is taken slice by slice, one pass each. Null and empty texts match nothing; an item without words is
+larger benchmark is taken slice by slice, one pass each. The number of units, their mean length and the units that hold a
+term are counted over the whole benchmark, so scores do not depend on the slices: these only part the postings. Null and empty texts match nothing; an item without words is
 ignored; repeated items and rows give one row for each pair of ids. Extra columns are ignored.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import stash, unstash
 
 UNIT, BLOCK, THRESHOLD, COMMON, OVERLAP, SHINGLE, ANSWER = 64, 8, 0.5, 0.2, 0.5, 3, 8
 K1, B = 1.2, 0.75
@@ -54,9 +56,11 @@ def _answer_at(text: str) -> int:
 
 
 class Index:
-    """The inverted index of one slice of items; arrays only, so it travels cheaply."""
+    """The inverted index of one slice of items; arrays only, so it travels cheaply. ``whole``: the units and words of the
+    whole benchmark, the sorted terms of the slice (others may be among them) and the units of the benchmark that hold each;
+    without it the items are all there are."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, int, np.ndarray, np.ndarray] | None = None):
         self.item, self.parts, lists = [], [], []
         for item, text in items:
             h = _word_hashes(text or "")
@@ -76,8 +80,10 @@ class Index:
         pairs, tf = np.unique(term * max(n, 1) + unit, return_counts=True)
         self.p_term, self.p_unit = pairs // max(n, 1), pairs % max(n, 1)
         df = np.bincount(self.p_term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1)) if n else lengths
+        units, total, among, held = whole or (n, lengths.sum(), self.terms, df)
+        held = held[np.searchsorted(among, self.terms)]
+        idf = np.log(1 + (units - held + 0.5) / (held + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(total / units, 1)) if n else lengths
         raw = idf[self.p_term] * tf * (K1 + 1) / (tf + norm[self.p_unit])
         own = np.bincount(self.p_unit, raw, minlength=n)
         self.impact = raw / np.maximum(own[self.p_unit], 1e-12)
@@ -168,17 +174,54 @@ class Index:
         return float(held.mean())
 
 
+def _unit_counts(items: DataFrame) -> DataFrame:
+    """(slice, term, units, words) of ``items`` (slice, text): the units that hold each term; in the row without a term all
+    units and their words."""
+
+    def run(batches):
+        for batch in batches:
+            slices, terms, units, words = [], [], [], []
+            for k, text in zip(batch.column("slice").to_pylist(), batch.column("text"), strict=True):
+                h = _word_hashes(text.as_py())
+                if not len(h):
+                    continue
+                held = [np.unique(h[a : a + UNIT]) for a in range(0, len(h), UNIT)]
+                own, n = np.unique(np.concatenate(held), return_counts=True)
+                slices.append(np.full(len(own) + 1, k))
+                terms.append(pa.concat_arrays([pa.array(own.view(np.int64)), pa.nulls(1, pa.int64())]))
+                units.append(np.append(n, len(held)))
+                words.append(np.append(np.zeros(len(own), np.int64), len(h)))
+            if terms:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slices), pa.int64()), pa.concat_arrays(terms), *(pa.array(np.concatenate(x), pa.int64()) for x in (units, words))], names=["slice", "term", "units", "words"])
+
+    counts = items.select(F.col("slice").cast("long"), "text").mapInArrow(run, "slice long, term long, units long, words long")
+    return counts.groupBy("slice", "term").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): the items that texts of ``docs`` hold."""
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(size / SLICE))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    known = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
+    known = known.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
+    counts = whole = None
+    if slices > 1:
+        counts = stash(_unit_counts(known))
+        every = counts.groupBy("term").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
+        whole = every.where("term is null").select("units", "words").first()
     found = []
     for k in range(slices):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else benchmark
-        items = sorted((r[0], r[1]) for r in own.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct().collect())
-        index = Index(items)
+        items = sorted((r[0], r[1]) for r in known.where(F.col("slice") == k).select("item_id", "text").collect())
+        if whole is None:
+            index = Index(items)
+        else:
+            terms = counts.where((F.col("slice") == k) & F.col("term").isNotNull()).select("term")
+            own = every.select("term", "units").join(terms, "term", "left_semi").toArrow()
+            term, units = own["term"].to_numpy().view(np.uint64), own["units"].to_numpy()
+            order = np.argsort(term)
+            index = Index(items, (whole["units"], whole["words"], term[order], units[order]))
         if not len(index.terms):
             continue
         shared = spark.sparkContext.broadcast(index)
@@ -193,6 +236,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [pa.int64(), pa.int64(), *[pa.float64()] * 3], strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
+    if counts is not None:
+        unstash(counts)
     if not found:
         return spark.createDataFrame([], schema)
     every = reduce(DataFrame.union, found)
