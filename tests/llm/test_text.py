@@ -271,6 +271,22 @@ def test_html_extraction(spark, small):
     assert sorted((r["text"], r["n_chars"]) for r in html_extract.extract(df).collect()) == [("", 0), ("", 0), ("a b", 3)]
 
 
+def test_html_hides_no_more_than_hidden_elements():
+    said = "the river ran past the old mill and the night was quiet in the field by the bridge " * 3
+    article = lambda x: f"<article><p>{said}{x} then</p><p>{said}last</p></article>"
+    for page in (
+        f"<html><head><title>t</title><meta charset=utf-8><body>{article('')}</body></html>",
+        f"<head><title>t</title><link rel=x>{article('')}",
+        f"<html><head><style>p{{}}</style></head><body>{article('')}</body></html>",
+        *(article(f"<{t}><p>fallback</p></{t}>") for t in ("video", "audio", "object", "canvas", "svg")),
+    ):
+        text = html_extract.main_text(page)
+        assert text.rstrip().endswith("last") and text.count("then") == 1, page
+    assert "fallback" not in html_extract.main_text(article("<video>fallback</video>"))
+    assert "x+1" in html_extract.main_text(article("<math><mi>x</mi><mo>+</mo><mn>1</mn></math>"))
+    assert [x for x in html_extract.Page("<head> <title>t</title>stray<p>a").items if x] == [(0, "stray"), (3, "a")]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_oracle(name, same, small):
     same(queries.QUERIES[name], queries.ORACLES[name], small)

@@ -28,7 +28,9 @@ from .html_labelled import pages as labelled_pages
 
 #: Fixed values of HTML: elements without content, without visible text, and those that begin and end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg iframe object canvas select textarea button math audio video".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object canvas select textarea button audio video".split())
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -47,11 +49,13 @@ class Page:
         self.tag, self.parent, self.names, self.mark = ["#"], [-1], [()], [None]
         self.items: list = []  # (element, text), or None where a block begins or ends
         stack, at, end = [0], 0, len(source)
-        hidden = 0
+        dark = [False]  # for each element whether it is hidden or inside a hidden one
         while at < end:
             m = _TOKEN.search(source, at)
             stop = m.start() if m else end
-            if stop > at and not hidden:
+            if stop > at and self.tag[stack[-1]] == "head" and source[at:stop].strip():
+                stack.pop()
+            if stop > at and not dark[stack[-1]]:
                 self.items.append((stack[-1], source[at:stop]))
             if not m:
                 break
@@ -63,24 +67,26 @@ class Page:
                 while k and self.tag[stack[k]] != close:
                     k -= 1
                 if k:
-                    hidden -= sum(self.tag[x] in HIDDEN for x in stack[k:])
                     if any(self.tag[x] in BLOCK for x in stack[k:]):
                         self.items.append(None)
                     del stack[k:]
             elif name:
                 name = name.lower()
+                if self.tag[stack[-1]] == "head" and name not in HEAD:
+                    stack.pop()
                 if name in VOID:
-                    if not hidden:
+                    if not dark[stack[-1]]:
                         self.items.append(None if name == "hr" else (stack[-1], " "))
                     continue
                 if name in BLOCK:
                     self.items.append(None)
-                    self._close(stack, "p", ("button", "table"))
+                    self._close(stack, "p", ("button", "table", "object", "template"))
                 if name in _CLOSES:
                     for x in _CLOSES[name][0].split():
                         self._close(stack, x, _CLOSES[name][1])
                 self.tag.append(name)
                 self.parent.append(stack[-1])
+                dark.append(dark[stack[-1]] or name in HIDDEN)
                 attrs = {a.lower(): (x or y or z) for a, x, y, z in _NAMES.findall(m[3])} if m[3] else {}
                 self.names.append(tuple({w.lower() for a in ("class", "id", "role") for w in _WORD.findall(attrs.get(a, ""))}))
                 self.mark.append(attrs.get("y"))
@@ -91,7 +97,6 @@ class Page:
                         at = source.find(">", at) + 1 or end
                 elif not m[3].rstrip().endswith("/") or name in BLOCK:
                     stack.append(len(self.tag) - 1)
-                    hidden += name in HIDDEN
         # text and link text under each element
         n = len(self.tag)
         self.chars, self.links = [0] * n, [0] * n
