@@ -136,6 +136,18 @@ def test_fasta_fastq_and_gzip(spark, tmp_path):
     assert got == [(0, "one", "ACGT"), (1, "two", "GG")]
 
 
+def test_many_small_files_and_empty_reads(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i:02}.fa").write_text(f">a{i}\nACGT\n>b{i}\nGG\nTT\n")
+        (tmp_path / f"{i:02}.fq").write_text(f"@a{i}\nACGT\n+\n@+@+\n@b{i}\n\n+\n\n@c{i} x\nGG\n+c{i}\n+@\n")
+    got = [(r["read_id"], r["name"], r["sequence"]) for r in sources.fasta_reads(spark, str(tmp_path / "*.fa")).orderBy("read_id").collect()]
+    assert got == [(2 * i + k, f"{'ab'[k]}{i}", ("ACGT", "GGTT")[k]) for i in range(30) for k in range(2)]
+    got = [(r["read_id"], r["name"], r["raw_length"], r["sequence"]) for r in sources.fastq_reads(spark, str(tmp_path / "*.fq")).orderBy("read_id").collect()]
+    assert got == [(3 * i + k, f"{'abc'[k]}{i}", (4, 0, 2)[k], ("ACGT", "", "GG")[k]) for i in range(30) for k in range(3)]
+    (tmp_path / "blank.fastq").write_text("\n@one\nAC\n+\n@@\n\n\n@two\nGG\n+\n+I\n\n@cut\nAC\n")
+    assert sorted((r["name"], r["sequence"]) for r in sources.fastq_reads(spark, str(tmp_path / "blank.fastq")).collect()) == [("one", "AC"), ("two", "GG")]
+
+
 def near_copies(spark):
     rng = random.Random(5)
     base = "".join(rng.choice("ACGT") for _ in range(400))

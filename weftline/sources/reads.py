@@ -31,14 +31,13 @@ def _records(spark: SparkSession, paths, mark: str) -> DataFrame:
 
 
 def _numbered(records: DataFrame) -> DataFrame:
-    """Ids by file and place: a count for each task's part, then running sums, so no task numbers a whole file."""
-    part = F.shiftright("at", 33)
-    keyed = records.withColumn("part", part)
-    parts = keyed.groupBy("path", "block", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.orderBy("path", "block", "part").rowsBetween(W.unboundedPreceding, -1))  # one row a part
-    offsets = parts.select("part", F.coalesce(before, F.lit(0)).alias("offset"))
-    rank = F.row_number().over(W.partitionBy("part").orderBy("at")) - 1
-    return keyed.withColumn("rank", rank).join(offsets, "part").withColumn("read_id", F.col("offset") + F.col("rank"))
+    """Ids by file and place: a count for each block of a file, then running sums, so no task numbers a whole file. A task
+    may hold many small files, so all is by (path, block)."""
+    parts = records.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy("path", "block").rowsBetween(W.unboundedPreceding, -1))  # one row a block
+    offsets = parts.select("path", "block", F.coalesce(before, F.lit(0)).alias("offset"))
+    rank = F.row_number().over(W.partitionBy("path", "block").orderBy("at")) - 1
+    return records.withColumn("rank", rank).join(offsets, ["path", "block"]).withColumn("read_id", F.col("offset") + F.col("rank"))
 
 
 def fasta_reads(spark: SparkSession, *paths: str) -> DataFrame:
@@ -51,17 +50,21 @@ def fasta_reads(spark: SparkSession, *paths: str) -> DataFrame:
 
 def fastq_reads(spark: SparkSession, *paths: str) -> DataFrame:
     """Records of four lines; qualities are dropped. An at-sign that begins a quality line is no record: a record is cut
-    where a line with an at-sign is followed by a sequence line and a plus line."""
-    # lines are numbered within a file, so the four lines of a record are found by position
+    where a line with an at-sign is followed by a sequence line and a plus line. Sequence and quality may be empty lines, and
+    empty lines may stand between records (ids then have gaps); lines that make no record, as in a cut file, are left out."""
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("body"))
-    lines = _numbered(lines.where(F.trim("body") != ""))
-    first = W.partitionBy("path")
-    lines = lines.withColumn("line", F.col("read_id") - F.min("read_id").over(first))
-    rows = lines.groupBy("path", F.floor(F.col("line") / 4).alias("record")).agg(
-        F.max(F.when(F.col("line") % 4 == 0, F.col("body"))).alias("head"), F.max(F.when(F.col("line") % 4 == 1, F.col("body"))).alias("sequence"), F.min("read_id").alias("at")
+    # each line says what it would be in a record that begins at it, one line or two lines before
+    line = _numbered(lines).select("path", F.col("read_id").alias("line"), "body")
+    roles = F.array(
+        F.when(F.col("body").startswith("@"), F.struct(F.col("line").alias("first"), F.lit(0).alias("role"))),
+        F.struct((F.col("line") - 1).alias("first"), F.lit(1).alias("role")),
+        F.when(F.col("body").startswith("+"), F.struct((F.col("line") - 2).alias("first"), F.lit(2).alias("role"))),
     )
+    said = line.select("path", "body", F.explode(F.array_compact(roles)).alias("r")).select("path", "r.first", "r.role", F.when(F.col("r.role") < 2, F.col("body")).alias("body"))
+    part = lambda k: F.max(F.when(F.col("role") == k, F.col("body")))
+    rows = said.groupBy("path", "first").agg(part(0).alias("head"), part(1).alias("sequence"), F.max("role").alias("last")).where("head is not null and sequence is not null and last = 2")
     rows = rows.withColumn("name", F.regexp_extract("head", r"^@([^\s]*)", 1)).withColumn("sequence", F.regexp_replace("sequence", r"\s+", ""))
-    return rows.select(F.floor(F.col("at") / 4).cast("long").alias("read_id"), "name", F.length("sequence").cast("long").alias("raw_length"), "sequence")
+    return rows.select(F.floor(F.col("first") / 4).cast("long").alias("read_id"), "name", F.length("sequence").cast("long").alias("raw_length"), "sequence")
 
 
 def write_overlaps(overlaps: DataFrame, path: str) -> None:
