@@ -68,6 +68,27 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(df.limit(0), tool_calls.tool_table(spark)).count() == 0
 
 
+def test_tool_calls_without_identifier_or_name_stay(spark):
+    good = {"id": "c1", "name": "calculator", "arguments": {"expression": "1+1"}}
+    other = {"type": "function", "function": {"name": "search", "b": 1, "a": [None, 2.5]}}
+    mixed = json.dumps({"thought": {"z": 1, "a": "é"}, "content": "x", "tool_calls": [good, {"name": "calculator", "arguments": {}}, {"id": "c2", "arguments": {"q": 1}, "note": "n"}, other, None]})
+    rows = [(1, 0, "assistant", mixed), (1, 1, "tool", json.dumps({"tool_call_id": "c1", "content": "2", "ms": 5})), (1, 2, "tool", json.dumps({"tool_call_id": "c2", "content": "3"})), (None, 3, "assistant", mixed)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in tool_calls.link_tool_calls(df, tool_calls.tool_table(spark)).collect()}
+    first = json.loads(got[0]["json"])
+    assert (got[0]["n_calls"], got[0]["n_linked"], got[0]["n_faults"]) == (5, 2, 7) and first["extra"] == {"thought": {"z": 1, "a": "é"}}
+    assert first["calls"] == [
+        {**good, "faults": [], "state": "answered"},
+        {"arguments": {}, "faults": ["missing argument expression", "missing identifier"], "name": "calculator", "state": "open"},
+        {"arguments": {"q": 1}, "extra": {"note": "n"}, "faults": ["missing name"], "id": "c2", "state": "answered"},
+        {"extra": other, "faults": ["missing identifier", "missing name"], "state": "open"},
+        {"faults": ["missing identifier", "missing name"], "state": "open"},
+    ]
+    assert json.loads(got[1]["json"])["extra"] == {"ms": 5} and got[2]["depth"] == 1 and json.loads(got[3]["json"])["content"] == mixed
+    for r in got.values():
+        assert json.dumps(json.loads(r["json"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r["json"]
+
+
 def test_pipeline_equals_plain_version(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
