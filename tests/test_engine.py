@@ -1,15 +1,18 @@
 """Operators against literal simulations and hand-made cases."""
 
 import gzip
-import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import cli, shared
 from weftline.config import JoinParams, SketchParams
+from weftline.functions import rolling
 from weftline.functions.sequence import twobit_decode, twobit_encode, twobit_slice
-from weftline.operators import index, matching, report, sketch
+from weftline.operators import arrow_sketch, index, matching, report, sketch
+from weftline.operators.stored import store_index
 from weftline.sources import reads as sources
 from weftline.streaming.query_mode import stream_overlaps
 
@@ -18,13 +21,25 @@ def sequences(spark, *seqs):
     return spark.createDataFrame([(i, f"r{i}", len(s), s) for i, s in enumerate(seqs)], "read_id long, name string, raw_length long, sequence string")
 
 
+def occurrences(spark, *rows):
+    return spark.createDataFrame(rows, "key string, read_id long, fw boolean, start long, end long, raw_length long")
+
+
+def kmer_hash(kmer):
+    """Polynomials of the code points to two bases, the fifth power of each modulo the prime."""
+    out = 0
+    for base in rolling.BASES:
+        out = (out << 31) + pow(sum(ord(c) * pow(base, len(kmer) - 1 - i) for i, c in enumerate(kmer)), 5, rolling.PRIME)
+    return out
+
+
 def simulate(seq, k, n, w):
     """Window vectors by brute force: leftmost smallest hash of w + 1 k-mers in each window, emitted on change."""
-    h = [hashlib.md5(seq[i : i + k].encode()).hexdigest()[:16] for i in range(len(seq) - k + 1)]
+    h = [kmer_hash(seq[i : i + k]) for i in range(len(seq) - k + 1)]
     out, last = [], None
     for s in range(len(seq) - n * w - k + 1):
         best = [min((h[i], i) for i in range(j * w + s, (j + 1) * w + s + 1)) for j in range(n)]
-        v = "".join(x[0] for x in best)
+        v = tuple(x[0] for x in best)
         if v != last:
             out.append((s, v, best[0][1], best[-1][1]))
         last = v
@@ -37,8 +52,9 @@ def test_emissions_equal_simulation(spark, k, n, w, block):
     seqs = ["".join(rng.choice("AC" if i % 2 else "ACGT") for _ in range(rng.randint(0, 60))) for i in range(25)] + ["A" * 40, "", "ACGT" * 12]
     p = SketchParams(k, n, w, "none", block)
     got = {}
-    for r in sketch.emitted(sequences(spark, *seqs), p).where("fw").select("read_id", "base", F.explode("e").alias("x")).collect():
-        got.setdefault(r["read_id"], []).append((r["x"]["shift"], "".join(r["x"]["v"]), r["x"]["a"] + r["base"], r["x"]["z"] + r["base"]))
+    for r in sketch.emitted(sequences(spark, *seqs), p).collect():  # as exploded rows Spark would push a filter through all stages
+        for x in r["e"] if r["fw"] else []:
+            got.setdefault(r["read_id"], []).append((x["shift"], tuple(x["v"]), x["a"] + r["base"], x["z"] + r["base"]))
     assert {i: sorted(v) for i, v in got.items()} == {i: e for i, s in enumerate(seqs) if (e := simulate(s, k, n, w))}
 
 
@@ -51,16 +67,49 @@ def test_arrow_sketch_equals_column_functions(spark, k, n, w, mask):
     assert sorted(map(tuple, sketch.chunks(df, p).collect())) == sorted(map(tuple, sketch.chunks(df, p, columns_only=True).collect()))
 
 
+def test_arrow_sketch_in_small_pieces_and_blocks(monkeypatch):
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("AC") for _ in range(rng.randint(0, 300))) for _ in range(30)]
+    chars, at = arrow_sketch._chars(pa.array([*seqs, None, "é" * 20 + "ACGT" * 9]), 0, 32)
+    for n, mask in ((1, "none"), (3, "hpc"), (2, "microsat")):
+        got = []
+        for block, piece in ((1 << 16, 1 << 18), (1, 1), (7, 64), (33, 1)):
+            monkeypatch.setattr(arrow_sketch, "PIECE", piece)
+            got.append([x.tolist() for x in arrow_sketch.sketch_strands(chars, at, SketchParams(4, n, 5, mask, block))])
+        assert len(got[0][0]) and all(x == got[0] for x in got)
+
+
+def test_hot_keys_are_joined_whole(spark):
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else f"k{i % 40}", i % 25, bool(i % 2), a := rng.randrange(90), a + rng.randrange(30), 500) for i in range(400)]
+    c = occurrences(spark, *rows)
+    for both in (False, True):
+        want = sorted((a[0], a[1], b[1], a[3], b[3]) for a in rows for b in rows if a[0] == b[0] and (a[1] != b[1] if both else a[1] < b[1]) and abs((a[4] - a[3]) - (b[4] - b[3])) <= 20)
+        for split in (7, 50, 4096):
+            got = matching.matches(c, JoinParams(max_length_difference=20, split=split), both)
+            assert sorted((r["key"], r["left"], r["right"], r["l_start"], r["r_start"]) for r in got.collect()) == want
+    few = matching.matches(c, JoinParams(max_length_difference=20, max_coverage=60, split=7)).collect()
+    assert few and all(r["key"] != "hot" for r in few)
+
+
+def test_long_lists_come_in_pieces(spark):
+    c = occurrences(spark, *[("k", i, True, 0, 9, 50) for i in range(50)])
+    pieces = index.buckets(c, 8).collect()
+    assert len(pieces) == 7 and max(len(r["occurrences"]) for r in pieces) <= 8 and sorted(x["read_id"] for r in pieces for x in r["occurrences"]) == list(range(50))
+    sets = matching.pair_sets(c, size=8).where("read_id = 3").collect()
+    assert len(sets) == 7 and sorted(x for r in sets for x in r["partners"]) == [i for i in range(50) if i != 3] and {r["n_partners"] for r in sets} == {49}
+
+
 def test_too_short_and_shortest(spark):
     p = SketchParams(3, 2, 4, "none")
     rng = random.Random(1)
     s = "".join(rng.choice("ACGT") for _ in range(p.span))
     assert sketch.emitted(sequences(spark, s[:-1]), p).count() == 0
-    assert sketch.blocks(sketch.masked(sketch.strands(sequences(spark, s)), "none"), p).where("fw").first()["shifts"] == 1
+    assert sketch.blocks(sketch.masked(sketch.strands(sequences(spark, s)), "none"), p).first()["shifts"] == 1
 
 
 def test_equal_hashes_emit_once_leftmost(spark):
-    e = sketch.emitted(sequences(spark, "A" * 50), SketchParams(3, 2, 4, "none")).where("fw").first()["e"]
+    e = sketch.emitted(sequences(spark, "A" * 50), SketchParams(3, 2, 4, "none")).first()["e"]
     assert len(e) == 1 and e[0]["a"] == 0
 
 
@@ -75,10 +124,6 @@ def test_masks(spark):
         SketchParams(mask="other")
 
 
-def occurrences(spark, *rows):
-    return spark.createDataFrame(rows, "key string, read_id long, fw boolean, start long, end long, raw_length long")
-
-
 def test_length_difference_bound(spark):
     c = occurrences(spark, ("k", 0, True, 0, 100, 500), ("k", 1, True, 0, 110, 500), ("k", 2, True, 0, 111, 500))
     got = {(r["left"], r["right"]) for r in matching.matches(c, JoinParams(max_length_difference=10)).collect()}
@@ -108,7 +153,7 @@ def test_strand_normalisation(spark, l_fw, r_fw, want):
 
 @pytest.mark.parametrize(("shift", "boxes"), [(700, [(0, 300, 0, 800)]), (701, [(0, 100, 0, 100), (200, 300, 701, 801)])])
 def test_chain_gap(spark, shift, boxes):
-    m = spark.createDataFrame([(0, 1, 0, 100, 0, 100, True), (0, 1, 200, 300, shift, shift + 100, True)], "left long, right long, l_start long, l_end long, r_start long, r_end long, r_fw boolean")
+    m = spark.createDataFrame([(0, 1, 0, 100, 0, 100, True, 900, 900), (0, 1, 200, 300, shift, shift + 100, True, 900, 900)], "left long, right long, l_start long, l_end long, r_start long, r_end long, r_fw boolean, l_len long, r_len long")
     assert sorted((r["l_start"], r["l_end"], r["r_start"], r["r_end"]) for r in matching.chains(m).collect()) == boxes
 
 
@@ -171,8 +216,35 @@ def test_stream_equals_batch(spark, tmp_path):
     r, p = near_copies(spark), SketchParams(7, 2, 10)
     r.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream_overlaps(stream, r, lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "check"), p)
+    kept = store_index(r, "kept", p, buckets=3)
+    q = stream_overlaps(stream, kept, lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "check"))
     assert q.awaitTermination(120)
     batch = report.query_overlaps(r, r, p)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
     assert any(x["left"] == x["right"] for x in batch.collect())  # a query that is in the index is reported
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = kept.overlaps(r)._jdf.queryExecution().optimizedPlan().toString(), matching.query_matches(sketch.chunks(r, p), kept.chunks(spark))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan[1].count("Exchange hashpartitioning") == 1  # the index is not shuffled
+    kept.drop(spark)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    rows = near_copies(spark).collect()
+    (tmp_path / "a.fa").write_text("".join(f">{r['name']}\n{r['sequence']}\n" for r in rows[:2]))
+    (tmp_path / "b.fq").write_text("".join(f"@{r['name']}\n{r['sequence']}\n+\n{'I' * len(r['sequence'])}\n" for r in rows[2:]))
+    own = ["--k", "11", "--num-windows", "2", "--window-size", "10"]
+    cli.main(["overlaps", str(tmp_path / "all"), str(tmp_path / "a.fa"), str(tmp_path / "b.fq"), *own], spark)
+    cli.main(["query", str(tmp_path / "query"), str(tmp_path / "a.fa"), str(tmp_path / "b.fq"), str(tmp_path / "a.fa"), *own], spark)
+    assert {(r["left"], r["right"]) for r in sources.read_overlaps(spark, str(tmp_path / "all")).collect()} == {("r0", "r1")}
+    assert {(r["left"], r["right"]) for r in sources.read_overlaps(spark, str(tmp_path / "query")).collect()} == {("r0", "r0"), ("r0", "r1"), ("r1", "r0"), ("r1", "r1")}
+    assert "number_reads\t3" in capsys.readouterr().err
+
+
+def test_written_tables_go(spark):
+    import os
+
+    t = shared.written(spark.range(5))
+    assert shared.written(t) is t and t.count() == 5
+    shared.dropped(t, spark.range(1))
+    assert not os.path.exists(t._weftline_path)

@@ -1,66 +1,146 @@
-"""The sketch of a strand with numpy: what ``sketch.emissions`` says in column functions, many times faster.
+"""The sketch of many strands at once with numpy: what ``sketch.emissions`` says in column functions, many times faster.
 
-A strand is one row of an Arrow batch. Masks are run boundaries, k-mer hashes the first eight bytes of md5 (the order of
-their hex digits), window minima are doubled, and a position counts where a window's hash changes. Nothing is kept between
-rows, and memory is a few arrays of the strand's length.
+The strands of an Arrow batch are taken in pieces of about ``PIECE`` bytes and laid end to end. Masks are run boundaries,
+k-mer hashes are put together from those of halves, window minima are doubled, and a position counts where a
+window's hash changes: array operations over the whole piece, no loop over symbols, k-mers or strands (but for the runs of the
+``microsat`` mask, which a regular expression finds). Hashes and minima are made for blocks of window positions, so a long
+strand needs its letters, and a number and a place for each symbol, and nothing else of its length.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from weftline.config import SketchParams
+from weftline.functions.rolling import BASES, PRIME, SYMBOL_BASE
 
+PIECE = 1 << 18
 _TANDEM = re.compile(r"(.{1,6}?)\1+|.", re.S)
 SCHEMA = "key string, read_id long, fw boolean, start long, end long, raw_length long, place long"
 
 
-def _symbols(seq: str, mask: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The masked strand as bytes, where each symbol begins in them (one more at the end), and its raw start (likewise)."""
+def _residue(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for x below 2^62."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    x[x == PRIME] = 0
+    return x
+
+
+def kmer_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all rows of ``k`` neighbouring codes."""
+    out = []
+    for base in BASES:
+        power, have, whole, size = codes, 1, None, 0
+        while True:
+            if k & have:  # k as a sum of powers of two, smallest first
+                n = len(power) - size
+                whole = power if whole is None else _residue(whole[:n] * pow(base, have, PRIME) + power[size:])
+                size += have
+            if have * 2 > k:
+                break
+            power = _residue(power[:-have] * pow(base, have, PRIME) + power[have:])
+            have *= 2
+        squared = _residue(whole * whole)
+        out.append(_residue(_residue(squared * squared) * whole))
+    return (out[0] << 31) + out[1]
+
+
+def _chars(texts: pa.Array, row: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of some texts end to end, and where each begins (one more at the end)."""
+    part = texts.slice(row, stop - row).to_pylist()
+    texts = [t or "" for t in part]
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+
+
+def _symbols(chars: np.ndarray, at: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the symbols of strands end to end, and where each begins in ``chars``."""
     if mask == "microsat":
-        found = [(m.start(), (m[1] or m[0]) + ".") for m in _TANDEM.finditer(seq)]
-        starts, text = np.array([a for a, _ in found], np.int64), [s.encode() for _, s in found]
-        return b"".join(text), np.concatenate(([0], np.cumsum([len(s) for s in text], dtype=np.int64))), np.append(starts, len(seq))
-    chars = np.frombuffer(seq.encode("utf-32-le"), np.uint32)
+        text, known, codes, starts = chars.tobytes().decode("utf-32-le", "surrogatepass"), {}, [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            for m in _TANDEM.finditer(text, a, b):
+                symbol = m[1] or m[0]
+                if symbol not in known:
+                    value = 0
+                    for c in symbol + ".":
+                        value = (value * SYMBOL_BASE + ord(c)) % PRIME
+                    known[symbol] = value
+                codes.append(known[symbol])
+                starts.append(m.start())
+        return np.array(codes, np.int64), np.array(starts, np.int64)
     first = np.ones(len(chars), bool)
     if mask == "hpc":
         first[1:] = chars[1:] != chars[:-1]
+        first[at[:-1][np.diff(at) > 0]] = True
     starts = np.flatnonzero(first)
-    kept = chars[starts]
-    text = kept.astype("<u4").tobytes().decode("utf-32-le")
-    data = text.encode()
-    sizes = np.ones(len(kept), np.int64) if len(data) == len(kept) else np.array([len(c.encode()) for c in text], np.int64)
-    return data, np.concatenate(([0], np.cumsum(sizes))), np.append(starts, len(chars))
-
-
-def sketch_strand(seq: str, p: SketchParams) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, raw starts and ends (inclusive), and the first window's symbol place of a strand's chunks, each chunk once."""
-    data, at, raw = _symbols(seq, p.mask)
-    n = len(at) - 1
-    if n < p.span:
-        return [], *[np.zeros(0, np.int64)] * 3
-    md5, bounds = hashlib.md5, at.tolist()
-    h = np.frombuffer(b"".join(md5(data[a:b]).digest()[:8] for a, b in zip(bounds, bounds[p.k :], strict=False)), ">u8").astype(np.uint64)
-    best, place, have, width = h, np.arange(len(h)), 1, p.window_size + 1
-    while have < width:
-        step = min(have, width - have)
-        right = best[step:] < best[: len(best) - step]  # of equal hashes the left one stays
-        best, place = np.where(right, best[step:], best[: len(best) - step]), np.where(right, place[step:], place[: len(place) - step])
-        have += step
-    shifts = n - p.span + 1
-    windows = np.stack([best[j * p.window_size : j * p.window_size + shifts] for j in range(p.num_windows)], axis=1)
-    new = np.concatenate(([0], np.flatnonzero((windows[1:] != windows[:-1]).any(axis=1)) + 1))
-    first, last = place[new], place[new + (p.num_windows - 1) * p.window_size]
-    start, end = raw[first], raw[last + p.k] - 1
-    digits, width = windows[new].astype(">u8").tobytes().hex(), 16 * p.num_windows
-    keys = [digits[i : i + width] for i in range(0, len(digits), width)]
-    once = list(dict(zip(zip(keys, start.tolist(), end.tolist(), strict=True), range(len(keys)), strict=True)).values())
-    return [keys[i] for i in once], start[once], end[once], first[once]
+    return chars[starts].astype(np.int64), starts
+
+
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(low - before, size) + np.arange(size.sum())
+
+
+def sketch_strands(chars: np.ndarray, at: np.ndarray, p: SketchParams):
+    """(strand, windows, start, end, place) of the chunks of strands that lie end to end in ``chars``, each chunk of a
+    strand once: window hashes, raw start and end (inclusive), and the symbol at the start, the last three within the strand."""
+    codes, starts = _symbols(chars, at, p.mask)
+    first = np.searchsorted(starts, at)
+    shifts = np.diff(first) - p.span + 1
+    strand = np.flatnonzero(shifts > 0)
+    # segments: a block of window positions with the position before it, if there is one, and the symbols that it needs
+    blocks = -(-shifts[strand] // p.block)
+    owner, number = np.repeat(strand, blocks), _ranges(np.zeros(len(strand), np.int64), blocks)
+    low = np.maximum(number * p.block - 1, 0)
+    size = np.minimum((number + 1) * p.block, shifts[owner]) - low + p.span - 1
+    group = np.cumsum(size) // max(p.block, PIECE)
+    parts = []
+    for g in np.unique(group):
+        s = np.flatnonzero(group == g)
+        place = _ranges(first[owner[s]] + low[s], size[s])
+        begin = np.cumsum(size[s]) - size[s]
+        h = kmer_hashes(codes[place], p.k)
+        # the smallest hash of each window and where it is; of equal ones the left one stays
+        best, where, have, width = h, np.arange(len(h)), 1, p.window_size + 1
+        while have < width:
+            step = min(have, width - have)
+            right = best[step:] < best[:-step]
+            best, where = np.where(right, best[step:], best[:-step]), np.where(right, where[step:], where[:-step])
+            have += step
+        positions = _ranges(begin, size[s] - p.span + 1)
+        windows = np.stack([best[positions + j * p.window_size] for j in range(p.num_windows)], axis=1)
+        new = np.ones(len(positions), bool)
+        new[1:] = (windows[1:] != windows[:-1]).any(axis=1)
+        count = size[s] - p.span + 1
+        head = np.cumsum(count) - count
+        new[head] = number[s] == 0  # the first position of a strand; in later blocks it is there for comparison only
+        positions = positions[new]
+        a, z = place[where[positions]], place[where[positions + (p.num_windows - 1) * p.window_size] + p.k - 1]
+        parts.append((np.repeat(owner[s], count)[new], windows[new], a, z))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none, np.zeros((0, p.num_windows), np.int64), none, none, none
+    owner, windows, a, z = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((*windows.T, z, a, owner))
+    owner, windows, a, z = owner[order], windows[order], a[order], z[order]
+    once = np.ones(len(owner), bool)
+    once[1:] = (owner[1:] != owner[:-1]) | (a[1:] != a[:-1]) | (z[1:] != z[:-1]) | (windows[1:] != windows[:-1]).any(axis=1)
+    owner, windows, a, z = owner[once], windows[once], a[once], z[once]
+    after = np.append(starts[1:], len(chars))
+    return owner, windows, starts[a] - at[owner], after[z] - 1 - at[owner], a - first[owner]
+
+
+def _keys(windows: np.ndarray) -> pa.Array:
+    """Window hashes as hex digits in a row."""
+    digits, width = windows.astype(">i8").tobytes().hex().encode(), 16 * windows.shape[1]
+    offsets = np.arange(len(windows) + 1, dtype=np.int64) * width
+    return pa.LargeStringArray.from_buffers(len(windows), pa.py_buffer(offsets), pa.py_buffer(digits)).cast(pa.string())
 
 
 def sketched(strands: DataFrame, p: SketchParams) -> DataFrame:
@@ -68,10 +148,15 @@ def sketched(strands: DataFrame, p: SketchParams) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, fws, lengths, seqs = (batch.column(c) for c in ("read_id", "fw", "raw_length", "seq"))
-            for i in range(batch.num_rows):
-                keys, start, end, place = sketch_strand(seqs[i].as_py() or "", p)
-                same = lambda x: pa.array([x.as_py()] * len(keys), x.type)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), same(ids[i]), same(fws[i]), pa.array(start, pa.int64()), pa.array(end, pa.int64()), same(lengths[i]), pa.array(place, pa.int64())], names=["key", "read_id", "fw", "start", "end", "raw_length", "place"])
+            texts = batch.column("seq")
+            upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+            row = 0
+            while row < batch.num_rows:
+                stop = max(row + 1, int(np.searchsorted(upto, upto[row] + PIECE, "right")) - 1)
+                strand, windows, start, end, place = sketch_strands(*_chars(texts, row, stop), p)
+                own = pa.array(strand + row)
+                same = {c: batch.column(c).take(own) for c in ("read_id", "fw", "raw_length")}
+                yield pa.RecordBatch.from_arrays([_keys(windows), same["read_id"], same["fw"], pa.array(start, pa.int64()), pa.array(end, pa.int64()), same["raw_length"], pa.array(place, pa.int64())], names=["key", "read_id", "fw", "start", "end", "raw_length", "place"])
+                row = stop
 
     return strands.select("read_id", "fw", "raw_length", "seq").mapInArrow(run, SCHEMA)

@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import JoinParams, SketchParams
-from weftline.plans.shared import written
+from weftline.shared import written
 
-from .index import chunk_counts, covered
-from .matching import chains, matches, normalised, query_matches, read_pairs, reads_with_match
+from .index import chunk_counts, key_counts, within
+from .matching import chains, matches, normalised, query_matches, reads_with_match
 from .sketch import chunks
 
 
 def named(chain_rows: DataFrame, left_reads: DataFrame, right_reads: DataFrame) -> DataFrame:
-    """Ten columns: name, length, start, end and strand of both reads. Names come by join on ids."""
+    """Ten columns: name, length, start, end and strand of both reads. Chains carry the lengths, names come by join, so of
+    the reads only ids and names are read."""
     strand = lambda c: F.when(F.col(c), "fw").otherwise("bw")
-    l = left_reads.select(F.col("read_id").alias("left"), F.col("name").alias("l_name"), F.col("raw_length").alias("left_len"))  # noqa: E741
-    r = right_reads.select(F.col("read_id").alias("right"), F.col("name").alias("r_name"), F.col("raw_length").alias("right_len"))
-    out = chain_rows.join(l, "left").join(r, "right")
-    return out.select(
-        F.col("l_name").alias("left"), "left_len", F.col("l_start").alias("left_start"), F.col("l_end").alias("left_end"), strand("l_fw").alias("left_strand"),
-        F.col("r_name").alias("right"), "right_len", F.col("r_start").alias("right_start"), F.col("r_end").alias("right_end"), strand("r_fw").alias("right_strand"),
+    l = left_reads.select(F.col("read_id").alias("left"), F.col("name").alias("l_name"))  # noqa: E741
+    r = right_reads.select(F.col("read_id").alias("right"), F.col("name").alias("r_name"))
+    return chain_rows.join(l, "left").join(r, "right").select(
+        F.col("l_name").alias("left"), F.col("l_len").alias("left_len"), F.col("l_start").alias("left_start"), F.col("l_end").alias("left_end"), strand("l_fw").alias("left_strand"),
+        F.col("r_name").alias("right"), F.col("r_len").alias("right_len"), F.col("r_start").alias("right_start"), F.col("r_end").alias("right_end"), strand("r_fw").alias("right_strand"),
     )
 
 
@@ -36,17 +36,16 @@ def query_overlaps(queries: DataFrame, index: DataFrame, p: SketchParams = Sketc
 
 
 def stats(reads: DataFrame, p: SketchParams = SketchParams(), j: JoinParams = JoinParams()) -> DataFrame:  # noqa: B008
-    """The nine counters of an all-vs-all run, one row."""
-    c = written(chunks(reads, p))  # read by six aggregates
-    m = matches(c, j)
-    use = covered(c, j)
+    """The nine counters of an all-vs-all run, one row. The join is made once: pairs and matches are counted from chains."""
+    c = written(chunks(reads, p))  # read by several aggregates
+    pairs = chains(normalised(matches(c, j)), j).groupBy("left", "right").agg(F.count("*").alias("chains"), F.sum("n_matches").alias("matches"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
     parts = [
         reads.agg(F.count("*").alias("number_reads")),
         chunk_counts(c),
-        use.agg(F.count("*").alias("read_chunk_matches"), F.coalesce(F.max("n"), F.lit(0)).alias("max_chunk_size")),
+        key_counts(c).where(within(F.col("n"), j)).agg(total("n").alias("read_chunk_matches"), F.coalesce(F.max("n"), F.lit(0)).alias("max_chunk_size")),
         reads_with_match(c, j).agg(F.count("*").alias("reads_with_match")),
-        read_pairs(m).agg(F.count("*").alias("read_pair_matches"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("window_matches")),
-        chains(normalised(m), j).agg(F.count("*").alias("chain_matches")),
+        pairs.agg(F.count("*").alias("read_pair_matches"), total("chains").alias("chain_matches"), total("matches").alias("window_matches")),
     ]
     out = parts[0]
     for x in parts[1:]:  # rows of totals: one each

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import SketchParams
+from weftline.functions.rolling import BASES, code, digits, hashed, joined
 from weftline.functions.sequence import ahead, head, reverse_complement
 
 from .arrow_sketch import sketched
@@ -73,16 +74,25 @@ def _doubled(df: DataFrame, name: str, width: int, combine) -> tuple[DataFrame,
 
 
 def hashed_kmers(block_rows: DataFrame, p: SketchParams) -> DataFrame:
-    """Blocks with ``h``: the hash of each k-mer, the first 16 hex digits of its md5, in order of the symbols."""
-    df, _ = _doubled(block_rows.withColumn("s1", F.transform("syms", lambda x: x["s"])), "s", p.k, lambda a, b: F.concat(a, b))
-    kmer, at = None, 0
-    for bit in reversed(range(p.k.bit_length())):  # k as a sum of powers of two, largest first
-        if p.k >> bit & 1:
-            piece = ahead(F.col(f"s{1 << bit}"), at)
-            kmer = piece if kmer is None else F.zip_with(kmer, piece, lambda a, b: F.concat(a, b))
-            at += 1 << bit
-    n = F.size("syms") - p.k + 1
-    return df.select(*block_rows.columns, F.transform(head(kmer, n), lambda x: F.substring(F.md5(x), 1, 16)).alias("h"))
+    """Blocks with ``h``: the hash of each k-mer (``functions.rolling``), in order of the symbols."""
+    letters = 7 if p.mask == "microsat" else 1
+    df, n, parts = block_rows, F.size("syms") - p.k + 1, []
+    for i, base in enumerate(BASES):
+        name = f"p{i}_"
+        df = df.withColumn(f"{name}1", F.transform("syms", lambda x: code(x["s"], letters)))
+        have = 1
+        while have * 2 <= p.k:
+            df = df.withColumn(f"{name}{have * 2}", F.zip_with(f"{name}{have}", ahead(F.col(f"{name}{have}"), have), lambda a, b: joined(a, b, have, base)))  # noqa: B023
+            have *= 2
+        kmer, at = None, 0
+        for bit in reversed(range(p.k.bit_length())):  # k as a sum of powers of two, largest first
+            if (size := p.k & (1 << bit)) :
+                piece = ahead(F.col(f"{name}{size}"), at)
+                kmer = piece if kmer is None else F.zip_with(kmer, piece, lambda a, b: joined(a, b, size, base))  # noqa: B023
+                at += size
+        df = df.withColumn(f"{name}k", head(kmer, n))
+        parts.append(f"{name}k")
+    return df.select(*block_rows.columns, F.zip_with(*parts, lambda a, b: hashed(a, b)).alias("h"))
 
 
 def minima(kmer_rows: DataFrame, p: SketchParams) -> DataFrame:
@@ -108,7 +118,7 @@ def vectors(minimum_rows: DataFrame, p: SketchParams) -> DataFrame:
 def emissions(vector_rows: DataFrame) -> DataFrame:
     """Blocks with ``e``: the positions where the hashes differ from those of the position before, and a strand's first.
     A minimum that only moves to an equal hash is no change."""
-    before = F.concat(F.array(F.lit(None).cast("array<string>")), F.transform("v", lambda x: x["v"]))
+    before = F.concat(F.array(F.lit(None).cast("array<bigint>")), F.transform("v", lambda x: x["v"]))
     pairs = F.zip_with("v", before, lambda x, b: F.struct(x.alias("x"), b.alias("b")))
     indexed = F.transform(F.slice(pairs, F.lit(1), F.size("v")), lambda y, i: F.struct(y["x"].alias("x"), i.alias("i"), F.when(i == 0, F.col("begins")).otherwise(y["x"]["v"] != y["b"]).alias("new")))
     rows = vector_rows.withColumn("t", indexed)
@@ -129,15 +139,15 @@ def chunks(reads: DataFrame, p: SketchParams = SketchParams(), columns_only: boo
     with a shuffle at the end, as the blocks of a strand can repeat a chunk."""
     if not columns_only:
         return sketched(strands(reads), p).drop("place")
-    e = F.transform("e", lambda x: F.struct(F.array_join(x["v"], "").alias("key"), F.get("syms", x["a"])["a"].cast("long").alias("start"), F.get("syms", x["z"] + (p.k - 1))["z"].cast("long").alias("end")))
+    e = F.transform("e", lambda x: F.struct(F.array_join(F.transform(x["v"], digits), "").alias("key"), F.get("syms", x["a"])["a"].cast("long").alias("start"), F.get("syms", x["z"] + (p.k - 1))["z"].cast("long").alias("end")))
     rows = emitted(reads, p).select("read_id", "fw", "raw_length", F.explode(F.array_distinct(e)).alias("x"))
     return rows.select("x.key", "read_id", "fw", "x.start", "x.end", "raw_length").distinct()
 
 
 def read_hashes(reads: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:  # noqa: B008
-    """(read_id, positions, hashes): the minimizers of the forward strand with one window, by place."""
+    """(read_id, positions, hashes): the minimizers of the forward strand with one window, by place. Arrays of a read are
+    bounded by its own length."""
     one = SketchParams(p.k, 1, p.window_size, p.mask, p.block)
     forward = reads.where(F.col("sequence").isNotNull()).select("read_id", F.lit(True).alias("fw"), "raw_length", F.col("sequence").alias("seq"))
-    # the pairs of a read meet again: bounded by the read's own length
     found = sketched(forward, one).groupBy("read_id").agg(F.array_sort(F.collect_set(F.struct(F.col("place").alias("pos"), F.col("key").alias("hash")))).alias("x"))
     return found.select("read_id", F.col("x.pos").alias("positions"), F.col("x.hash").alias("hashes"))

@@ -4,6 +4,7 @@ and k-mer, window functions over them, and joins. Only texts of queries are made
 from __future__ import annotations
 
 from weftline.config import JoinParams, SketchParams
+from weftline.functions.rolling import BASES, PRIME
 
 P, J = SketchParams(), JoinParams()
 
@@ -27,45 +28,51 @@ def symbols(pre: str = "") -> str:
   SELECT read_id, fw, raw_length, unnest(range(raw_length)) AS p, unnest(string_split(seq, '')) AS s FROM {pre}strands WHERE raw_length > 0),
 {pre}starts AS (
   SELECT * FROM {pre}letters QUALIFY s IS DISTINCT FROM lag(s) OVER (PARTITION BY read_id, fw ORDER BY p)),
-{pre}syms AS (
+{pre}syms AS MATERIALIZED (
   SELECT read_id, fw, raw_length, s, p AS a, coalesce(lead(p) OVER w, raw_length) - 1 AS z, row_number() OVER w - 1 AS c,
          count(*) OVER (PARTITION BY read_id, fw) AS n FROM {pre}starts WINDOW w AS (PARTITION BY read_id, fw ORDER BY p))"""
 
 
 def kmers(p: SketchParams = P, pre: str = "") -> str:
-    """K-mers by doubling: strings of 2, 4, 8 ... symbols from neighbours, then the sum of powers that k is."""
-    steps, have, last = [], 1, f"{pre}syms"
+    """Hashes of k-mers by doubling: polynomials of 2, 4, 8 ... symbols from neighbours, then the sum of powers that k is,
+    then the fifth power of both residues."""
+    over = "OVER (PARTITION BY read_id, fw ORDER BY c)"
+    steps, have, last = [f"{pre}k1 AS MATERIALIZED (SELECT read_id, fw, c, n, unicode(s)::BIGINT AS a1, unicode(s)::BIGINT AS b1 FROM {pre}syms)"], 1, f"{pre}k1"
     while have * 2 <= p.k:
         name = f"{pre}k{have * 2}"
-        base = "*, s AS s1" if have == 1 else "*"
-        one = "s" if have == 1 else f"s{have}"
-        steps.append(f"{name} AS (SELECT {base}, {one} || lead({one}, {have}) OVER (PARTITION BY read_id, fw ORDER BY c) AS s{have * 2} FROM {last})")
+        more = ", ".join(f"({x}{have} * {pow(base, have, PRIME)} + lead({x}{have}, {have}) {over}) % {PRIME} AS {x}{have * 2}" for x, base in zip("ab", BASES, strict=True))
+        steps.append(f"{name} AS (SELECT *, {more} FROM {last})")
         last, have = name, have * 2
-    parts, at = [], 0
-    for bit in reversed(range(p.k.bit_length())):
-        if p.k >> bit & 1:
-            parts.append(f"lead(s{1 << bit}, {at}) OVER w" if at else f"s{1 << bit}")
-            at += 1 << bit
-    steps.append(f"""{pre}kmers AS (
-  SELECT read_id, fw, c, n, substr(md5(kmer), 1, 16) AS h FROM (
-    SELECT read_id, fw, c, n, {" || ".join(parts)} AS kmer FROM {last} WINDOW w AS (PARTITION BY read_id, fw ORDER BY c)) x
-  WHERE kmer IS NOT NULL)""")
+    whole = []
+    for x, base in zip("ab", BASES, strict=True):
+        out, at = "", 0
+        for bit in reversed(range(p.k.bit_length())):
+            if p.k >> bit & 1:
+                piece = f"lead({x}{1 << bit}, {at}) {over}" if at else f"{x}{1 << bit}"
+                out = f"({out} * {pow(base, 1 << bit, PRIME)} + {piece}) % {PRIME}" if at else piece
+                at += 1 << bit
+        whole.append(f"{out} AS {x}")
+    fourth = lambda x: f"((({x} * {x}) % {PRIME}) * (({x} * {x}) % {PRIME})) % {PRIME}"
+    steps.append(f"""{pre}whole AS (SELECT read_id, fw, c, n, {", ".join(whole)} FROM {last}),
+{pre}kmers AS MATERIALIZED (
+  SELECT read_id, fw, c, n, ({fourth("a")} * a % {PRIME}) * 2147483648 + {fourth("b")} * b % {PRIME} AS h FROM {pre}whole WHERE a IS NOT NULL)""")
     return ",\n".join(steps)
 
 
 def minima(p: SketchParams = P, pre: str = "") -> str:
-    """The smallest hash, and of equal ones the leftmost, as one string that sorts so."""
+    """The smallest hash, and of equal ones the leftmost, as one number that sorts so."""
     return f"""{pre}mins AS (
-  SELECT read_id, fw, c, n, min(h || lpad(c::VARCHAR, 10, '0')) OVER (PARTITION BY read_id, fw ORDER BY c ROWS BETWEEN CURRENT ROW AND {p.window_size} FOLLOWING) AS m
+  SELECT read_id, fw, c, n, min(h::HUGEINT * 4294967296 + c) OVER (PARTITION BY read_id, fw ORDER BY c ROWS BETWEEN CURRENT ROW AND {p.window_size} FOLLOWING) AS m
   FROM {pre}kmers WHERE n >= {p.span}),
-{pre}minima AS (SELECT read_id, fw, c, n, substr(m, 1, 16) AS h, substr(m, 17)::BIGINT AS p FROM {pre}mins WHERE c <= n - {p.k} - {p.window_size})"""
+{pre}minima AS MATERIALIZED (SELECT read_id, fw, c, n, (m // 4294967296)::BIGINT AS h, (m % 4294967296)::BIGINT AS p FROM {pre}mins WHERE c <= n - {p.k} - {p.window_size})"""
 
 
 def vectors(p: SketchParams = P, pre: str = "") -> str:
     lead = lambda x, j: x if not j else f"lead({x}, {j * p.window_size}) OVER w"
-    v = " || ".join(lead("h", j) for j in range(p.num_windows))
+    v = ", ".join(f"{lead('h', j)} AS h{j}" for j in range(p.num_windows))
+    digits = " || ".join(f"printf('%016x', h{j})" for j in range(p.num_windows))
     return f"""{pre}vectors AS (
-  SELECT * FROM (SELECT read_id, fw, c, n, {v} AS key, p AS a, {lead("p", p.num_windows - 1)} AS z FROM {pre}minima WINDOW w AS (PARTITION BY read_id, fw ORDER BY c)) x
+  SELECT *, {digits} AS key FROM (SELECT read_id, fw, c, n, {v}, p AS a, {lead("p", p.num_windows - 1)} AS z FROM {pre}minima WINDOW w AS (PARTITION BY read_id, fw ORDER BY c)) x
   WHERE c <= n - {p.span})"""
 
 
@@ -74,7 +81,7 @@ def emissions(pre: str = "") -> str:
 
 
 def chunks(p: SketchParams = P, pre: str = "") -> str:
-    return f"""{pre}chunks AS (
+    return f"""{pre}chunks AS MATERIALIZED (
   SELECT DISTINCT e.key, e.read_id, e.fw, x.a AS start, y.z AS "end", x.raw_length
   FROM {pre}emissions e JOIN {pre}syms x ON x.read_id = e.read_id AND x.fw = e.fw AND x.c = e.a
   JOIN {pre}syms y ON y.read_id = e.read_id AND y.fw = e.fw AND y.c = e.z + {p.k - 1})"""
@@ -86,12 +93,12 @@ def to_chunks(table: str = "documents", key: str = "doc_id", p: SketchParams = P
 
 def covered(j: JoinParams = J) -> str:
     most = "" if j.max_coverage is None else f" AND n <= {j.max_coverage}"
-    return f"covered AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM chunks) x WHERE n >= {j.min_coverage}{most})"
+    return f"covered AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM chunks) x WHERE n >= {j.min_coverage}{most})"
 
 
 def matches(j: JoinParams = J, order: str = "<", left: str = "covered", right: str = "covered", read: bool = True) -> str:
     pair = f"l.read_id {order} r.read_id AND " if read else ""
-    return f"""matches AS (
+    return f"""matches AS MATERIALIZED (
   SELECT l.key, l.read_id AS "left", r.read_id AS "right", l.start AS l_start, l."end" AS l_end, r.start AS r_start, r."end" AS r_end,
          l.fw AS l_fw, r.fw AS r_fw, l.raw_length AS l_len, r.raw_length AS r_len
   FROM {left} l JOIN {right} r ON l.key = r.key WHERE {pair}abs((l."end" - l.start) - (r."end" - r.start)) <= {j.max_length_difference})"""

@@ -1,11 +1,13 @@
 """Queries of the sequence-overlap engine by name, and the DuckDB SQL that gives the same rows.
 
 Reads are the texts of ``documents`` folded to sequences; ``benchmark`` is the index of query mode. Stages that have one row
-for each symbol or k-mer are returned as one row for each strand with counts and a hash of the whole stage in order.
+for each symbol or k-mer are returned as one row for each strand with counts and a hash of the whole stage in order. A
+table of a few files is dealt over all cores first.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from weftline.config import JoinParams, SketchParams
 from weftline.functions.sequence import twobit_decode, twobit_encode, twobit_slice, twobit_valid
 from weftline.operators import index, matching, readhash, report, sketch
-from weftline.sources.reads import table_reads
+from weftline.functions.rolling import digits
+from weftline.shared import shared_dir, spread, written
+from weftline.sources.reads import fasta_reads, fastq_reads, table_reads
 
 from . import oracle as o
 
@@ -37,7 +41,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_reads(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table_reads(spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +99,33 @@ def q_read_count(spark, sf_dir):
     return reads(spark, sf_dir).agg(F.count("*").alias("number_reads"), F.sum("raw_length").alias("total_length"))
 
 
+# --- files: the reads written as sequence files in order of their ids, and read again. Ids are places then.
+
+
+def _files(spark, sf_dir, record) -> str:
+    path = f"{shared_dir(spark)}/weftline/files-{uuid.uuid4().hex}"
+    placed = reads(spark, sf_dir).repartitionByRange(16, "read_id").sortWithinPartitions("read_id")
+    placed.select(record.alias("value")).write.text(path)
+    return path
+
+
+_PLACED = f"{_W} SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, name, raw_length, sequence FROM reads"
+
+
+@_query(_PLACED)
+def q_fasta_scan(spark, sf_dir):
+    """Records with a remark behind the name, sequences in lines of sixty letters."""
+    folded = F.regexp_replace("sequence", "(.{60})", "$1\n")
+    return fasta_reads(spark, _files(spark, sf_dir, F.concat(F.lit(">"), F.col("name"), F.lit(" of documents\n"), folded)))
+
+
+@_query(_PLACED)
+def q_fastq_scan(spark, sf_dir):
+    """Records whose quality lines begin with an at-sign; reads without letters are empty lines."""
+    quality = F.rpad(F.lit("@"), F.col("raw_length").cast("int"), "+")
+    return fastq_reads(spark, _files(spark, sf_dir, F.concat(F.lit("@"), F.col("name"), F.lit(" of documents\n"), F.col("sequence"), F.lit("\n+\n"), quality)))
+
+
 # --- strands and masks
 
 
@@ -118,7 +149,8 @@ def q_eligible_reads(spark, sf_dir):
     return rows.select("read_id", "fw", n.alias("n_symbols"), (n - P.span + 1).alias("n_positions"))
 
 
-# --- sketch stages: a hash over all of a strand's rows in order. Whole strands are one block here.
+# --- sketch stages: a hash over all of a strand's rows in order. Whole strands are one block here, as a hash is of the whole;
+# the queries on chunks cut them to blocks.
 
 WHOLE = SketchParams(block=1 << 30)
 
@@ -127,23 +159,23 @@ def _masked(spark, sf_dir):
     return sketch.blocks(sketch.masked(sketch.strands(reads(spark, sf_dir)), P.mask), WHOLE)
 
 
-@_query(f"""{_KMERS} SELECT read_id, fw, count(*) AS n_kmers, min(h) AS least, max(h) AS most, md5(string_agg(h, '' ORDER BY c)) AS hashes
+@_query(f"""{_KMERS} SELECT read_id, fw, count(*) AS n_kmers, min(h) AS least, max(h) AS most, md5(string_agg(h::VARCHAR, ',' ORDER BY c)) AS hashes
 FROM kmers WHERE n >= {P.span} GROUP BY ALL""")
 def q_kmers(spark, sf_dir):
     rows = sketch.hashed_kmers(_masked(spark, sf_dir), WHOLE)
-    return rows.select("read_id", "fw", F.size("h").cast("long").alias("n_kmers"), F.array_min("h").alias("least"), F.array_max("h").alias("most"), F.md5(F.array_join("h", "")).alias("hashes"))
+    return rows.select("read_id", "fw", F.size("h").cast("long").alias("n_kmers"), F.array_min("h").alias("least"), F.array_max("h").alias("most"), F.md5(F.array_join(F.transform("h", lambda x: x.cast("string")), ",")).alias("hashes"))
 
 
-@_query(f"""{_MINIMA} SELECT read_id, fw, count(*) AS n_windows, md5(string_agg(h || p::VARCHAR, ',' ORDER BY c)) AS minima FROM minima GROUP BY ALL""")
+@_query(f"""{_MINIMA} SELECT read_id, fw, count(*) AS n_windows, md5(string_agg(h::VARCHAR || ':' || p::VARCHAR, ',' ORDER BY c)) AS minima FROM minima GROUP BY ALL""")
 def q_minimizers(spark, sf_dir):
     rows = sketch.minima(sketch.hashed_kmers(_masked(spark, sf_dir), WHOLE), WHOLE)
-    return rows.select("read_id", "fw", F.size("m").cast("long").alias("n_windows"), F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["h"], x["p"].cast("string"))), ",")).alias("minima"))
+    return rows.select("read_id", "fw", F.size("m").cast("long").alias("n_windows"), F.md5(F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["h"], x["p"])), ",")).alias("minima"))
 
 
 @_query(f"""{_VECTORS} SELECT read_id, fw, count(*) AS n_positions, md5(string_agg(key || ':' || a::VARCHAR || ':' || z::VARCHAR, ',' ORDER BY c)) AS vectors FROM vectors GROUP BY ALL""")
 def q_window_vectors(spark, sf_dir):
     rows = sketch.vectors(sketch.minima(sketch.hashed_kmers(_masked(spark, sf_dir), WHOLE), WHOLE), WHOLE)
-    text = F.array_join(F.transform("v", lambda x: F.concat_ws(":", F.array_join(x["v"], ""), x["a"], x["z"])), ",")
+    text = F.array_join(F.transform("v", lambda x: F.concat_ws(":", F.array_join(F.transform(x["v"], digits), ""), x["a"], x["z"])), ",")
     return rows.select("read_id", "fw", F.size("v").cast("long").alias("n_positions"), F.md5(text).alias("vectors"))
 
 
@@ -151,7 +183,7 @@ def q_window_vectors(spark, sf_dir):
 md5(string_agg(c::VARCHAR || ':' || key || ':' || a::VARCHAR || ':' || z::VARCHAR, ',' ORDER BY c)) AS emissions FROM emissions GROUP BY ALL""")
 def q_emissions(spark, sf_dir):
     rows = sketch.emissions(sketch.vectors(sketch.minima(sketch.hashed_kmers(_masked(spark, sf_dir), WHOLE), WHOLE), WHOLE))
-    text = F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["shift"], F.array_join(x["v"], ""), x["a"], x["z"])), ",")
+    text = F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["shift"], F.array_join(F.transform(x["v"], digits), ""), x["a"], x["z"])), ",")
     return rows.select("read_id", "fw", F.size("e").cast("long").alias("n_emissions"), F.md5(text).alias("emissions"))
 
 
@@ -163,12 +195,12 @@ def q_chunks(spark, sf_dir):
 # --- index
 
 
-@_query(f"""{_COVERED} SELECT key, count(*) AS n, md5(string_agg(read_id::VARCHAR || CASE WHEN fw THEN '+' ELSE '-' END || start::VARCHAR || '-' || "end"::VARCHAR, ','
-ORDER BY read_id, fw, start, "end")) AS occurrences FROM covered GROUP BY key""")
+@_query(f"""{_COVERED} SELECT key, n, read_id % ((n + {index.PIECE - 1}) // {index.PIECE}) AS piece, md5(string_agg(read_id::VARCHAR || CASE WHEN fw THEN '+' ELSE '-' END || start::VARCHAR || '-' || "end"::VARCHAR, ','
+ORDER BY read_id, fw, start, "end")) AS occurrences FROM covered GROUP BY ALL""")
 def q_buckets(spark, sf_dir):
     rows = index.buckets(_chunks(spark, sf_dir))
     text = F.transform("occurrences", lambda x: F.concat(x["read_id"].cast("string"), F.when(x["fw"], "+").otherwise("-"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
-    return rows.select("key", F.size("occurrences").cast("long").alias("n"), F.md5(F.array_join(text, ",")).alias("occurrences"))
+    return rows.select("key", "n", "piece", F.md5(F.array_join(text, ",")).alias("occurrences"))
 
 
 @_query(f"{_CHUNKS} SELECT count(*) AS distinct_chunks, count(*) FILTER (n = 1) AS singleton_chunks FROM (SELECT key, count(*) AS n FROM chunks GROUP BY key) x")
@@ -199,19 +231,22 @@ def q_matches_both(spark, sf_dir):
     return matching.matches(_chunks(spark, sf_dir), both_orders=True).select("key", *matching.COLUMNS)
 
 
-@_query(f"""{_COVERED}, allowed AS (SELECT * FROM covered WHERE key IN (SELECT key FROM chunks WHERE read_id % 2 = 0)
-  AND key NOT IN (SELECT key FROM chunks GROUP BY key HAVING count(*) > 10)),
-{o.matches(left='allowed', right='allowed')} SELECT key, {_MATCH_COLUMNS} FROM matches""")
+_LISTS = f"""{_CHUNKS}, bad AS (SELECT key FROM chunks WHERE read_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+good AS (SELECT key FROM chunks WHERE read_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+allowed AS MATERIALIZED (SELECT * FROM chunks WHERE key IN (SELECT key FROM good) AND key NOT IN (SELECT key FROM bad))"""
+
+
+@_query(f"{_LISTS},\n{o.matches(left='allowed', right='allowed')} SELECT key, {_MATCH_COLUMNS} FROM matches")
 def q_matches_masked(spark, sf_dir):
-    """Keys in use by both lists: allowed are those of even reads, denied those of more than ten occurrences."""
-    c = _chunks(spark, sf_dir)
-    allow, deny = c.where("read_id % 2 = 0").select("key").distinct(), c.groupBy("key").count().where("count > 10").select("key")
-    return matching.matches(index.masked_keys(c, allow, deny)).select("key", *matching.COLUMNS)
+    """Keys by both lists: allowed are those of reads labelled good, denied those of reads labelled toxic."""
+    c, labels = written(_chunks(spark, sf_dir)), _table(spark, sf_dir, "labels")
+    keys = lambda rule: c.join(labels.where(rule).select(F.col("doc_id").alias("read_id")), "read_id", "left_semi").select("key").distinct()
+    return matching.matches(index.masked_keys(c, keys("quality = 1"), keys("toxic = 1"))).select("key", *matching.COLUMNS)
 
 
 @_query(f"{_NORMAL} SELECT {_MATCH_COLUMNS} FROM normal")
 def q_norm_matches(spark, sf_dir):
-    return matching.normalised(matching.matches(_chunks(spark, sf_dir)))
+    return matching.normalised(matching.matches(_chunks(spark, sf_dir))).select(*matching.COLUMNS)
 
 
 @_query(f'{_MATCHES} SELECT "left", "right", count(*) AS n_matches FROM matches GROUP BY ALL')
@@ -219,11 +254,11 @@ def q_read_pairs(spark, sf_dir):
     return matching.read_pairs(matching.matches(_chunks(spark, sf_dir)))
 
 
-@_query(f"""{_MATCHES}, pairs AS (SELECT DISTINCT "left" AS a, "right" AS b FROM matches), both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs)
-SELECT a AS read_id, count(*) AS n_partners, string_agg(b::VARCHAR, ',' ORDER BY b) AS partners FROM both_ways GROUP BY a""")
+@_query(f"""{_MATCHES}, pairs AS (SELECT DISTINCT "left" AS a, "right" AS b FROM matches), both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+many AS (SELECT *, count(*) OVER (PARTITION BY a) AS n_partners FROM both_ways)
+SELECT a AS read_id, n_partners, b % ((n_partners + {index.PIECE - 1}) // {index.PIECE}) AS piece, string_agg(b::VARCHAR, ',' ORDER BY b) AS partners FROM many GROUP BY ALL""")
 def q_pair_sets(spark, sf_dir):
-    rows = matching.pair_sets(_chunks(spark, sf_dir))
-    return rows.select("read_id", F.size("partners").cast("long").alias("n_partners"), F.array_join("partners", ",").alias("partners"))
+    return matching.pair_sets(_chunks(spark, sf_dir)).withColumn("partners", F.array_join("partners", ","))
 
 
 @_query(f"{_COVERED} SELECT DISTINCT read_id FROM covered WHERE key IN (SELECT key FROM covered GROUP BY key HAVING count(DISTINCT read_id) > 1)")
@@ -233,7 +268,7 @@ def q_reads_with_match(spark, sf_dir):
 
 @_query(f"{_CHAINS} SELECT * FROM chains")
 def q_chains(spark, sf_dir):
-    return matching.chains(matching.normalised(matching.matches(_chunks(spark, sf_dir))))
+    return matching.chains(matching.normalised(matching.matches(_chunks(spark, sf_dir)))).drop("l_len", "r_len")
 
 
 @_query(f"{_CHAINS} {o.named()}")
@@ -262,7 +297,7 @@ def q_query_matches(spark, sf_dir):
 @_query(f"{_Q_CHAINS} SELECT * FROM chains")
 def q_query_chains(spark, sf_dir):
     m = matching.query_matches(_chunks(spark, sf_dir), sketch.chunks(items(spark, sf_dir), P))
-    return matching.chains(matching.normalised(m))
+    return matching.chains(matching.normalised(m)).drop("l_len", "r_len")
 
 
 @_query(f"{_Q_CHAINS} {o.named('i_reads')}")

@@ -1,30 +1,27 @@
-"""Query mode on a stream: reads arrive as a stream and are held against a static index.
+"""Query mode on a stream: reads arrive as a stream and are held against an index that was built before.
 
 Grouping after the join is within one query read, so a micro-batch of whole reads gives the same overlaps as a batch run:
-there is no state and no watermark. The index is sketched once.
+there is no state and no watermark. The index is a bucketed table, so a micro-batch shuffles its own chunks only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.config import JoinParams, SketchParams
-from weftline.operators.matching import chains, normalised, query_matches
-from weftline.operators.report import named
-from weftline.operators.sketch import chunks
+from weftline.config import JoinParams
+from weftline.operators.stored import StoredIndex
 
 
-def stream_overlaps(queries: DataFrame, index: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, p: SketchParams = SketchParams(), j: JoinParams = JoinParams()) -> StreamingQuery:  # noqa: B008
-    """Starts a query that gives the overlaps of each micro-batch of ``queries`` (a stream of reads) to ``sink``."""
-    known = chunks(index, p).persist(StorageLevel.DISK_ONLY)
+def stream_overlaps(queries: DataFrame, index: StoredIndex, sink: Callable[[DataFrame, int], None], checkpoint: str, j: JoinParams = JoinParams(), every: str | None = None) -> StreamingQuery:  # noqa: B008
+    """Starts a query that gives the overlaps of each micro-batch of ``queries`` (a stream of reads) to ``sink``: all that
+    is there and then an end, or with ``every`` (such as ``10 seconds``) without end. ``sink`` gets the number of the batch
+    too, as a batch can come again after a failure."""
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        sink(named(chains(normalised(query_matches(chunks(batch, p), known, j)), j), batch, index), number)
-        batch.unpersist()
+        sink(index.overlaps(batch, j), number)
 
-    return queries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return queries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
