@@ -9,6 +9,8 @@ import uuid
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Fixed value: Spark's setting that deletes the shuffle files of a query once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What ``written`` has made in this process and nobody has dropped yet.
 _paths: set[str] = set()
 
@@ -27,14 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder: computed once, and safe from lost executors. A table that is written
-    already stays as it is. ``dropped`` deletes it; what is left when the process ends is deleted then."""
+    """``df`` as Parquet in the shared folder: computed once, and safe from lost executors. The shuffle files of the query
+    go when it has ended. A table that is written already stays as it is. ``dropped`` deletes it; what is left when the
+    process ends is deleted then."""
     if getattr(df, "_weftline_path", None):
         return df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}"
     _paths.add(path)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
