@@ -72,6 +72,41 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum("random" in got[i] for i in range(20)) >= 17 and not any(got[100 + i] for i in range(20))
 
 
+def test_random_spans_equal_plain_battery(spark):
+    rng = random.Random(12)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "aeiou1", "ab2"]
+    token = lambda: "".join(rng.choice(a) for a in [rng.choice(alphabets)] for _ in range(rng.randint(20, 60)))
+    texts = [" ".join(rng.choice([token, lambda: "password=" + token(), lambda: "see-the-river-rose-in-2024-at-night", lambda: "AKIA" + "Q7" * 9, lambda: "0a1b2c3d" * 4])() for _ in range(rng.randint(0, 6))) for _ in range(80)] + [None]
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"], s["start"], s["end"]) for r in got for s in r["spans"] if s["kind"] == "random")
+    assert found == brute.random_spans(texts) and len(found) > 20
+
+
+def test_many_spans_in_one_text(spark):
+    """Texts of very many spans and of long runs end in seconds; each is a case where work could grow with the square."""
+    import time
+
+    many = " ".join(f"token=abc{i:06} AKIA{i:016} {'x1Y' * 8}" for i in range(6_000))
+    start = time.time()
+    row = secrets.digest(secrets.find_secrets(spark.createDataFrame([(1, many)], "doc_id long, text string"))).first()
+    assert (row["n_assign"], row["n_access"]) == (6_000, 6_000) and time.time() - start < 60
+    long = ["account" + " " * 10**6, "://a:" * 200_000, "+1" + "(" * 10**6, "a@" * 300_000, "a@" + "b" * 10**6]
+    start = time.time()
+    for t in long:
+        pii.spans(t)
+    for page in ("<b>" * 50_000 + "</x>" * 50_000, "<b>" * 50_000 + "<p>a</p>" * 50_000, "<li><ul>" + "<b>" * 30_000 + "<li>a</li>" * 30_000, "".join(f"<a{i}>" for i in range(30_000)) + "<p>a</p>" * 30_000):
+        html_extract.main_text(page)
+    assert time.time() - start < 60
+    assert "login" in {pii.KINDS[k] for _, _, k in pii.spans("://" + "u" * 500 + ":" + "p" * 900 + "@host.example")}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["DE89370400440532013000", "DE89370400440532013001", "GB82WEST12345698765432", "://", "bob", ":", "pw", "@", "host.example", " ", "/", "x", "9"]), max_size=14).map("".join))
+def test_added_pii_equals_plain_search(text):
+    found = [(pii.KINDS[k], a, b) for a, b, k in pii.spans(text)]
+    assert sorted(s for s in found if s[0] in ("iban", "login")) == sorted(brute.accounts(text))
+
+
 def test_quality_rules_on_awkward_rows(docs):
     got = {(r["doc_id"], r["lang"]): r for r in line_clean.line_clean(docs.withColumn("kept", F.lit(1)), cleaned_col="clean").collect()}
     assert not got[0, "en"]["kept"] and got[0, "en"]["n_words"] == 0 and got[4, "en"]["n_repeat_words"] == 30_000 and got[9, "en"]["n_dup_lines"] == 34
@@ -177,6 +212,32 @@ def test_search_equals_full_scoring(spark, small):
         assert got == set(want.items())
 
 
+def test_overlap_of_question_and_answer_equals_plain_shares():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    for _ in range(30):
+        text = " ".join(rng.choice(words) + (rng.choice([".", "\n"]) if rng.random() < 0.1 else "") for _ in range(rng.randint(4, 60)))
+        w = text.lower().split()
+        at = decontam._answer_at(text)
+        assert at == 0 or len(w) - at >= min(decontam.ANSWER, len(w)) or at == len(w) - max(decontam.ANSWER, len(w) // 3)
+        passage = [rng.choice(w) if rng.random() < 0.3 else x for x in w] + [rng.choice(words) for _ in range(20)]
+        index = decontam.Index([(1, text)])
+        for part, own in zip(index.parts[0], (w[:at], w[at:]), strict=True):
+            n = min(decontam.SHINGLE, len(own))
+            shingles = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set()
+            held = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)} if n else set()
+            want = len(shingles & held) / len(shingles) if shingles else 1.0
+            if n in (0, decontam.SHINGLE):
+                assert abs(decontam.Index._share(part, decontam._word_hashes(" ".join(passage))) - want) < 1e-9
+
+
+def test_clean_judges_rows_by_their_text(spark, small):
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first()["text"]
+    df = spark.createDataFrame([(None, f"before {item} after", 1), (None, "other words", 2), (5, f"x {item}", 3), (5, "two texts of one id", 4), (6, None, 5)], "doc_id long, text string, item_id int")
+    got = decontam.clean(df, spark.read.parquet(f"{small}/benchmark.parquet"))
+    assert got.columns == df.columns and sorted(r["item_id"] for r in got.collect()) == [2, 4, 5]
+
+
 def test_decontamination_does_not_depend_on_slices(spark, monkeypatch):
     """Copies cut down towards the threshold; common words differ in frequency from slice to slice."""
     rng = random.Random(11)
@@ -217,6 +278,41 @@ def test_quality_model_learns(spark, docs):
     assert quality.kept(df, quality.train(df, lab)).count() == 200
 
 
+def test_quality_score_equals_plain_sums():
+    """Scores of whole batches against a model that is applied feature by feature."""
+    rng = np.random.default_rng(5)
+    model = quality.Model(rng.normal(size=quality.size()).astype(np.float32), 0.3)
+    texts = [t or "" for t in AWKWARD] + ["one two three", "One  two\nthree é"]
+    got = [s for _, data, offsets in textvec.pieces(pa.array(texts)) for s in model.scores(data, offsets)]
+    for text, score in zip(texts, got, strict=True):
+        rows = []
+        raw = text.encode()
+        words = raw.split()
+        one = lambda w, lower: int(textvec.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), lower)[0])
+        rows += [one(w, False) >> 64 - quality.WORD_BITS for w in words]
+        rows += [((one(a, True) ^ one(b, True)) >> 64 - quality.PAIR_BITS) + (1 << quality.WORD_BITS) for a, b in zip(words, words[1:])]
+        for k, n in enumerate(quality.GRAMS):
+            for i in range(len(text) - n + 1):
+                h = 0
+                for j in range(n):
+                    h ^= ord(text[i + j]) * int(quality._MULTIPLIERS[j]) & 0xFFFFFFFF
+                    if j + 1 < n:
+                        h = (h << 5 & 0xFFFFFFFF) ^ h >> 27
+                h = h * 0x9E3779B1 & 0xFFFFFFFF
+                rows.append((h >> 32 - quality.GRAM_BITS) + (1 << quality.WORD_BITS) + (1 << quality.PAIR_BITS) + k * (1 << quality.GRAM_BITS))
+        z = 0.3 + (float(np.mean(model.weights[rows].astype(float))) if rows else 0.0)
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_quality_sample_is_settled_and_passes_over_long_texts(spark, monkeypatch):
+    rows = [(i, f"{'good river' if i % 2 else 'BAD!! junk'} {i}") for i in range(60)] + [(1, "another text of one"), (3, "x " * 5000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 3000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (quality.train(x, labels) for x in (df, df.repartition(5).orderBy(F.desc("text"))))
+    assert (one.weights == two.weights).all() and one.bias == two.bias and np.abs(one.weights).max() > 0.01
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(9)
     rows = [(i, f"s{min(int(rng.expovariate(0.5)), 6)}" if i % 20 else None, "w " * rng.randint(0, 60)) for i in range(3000)]
@@ -236,6 +332,16 @@ def test_mixing_meets_targets(spark):
     assert mix.mixed(df.limit(0)).count() == 0
 
 
+def test_mixing_of_shared_and_missing_ids(spark):
+    rng = random.Random(4)
+    rows = [(None, "ab"[i % 2], "same five words in all") for i in range(1500)] + [(7, "ab"[i % 2], "w " * rng.randint(1, 40)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit(1))
+    one, two = (sorted(tuple(r) for r in mix.mixed(x).select("source", "size", "target", "taken").collect()) for x in (df, df.repartition(7)))
+    assert one == two
+    for s in "ab":
+        assert abs(sum(r[3] for r in one if r[0] == s) - next(r[2] for r in one if r[0] == s)) <= 40
+
+
 def test_entropy_balance_of_two_columns(spark):
     cells = spark.createDataFrame([("a", "x", 10.0), ("a", "y", 30.0), ("b", "x", 20.0), ("b", "y", 5.0)], "s string, l string, words double")
     goal = {"s": {"a": 50.0, "b": 30.0}, "l": {"x": 45.0, "y": 35.0}}
@@ -271,6 +377,35 @@ def test_html_extraction(spark, small):
     assert sorted((r["text"], r["n_chars"]) for r in html_extract.extract(df).collect()) == [("", 0), ("", 0), ("a b", 3)]
 
 
+def test_sum_product_equals_enumeration():
+    """Marginals on small trees against the sum over all states of all elements."""
+    import itertools
+    import math
+
+    rng = random.Random(3)
+    for _ in range(20):
+        n = rng.randint(1, 7)
+        parent = [-1] + [rng.randrange(i) for i in range(1, n)]
+        up, pairs = [rng.uniform(-2, 2) for _ in range(n)], [[[rng.uniform(0.2, 3) for _ in range(2)] for _ in range(2)] for _ in range(n)]
+        weight = [[0.0, 0.0] for _ in range(n)]
+        for state in itertools.product((0, 1), repeat=n):
+            w = math.exp(sum(u for u, s in zip(up, state, strict=True) if s)) * math.prod(pairs[i][state[parent[i]]][state[i]] for i in range(1, n))
+            for i, s in enumerate(state):
+                weight[i][s] += w
+        got = html_extract._passes(up, parent, pairs)[0]
+        assert all(abs(g - math.log(b / a)) < 1e-9 for g, (a, b) in zip(got, weight, strict=True))
+
+
+def test_html_white_space_and_other_layouts():
+    said = "The river ran past the old mill and the night was quiet in the field by the bridge, said the warden. " * 2
+    assert html_extract.main_text("<article><p>a\u00a0b \t\n c\u3000d</p></article>") == "a\u00a0b c\u3000d"
+    # layouts and names of which the labelled pages have none
+    for head, foot in (("<div class='entry-wrap'><div class='txt'>", "</div></div>"), ("<div id='pg'><table><tr><td>", "</td></tr></table></div>"), ("<section itemprop='articleBody'>", "</section>"), ("<div><div><div>", "</div></div></div>")):
+        page = f"<body><nav class='gnav'><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>{head}<h1>Mill</h1><p>{said}</p><p>Short.</p><noscript>x<p>{said}</p>{foot}<footer class='ft'>&copy; 2024 Mill</footer></body>"
+        text = html_extract.main_text(page)
+        assert "Mill" in text and "Short." in text and text.count("said the warden") >= 2 and "2024" not in text and "News" not in text, page
+
+
 def test_html_hides_no_more_than_hidden_elements():
     said = "the river ran past the old mill and the night was quiet in the field by the bridge " * 3
     article = lambda x: f"<article><p>{said}{x} then</p><p>{said}last</p></article>"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.shared import dropped as unstash
+from weftline.shared import spread
+from weftline.shared import written as stash
+
+__all__ = ["SPACES", "lower_ascii", "spaced", "spread", "stash", "table", "unstash", "without", "words"]
+
 #: White space of all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,43 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a local one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not set_to:
-        set_to = tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(set_to)
-    return set_to.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it again: computed once, safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weftline_path = path
-    return out
-
-
-def unstash(df: DataFrame) -> None:
-    """Deletes what ``stash`` has written, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_weftline_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is no longer in use, which else stay until the driver happens to collect
-    its garbage: for operators that work in rounds."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(c, _UPPER, _LOWER)

@@ -198,12 +198,11 @@ def _unit_counts(items: DataFrame) -> DataFrame:
     return counts.groupBy("slice", "term").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap): the items that texts of ``docs`` hold."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame):
+    """The broadcast index of each slice of ``benchmark``, in turn."""
+    spark = benchmark.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(size / SLICE))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     known = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
     known = known.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
     counts = whole = None
@@ -211,7 +210,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         counts = stash(_unit_counts(known))
         every = counts.groupBy("term").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
         whole = every.where("term is null").select("units", "words").first()
-    found = []
     for k in range(slices):
         items = sorted((r[0], r[1]) for r in known.where(F.col("slice") == k).select("item_id", "text").collect())
         if whole is None:
@@ -222,24 +220,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             term, units = own["term"].to_numpy().view(np.uint64), own["units"].to_numpy()
             order = np.argsort(term)
             index = Index(items, (whole["units"], whole["words"], term[order], units[order]))
-        if not len(index.terms):
-            continue
-        shared = spark.sparkContext.broadcast(index)
+        if len(index.terms):
+            yield spark.sparkContext.broadcast(index)
+    if counts is not None:
+        unstash(counts)
+
+
+def _found(index: Index, texts: pa.Array):
+    """(row, item, score, overlaps) for the texts of a batch."""
+    for row, data, offsets in textvec.pieces(texts):
+        starts, ends, first = textvec.word_bounds(data, offsets)
+        for d, *x in index.search(textvec.word_hashes(data, starts, ends), first):
+            yield row + d, *x
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap): the items that texts of ``docs`` hold."""
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    found = []
+    for shared in _indexes(benchmark):
 
         def run(batches, shared=shared):
             for batch in batches:
-                ids, rows = batch.column("doc_id"), []
-                for row, data, offsets in textvec.pieces(batch.column("text")):
-                    starts, ends, first = textvec.word_bounds(data, offsets)
-                    words = textvec.word_hashes(data, starts, ends)
-                    rows += [(ids[row + d].as_py(), *x) for d, *x in shared.value.search(words, first)]
+                ids = batch.column("doc_id")
+                rows = [(ids[row].as_py(), *x) for row, *x in _found(shared.value, batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [pa.int64(), pa.int64(), *[pa.float64()] * 3], strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
-    if counts is not None:
-        unstash(counts)
     if not found:
-        return spark.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], schema)
     every = reduce(DataFrame.union, found)
     best = every.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("v"))
     return best.select("doc_id", "item_id", "v.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with all their columns. Each row is judged by its own text, so ids may
+    be missing or shared; texts pass through and nothing is shuffled."""
+    for shared in _indexes(benchmark):
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                good = np.ones(batch.num_rows, bool)
+                good[[row for row, *_ in _found(shared.value, batch.column("text"))]] = False
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

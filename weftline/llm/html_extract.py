@@ -7,9 +7,11 @@ passing is exact: one pass upward, one downward, and each element has its margin
 content with probability one half or more is kept: a paragraph in an advert falls with the advert, and a one-word
 paragraph stays with its article.
 
-White space inside a block becomes one space, blocks are joined by a blank line, character references are decoded. A null
-or empty page has an empty text; broken or cut markup is read as far as it goes. Each page is one row of work in its
-task, repeated rows give repeated results, and of the input only the named columns are read.
+White space (blanks, tabs and line ends; no-break and ideographic spaces are characters like others) inside a block becomes
+one space, blocks are joined by a blank line, character references are decoded. A null or empty page has an empty text, an
+empty table gives an empty one; broken or cut markup is read as far as it goes. Each page is one row of work in its task, in
+time linear in its length however deep or broken it is. An element on the edge (log-odds of zero) is content. Repeated rows
+give repeated results, and of the input only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SPACES
 from .html_labelled import pages as labelled_pages
 
 #: Fixed values of HTML: elements without content, without visible text, and those that begin and end a block.
@@ -38,23 +41,54 @@ _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": (
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?=[A-Za-z])[^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
+_SHUT = {name: re.compile(f"</{name}(?![A-Za-z0-9])", re.I) for name in RAW}
+#: A slash that ends a tag, and no value without quotes such as ``href=/``.
+_SELF = re.compile(r"(?:^|[\s\"'])/\s*$")
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 #: Log-odds are kept within this; a page as such holds content.
 _CLIP, _ROOT = 30.0, 3.0
 
 
+class _Open:
+    """The open elements, and for each tag (and for blocks other than ``p`` together) where those of it stand."""
+
+    def __init__(self):
+        self.stack, self.tags, self.at = [0], ["#"], {}
+
+    def push(self, element: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK and tag != "p":
+            self.at.setdefault("block", []).append(len(self.stack))
+        self.stack.append(element)
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def cut(self, k: int) -> None:
+        """Closes what stands from place ``k`` on; each element is closed once, so a page's work is linear."""
+        for tag in self.tags[k:]:
+            self.at[tag].pop()
+            if tag in BLOCK and tag != "p":
+                self.at["block"].pop()
+        del self.stack[k:], self.tags[k:]
+
+
 class Page:
     """Elements in document order (a parent before its children), and the text between them."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.names, self.mark = ["#"], [-1], [()], [None]
         self.items: list = []  # (element, text), or None where a block begins or ends
-        stack, at, end = [0], 0, len(source)
+        opened, at, end = _Open(), 0, len(source)
+        stack = opened.stack
         dark = [False]  # for each element whether it is hidden or inside a hidden one
         while at < end:
             m = _TOKEN.search(source, at)
             stop = m.start() if m else end
-            if stop > at and self.tag[stack[-1]] == "head" and source[at:stop].strip():
-                stack.pop()
+            if stop > at and self.tag[stack[-1]] == "head" and source[at:stop].strip(SPACES):
+                opened.cut(len(stack) - 1)
             if stop > at and not dark[stack[-1]]:
                 self.items.append((stack[-1], source[at:stop]))
             if not m:
@@ -62,66 +96,60 @@ class Page:
             at = m.end()
             close, name = m[1], m[2]
             if close:
-                close = close.lower()
-                k = len(stack) - 1
-                while k and self.tag[stack[k]] != close:
-                    k -= 1
-                if k:
-                    if any(self.tag[x] in BLOCK for x in stack[k:]):
+                if k := opened.last(close.lower()):
+                    if max(opened.last("block"), opened.last("p")) >= k:
                         self.items.append(None)
-                    del stack[k:]
+                    opened.cut(k)
             elif name:
                 name = name.lower()
                 if self.tag[stack[-1]] == "head" and name not in HEAD:
-                    stack.pop()
+                    opened.cut(len(stack) - 1)
                 if name in VOID:
                     if not dark[stack[-1]]:
                         self.items.append(None if name == "hr" else (stack[-1], " "))
                     continue
                 if name in BLOCK:
                     self.items.append(None)
-                    self._close(stack, "p", ("button", "table", "object", "template"))
+                    self._close(opened, "p", ("button", "object", "template", "block"))
                 if name in _CLOSES:
                     for x in _CLOSES[name][0].split():
-                        self._close(stack, x, _CLOSES[name][1])
+                        self._close(opened, x, _CLOSES[name][1])
                 self.tag.append(name)
                 self.parent.append(stack[-1])
                 dark.append(dark[stack[-1]] or name in HIDDEN)
                 attrs = {a.lower(): (x or y or z) for a, x, y, z in _NAMES.findall(m[3])} if m[3] else {}
-                self.names.append(tuple({w.lower() for a in ("class", "id", "role") for w in _WORD.findall(attrs.get(a, ""))}))
+                self.names.append(tuple(sorted({w.lower() for a in ("class", "id", "role") for w in _WORD.findall(attrs.get(a, ""))})))
                 self.mark.append(attrs.get("y"))
                 if name in RAW:
-                    shut = re.compile(f"</{name}", re.I).search(source, at)
-                    at = shut.start() if shut else end
+                    shut = _SHUT[name].search(source, at)
                     if shut:
-                        at = source.find(">", at) + 1 or end
-                elif not m[3].rstrip().endswith("/") or name in BLOCK:
-                    stack.append(len(self.tag) - 1)
+                        at = source.find(">", shut.start()) + 1 or end
+                    elif name in ("script", "style"):  # what has no end is cut off; other elements hold nothing then
+                        at = end
+                elif not _SELF.search(m[3]) or name in BLOCK:
+                    opened.push(len(self.tag) - 1, name)
         # text and link text under each element
         n = len(self.tag)
         self.chars, self.links = [0] * n, [0] * n
         for x in self.items:
             if x:
-                self.chars[x[0]] += len(x[1].split()) and len(x[1].strip())
+                self.chars[x[0]] += len(x[1].strip(SPACES))
         for i in range(n - 1, 0, -1):
             if self.tag[i] == "a":
                 self.links[i] = self.chars[i]
             self.chars[self.parent[i]] += self.chars[i]
             self.links[self.parent[i]] += self.links[i]
 
-    def _close(self, stack: list, name: str, stops: tuple) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[k]]
-            if t == name:
-                del stack[k:]
-                return
-            if t in stops or (t in BLOCK and t != "p" and name == "p"):
-                return
+    def _close(self, opened: _Open, name: str, stops: tuple) -> None:
+        """Closes the last open ``name`` unless one of ``stops`` was opened after it."""
+        k = opened.last(name)
+        if k and k > max(map(opened.last, stops)):
+            opened.cut(k)
 
     def features(self, i: int) -> list[str]:
         n, a = self.chars[i], self.links[i]
         share = 0 if not a else 1 + (a > 0.3 * n) + (a > 0.7 * n)
-        return [f"t:{self.tag[i]}", f"l:{share}", f"n:{(n > 0) + (n > 20) + (n > 80) + (n > 300)}", *(f"c:{w}" for w in self.names[i])]
+        return [f"t:{self.tag[i]}", f"l:{share}", *([f"b:{self.tag[i]}:{share}"] if share else []), f"n:{(n > 0) + (n > 20) + (n > 80) + (n > 300)}", *(f"c:{w}" for w in self.names[i])]
 
 
 def _passes(up: list[float], parent: list[int], pairs: list) -> tuple[list[float], list[float], list[float]]:
@@ -207,7 +235,7 @@ def main_text(source: str | None, fitted: Model | None = None) -> str:
     blocks, own = [], []
     for x in [*page.items, None]:
         if x is None:
-            if block := " ".join(html.unescape("".join(own)).split()):
+            if block := _SPACE.sub(" ", html.unescape("".join(own))).strip(" "):
                 blocks.append(block)
             own = []
         elif odds[x[0]] >= 0:

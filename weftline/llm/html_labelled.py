@@ -10,15 +10,17 @@ import random
 
 #: Elements around content, and around what is not content, by kind.
 CONTENT = ["<article>", '<article class="article post">', '<main id="content">', '<div class="content main">', '<div id="main" class="post entry story">', '<div class="article body text">', '<section class="content">', '<div role="main">', "<main>", '<article class="story">']
-MENU = ["<nav>", '<div class="menu">', '<ul class="nav navbar">', '<nav class="navigation top">', '<div id="menu">', '<div role="navigation">', '<nav role="navigation" class="breadcrumb breadcrumbs">', '<div class="pagination pager">', '<div class="toolbar tags">']
+MENU = ["<nav>", "<nav>", "<nav>", '<div class="menu">', '<ul class="nav navbar">', '<nav class="navigation top">', '<div id="menu">', '<div role="navigation">', '<nav role="navigation" class="breadcrumb breadcrumbs">', '<div class="pagination pager">', '<div class="toolbar tags">']
 HEADER = ["<header>", '<div class="header">', '<div id="header" class="masthead top">', '<header class="site header">', '<div role="banner">']
 FOOTER = ["<footer>", '<div class="footer">', '<div id="footer" class="bottom">', '<footer class="site footer">', '<div role="contentinfo">', '<div class="copyright legal">']
 ASIDE = ["<aside>", '<aside class="sidebar">', '<div class="sidebar widget">', '<div id="sidebar">', '<div class="related recommended">', '<section class="related">', '<div role="complementary">', '<div class="share social">', '<div class="author bio">']
 NOTICE = ['<div class="cookie notice">', '<div class="consent banner">', '<div class="popup modal overlay">', '<div id="cookie" class="alert">', '<div class="paywall">', '<div class="notice">', '<p class="notice">']
 ADVERT = ['<div class="ad">', '<div class="ads">', '<div class="advert advertisement">', '<section class="sponsored promo">', '<div id="ad" class="banner">', '<aside class="ad">', '<ins class="ad">', '<p class="ad">']
-FORM = ["<form>", '<form class="newsletter">', '<div class="subscribe signup">', '<form role="search" class="search">', '<div class="login form">', '<div class="newsletter">']
+FORM = ["<form>", "<form>", '<form class="newsletter">', '<div class="subscribe signup">', '<form role="search" class="search">', '<div class="login form">', '<div class="newsletter">']
 COMMENTS = ['<section class="comments">', '<div id="comments">', '<div class="comments">', '<ol class="comment list">', '<div class="discussion replies">', '<div class="disqus thread">']
 ONE_COMMENT = ['<div class="comment">', '<article class="comment">', '<li class="comment">', '<div class="reply">', "<p>", "<blockquote>"]
+SPEAKING = {"nav", "header", "footer", "aside", "form", "article", "main"}
+PLAIN = ["<div>", "<section>", '<div class="txt">', "<td>", '<div class="wrap">']
 _WORDS = "river rose night morning lower fields under water nobody expected that said the warden gauge had been still for weeks mill bridge frost then came down and of to in it was".split()
 
 
@@ -26,7 +28,7 @@ def _name(tag: str) -> str:
     return tag[1:-1].split()[0]
 
 
-def pages(count: int = 120, seed: int = 11) -> list[str]:
+def pages(count: int = 160, seed: int = 11) -> list[str]:
     pick = random.Random(seed)
 
     def text() -> str:
@@ -40,8 +42,14 @@ def pages(count: int = 120, seed: int = 11) -> list[str]:
     def inline() -> str:
         return pick.choice(["", "", "", f"<a href='/x'>{text()}</a> ", f"<b>{text()}</b> ", f"<em>{text()}</em> ", f"<b>{text()}<br>", f"<span>{text()}</span> ", f"<i>{text()}</i>"])
 
+    def varied(tag: str) -> str:
+        """A tag that says something by itself often has a class that says nothing."""
+        if _name(tag) in SPEAKING and pick.random() < 0.5:
+            return f'<{_name(tag)} class="{"".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=4))}">'
+        return tag
+
     def part(kind: list[str], *inside: str) -> str:
-        tag = pick.choice(kind)
+        tag = varied(pick.choice(kind))
         return f'{tag[:-1]} y="0">' + "".join(inside) + f"</{_name(tag)}>"
 
     def plain() -> str:
@@ -61,15 +69,17 @@ def pages(count: int = 120, seed: int = 11) -> list[str]:
 
     out = []
     for _ in range(count):
-        tag = pick.choice(CONTENT)
+        tag = varied(pick.choice([*CONTENT, *PLAIN]))
         inner = [f"<h1>{text()}</h1>" if pick.random() < 0.8 else ""]
         for _ in range(pick.randint(1, 9)):
             inner.append(block() if pick.random() < 0.9 else pick.choice([advert, form, lambda: part(ASIDE, plain()), lambda: part(NOTICE, plain()), lambda: part(MENU, links())])())
         content = f'{tag[:-1]} y="1">' + "".join(inner) + f"</{_name(tag)}>" if pick.random() < 0.9 else "".join(block() for _ in range(5))
+        if tag == "<td>":
+            content = f"<table><tr>{content}</tr></table>"
         before = [part(MENU, links()), part(HEADER, pick.choice([f"<h1>{text()}</h1>", "", links(), f"<p>{text()}</p>"])), part(NOTICE, plain()), advert()]
         after = [part(FOOTER, plain()), part(ASIDE, plain()), comments(), form(), advert(), part(FOOTER, plain())]
         pick.shuffle(before)
-        body = "".join(x for x in before if pick.random() < 0.6) + content + "".join(x for x in after if pick.random() < 0.5)
+        body = "".join(x for x in before if pick.random() < 0.7) + content + "".join(x for x in after if pick.random() < 0.5)
         if pick.random() < 0.3:
             body = f'<div class="page wrapper container" y="1">{body}</div>'
         out.append(f'<html><head><meta charset="utf-8"><title>{text()}</title><style>p{{}}</style><script>x("</p>")</script></head><body>{body}</body></html>')

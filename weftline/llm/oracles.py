@@ -64,7 +64,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY v)
 ORACLES["op7_mix_sources"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS u FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, '')))), 1, 10))::BIGINT AS u FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source),
 s AS (SELECT source, z, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS w FROM s0),
 o AS (

@@ -12,8 +12,10 @@ cues. Each anchor is handed to a small local parser that expands it to the left
 - ``account``: 6 to 17 digits after a cue such as ``account no:``.
 
 Spans of one kind do not overlap and are found from left to right; a match that fails validation is consumed and dropped.
-Offsets are code points, the end exclusive. Null and empty texts have no spans. Whole texts are searched, and the work
-for a text is linear in its length. Repeated rows are judged alike; of the input only id and text are read.
+Spans of different kinds may overlap; equal starts are ordered by kind. Offsets are code points, the end exclusive. Null and
+empty texts have no spans, an empty table gives an empty one. Very long texts are searched whole: no pattern has a bound on
+length but those of its number of digits, and none is tried twice on the same run of characters, so the work for a text is
+linear in its length. Repeated rows are judged alike. Of the input only id and text are read; ``redacted`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -31,13 +33,13 @@ BASE = KINDS[:4]
 CUES = ["account", "Account", "ACCOUNT", "acct", "Acct", "ACCT", "customer id", "Customer ID", "SSN", "ssn"]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
-_LOGIN = re.compile(r"[^\s/@:?#]{1,64}:[^\s/@?#]{1,128}@[A-Za-z0-9.-]+")
-_ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|num\.?|id|#))?\s*[:#=]?\s*([0-9]{6,17})(?![0-9])")
+_LOGIN = re.compile(r"[^\s/@:?#]++:[^\s/@?#]++@[A-Za-z0-9.-]++")
+_ACCOUNT = re.compile(r"(?:\s*+(?:number|no\.?|num\.?|id|#))?+\s*+[:#=]?+\s*+([0-9]{6,17}+)(?![0-9])")
 
 
 @lru_cache(maxsize=1)

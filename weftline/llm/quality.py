@@ -8,9 +8,11 @@ most with ``SAMPLE_CHARS`` characters together, the ones whose ids have the smal
 uses whole texts of all rows: since the layer is linear, a model travels as one number a row of the matrix, and a batch
 is scored with a few array operations.
 
-A null or empty text has no features and gets the score of the bias alone. Repeated rows get equal scores. A table with no
-labelled row of both kinds gives the share of label 1 (one half without labels) as everyone's score. Only the text is an
-input of a score; extra columns are ignored.
+A null or empty text has no features and gets the score of the bias alone. Repeated rows get equal scores; a score on the
+threshold counts as reaching it. Labels that repeat count once, the smallest of an id; of documents that share an id the one with
+the smallest hash of its text is learned from, so reruns agree. A very long text is scored whole, and learned from unless it
+alone passes ``SAMPLE_CHARS``. A table with no labelled row of both kinds gives the share of label 1 (one half without labels)
+as everyone's score; an empty table gives an empty one. Only the text is an input of a score; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,21 +120,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fits on labelled rows that are not held out."""
     own = labels.where(f"doc_id is not null and {label} in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").where("text is not null")  # SAMPLE rows at most are broadcast
-    # of equal texts one, and only as many characters as the driver can hold, in order of the hash
-    sized = rows.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).collect()
+    # SAMPLE ids at most are broadcast; of rows that share an id the one with the smallest hash of its text counts
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", F.length("text").alias("n"), F.xxhash64("text").alias("h")).where("text is not null")
+    sized = rows.groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("x")).groupBy("x.h").agg(F.min("doc_id").alias("doc_id"), F.min("x.n").alias("n")).collect()
+    # of equal texts one, and only as many characters as the driver can hold, in order of the hash; a text too many is passed over
     sized.sort(key=lambda r: (r["h"], r["doc_id"]))
     total, ids = 0, []
     for r in sized:
-        if (total := total + r["n"]) > SAMPLE_CHARS:
-            break
-        ids.append((r["doc_id"],))
+        if total + r["n"] <= SAMPLE_CHARS:
+            total += r["n"]
+            ids.append((r["doc_id"], r["h"]))
     if not ids:
         return fit([], [])
-    few = docs.sparkSession.createDataFrame(ids, "doc_id long")
-    got = rows.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).collect()
-    got.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in got], [r["label"] for r in got])
+    few = docs.sparkSession.createDataFrame(ids, "doc_id long, h long")
+    got = {r["doc_id"]: r for r in rows.join(F.broadcast(few), ["doc_id", "h"]).collect()}
+    return fit([got[i]["text"] for i in sorted(got)], [got[i]["label"] for i in sorted(got)])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

@@ -10,8 +10,10 @@ documents go through the Benjamini-Hochberg procedure at ``RATE``, on a grid of
 needs only counts per grid step. Accepted tokens become ``random`` spans if no base span holds them.
 
 Only DataFrame functions are used. A span's place is found by marking matches and adding up lengths, in code points.
-Null and empty texts have no spans; repeated rows are judged alike; of the input only id and text are read. The result
-of a first pass, one narrow row a document, is written to the shared folder, so texts are read once.
+Null and empty texts have no spans, an empty table gives an empty one; repeated rows are judged alike, and each counts among
+the tested tokens. Spans of different kinds may overlap; equal starts are ordered by kind. Very long texts and texts of many
+spans are searched whole, in time that grows with their length (sorting and searching spans apart). Of the input only id and
+text are read. The result of a first pass, one narrow row a document, is written to the shared folder, so texts are read once.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import stash
 
 KINDS = ["assign", "access", "hex", "random"]
+BASE = KINDS[:3]
 PATTERNS = {
     "assign": r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
@@ -31,6 +34,8 @@ PATTERNS = {
 RATE, COINCIDENCE, Z_RUNS, Z_SERIAL, Z_UNIFORM = 0.01, 0.06, 3.3, 3.3, 4.0
 #: Steps of the grid for p-values: a hundredth of a power of ten, down to 1e-300.
 GRID, LEAST = 100, 300
+#: Matches whose places are summed together.
+PIECE = 128
 #: The alphabets by name, in the order in which they are tried.
 ALPHABETS = [
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -49,15 +54,42 @@ def marked_spans(text: Column, kind: str, may: Column) -> Column:
     # the marks themselves do not occur in any pattern, so putting another control character there moves nothing
     safe = F.replace(F.replace(text, F.lit(_OPEN), F.lit(_OTHER)), F.lit(_CLOSE), F.lit(_OTHER))
     parts = F.split(F.regexp_replace(safe, pattern, F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN, -1)
-    start = F.struct(F.length(F.get(parts, F.lit(0))).cast("long").alias("at"), F.array().cast(_SPAN).alias("found"))
 
     def step(state: Column, part: Column) -> Column:
         match = F.substring_index(part, _CLOSE, 1)
         span = F.struct(F.lit(kind).alias("kind"), state["at"].alias("start"), (state["at"] + F.length(match)).alias("end"), match.alias("match"))
         return F.struct((state["at"] + F.length(part) - 1).alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
 
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.when(may, F.aggregate(rest, start, step, lambda s: s["found"])).otherwise(F.array().cast(_SPAN))
+    def placed(t: Column) -> Column:
+        # each part but the first is a match, the closing mark and what follows. Lengths are summed within pieces of PIECE
+        # parts and over pieces, as growing one array part by part would cost the square of their number
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 2) / PIECE).cast("int")), lambda b: F.slice(t, b * PIECE + 2, F.lit(PIECE)))
+        none = F.array().cast("array<bigint>")
+        size = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, x: n + F.length(x) - 1)
+        first = F.struct(F.length(F.get(t, F.lit(0))).cast("long").alias("at"), none.alias("all"))
+        before = lambda ps: F.aggregate(ps, first, lambda s, p: F.struct((s["at"] + size(p)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        start = lambda at: F.struct(at.alias("at"), F.array().cast(_SPAN).alias("found"))
+        return bound(pieces, lambda ps: F.flatten(F.zip_with(ps, before(ps), lambda p, at: F.aggregate(p, start(at), step, lambda s: s["found"]))))
+
+    none = F.array().cast(_SPAN)
+    return F.when(may, bound(parts, lambda t: F.when(F.size(t) > 1, placed(t)).otherwise(none))).otherwise(none)
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def overlapped(span: Column, starts: Column, ends: Column) -> Column:
+    """Whether a span meets one of some sorted spans without overlaps, by binary search: of those that start before its end
+    the last one ends last."""
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = F.get(starts, mid) < span["end"]
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi")))
+
+    n = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(starts) + 1)).cast("int") + 1), F.struct(F.lit(0).alias("lo"), F.size(starts).alias("hi")), halve, lambda s: s["lo"])
+    return F.when(F.size(starts) == 0, F.lit(False)).otherwise((n > 0) & (F.get(ends, n - 1) > span["start"]))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -130,8 +162,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shape = F.regexp_like(text, F.lit("[A-Za-z0-9+/_-]{20}"))
     found = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in base_spans(text).items()], marked_spans(text, "random", shape).alias("long"))
     mixed = lambda s: F.regexp_like(s["match"], F.lit("[0-9]")) & F.regexp_like(s["match"], F.lit("[A-Za-z]"))
-    found = found.withColumn("base", F.concat("assign", "access", "hex")).withColumn("long", F.filter("long", mixed))
-    fresh = F.filter("long", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    bounds = {f"{k}_{x}": F.transform(k, lambda s: s[x]) for k in BASE for x in ("start", "end")}  # noqa: B023
+    found = found.withColumns({"base": F.concat(*BASE), "long": F.filter("long", mixed)} | bounds)
+    at = {k: (F.col(f"{k}_start"), F.col(f"{k}_end")) for k in BASE}
+    fresh = F.filter("long", lambda s: ~(overlapped(s, *at["assign"]) | overlapped(s, *at["access"]) | overlapped(s, *at["hex"])))
     found = found.select("id", "base", fresh.alias("long"))
     tested = F.transform("long", lambda s: F.struct(s.alias("span"), battery(s["match"]).alias("t")))
     random = lambda t: (F.abs(t["uniform"]) < Z_UNIFORM) & (F.abs(t["runs"]) < Z_RUNS) & (F.abs(t["serial"]) < Z_SERIAL)
@@ -150,4 +184,4 @@ def digest(found: DataFrame) -> DataFrame:
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"] != "random")
-    return found.select("doc_id", *[n(k) for k in KINDS[:3]], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[n(k) for k in BASE], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
