@@ -3,11 +3,16 @@
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents:
 
 1. quality classifier: documents that it rejects go;
-2. n-gram Jaccard join: of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with
-   the smallest doc_id stays;
+2. n-gram Jaccard join: of each group of near duplicates (five-word shingles, similarity 0.8 or more) one document stays,
+   the one with the smallest doc_id (those without come last, then the smallest hash of the text counts);
 3. benchmark decontamination: documents that hold a benchmark item go;
 4. PII: found spans are replaced by their kind in angle brackets, n_chars is counted anew;
 5. mixing: each document with its size, its source's size and target, its copies and the words that are taken.
+
+Every stage judges a row by its text, so doc_id may be null or shared by several texts. Null and empty texts: the classifier
+gives them the score of its bias; they are no near duplicates and hold no item or personal data, and repeated rows of them stay;
+their size is 0. Of repeated rows with words the second stage leaves one. Very long texts are treated whole. A table without
+rows gives one without rows. Columns other than those of documents are left out; null in lang, source or n_chars stays null.
 """
 
 from __future__ import annotations
@@ -27,16 +32,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
-    # a document stays if it names its component; repeated rows of one doc_id stay as one, rows without doc_id as they are
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if ids.isEmpty():  # every row has an id of its own: a document stays if it names its component
+        groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
+        first = groups.where("doc_id = component_id").select("doc_id")
+        return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    # otherwise rows are numbered, and written so that they keep their numbers
+    rows = stash(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    groups = jaccard_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
+    first = rows.join(groups, "row").groupBy("c").agg(F.min(order).alias("o")).select("o.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
