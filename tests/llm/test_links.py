@@ -89,6 +89,69 @@ def test_tool_calls_without_identifier_or_name_stay(spark):
         assert json.dumps(json.loads(r["json"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r["json"]
 
 
+def brute_order(messages):
+    """(anchor, depth) of each turn by walking dependencies: messages (turn, calls, result_of), calls (id, refs)."""
+    first, answered = {}, {r for _, _, r in messages if r}
+    for turn, calls, _ in messages:
+        for i, _ in calls:
+            first.setdefault(i, turn)
+    by = {m[0]: m for m in messages}
+
+    def place(turn, seen=()):
+        if turn in seen:
+            raise RecursionError
+        _, calls, result = by[turn]
+        if result in first:
+            a, d = place(first[result], (*seen, turn))
+            return a, d + 1
+        at = (turn, 0)
+        for _, refs in calls:
+            for r in refs:
+                if r in first and r in answered:
+                    a, d = place(first[r], (*seen, turn))
+                    at = max(at, (a, d + 2))
+        return at
+
+    return {m[0]: place(m[0]) for m in messages}
+
+
+def test_order_follows_dependencies(spark):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for conv in range(25):
+        n = rng.randint(2, 14)
+        turns = rng.sample(range(40), n)
+        rank = {t: k for k, t in enumerate(turns)}  # calls refer to calls of a smaller rank, at any turn
+        messages = []
+        for t in turns:
+            if rng.random() < 0.45:
+                messages.append((t, [], f"c{rng.choice(turns)}"))
+            else:
+                messages.append((t, [(f"c{t}", [f"c{x}" for x in rng.sample(turns, rng.randint(0, min(3, n))) if rank[x] < rank[t]])], None))
+        messages.sort()
+        want |= {(conv, t): p for t, p in brute_order(messages).items()}
+        for t, calls, result in messages:
+            body = {"tool_call_id": result, "content": "r"} if result else {"tool_calls": [{"id": i, "name": "t", "arguments": {f"a{k}": {"result_of": r} for k, r in enumerate(refs)}} for i, refs in calls]}
+            rows.append((conv, t, "x", json.dumps(body)))
+    rows += [(99, 0, "x", json.dumps({"tool_calls": [{"id": "p", "name": "t", "arguments": {"a0": {"result_of": "q"}}}]})), (99, 1, "x", json.dumps({"tool_calls": [{"id": "q", "name": "t", "arguments": {"a0": {"result_of": "p"}}}]})), (99, 2, "x", '{"tool_call_id": "p"}'), (99, 3, "x", '{"tool_call_id": "q"}')]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit("clash")).withColumn("calls", F.lit(1))
+    tools = spark.createDataFrame([("t", f"a{i}", "integer", False) for i in range(3)] + [("t", "a0", "string", False), ("t", "a0", "integer", False), (None, None, None, None)], "tool string, argument string, type string, required boolean")
+    got = tool_calls.link_tool_calls(df, tools).collect()
+    assert len(got) == len(rows) and {(r["conv_id"], r["turn"]): (r["anchor_turn"], r["depth"]) for r in got if r["conv_id"] < 99} == want
+    assert any(p != (t, 0) and p[1] > 1 for (_, t), p in want.items())
+    circle = [json.loads(r["json"])["calls"][0]["faults"] for r in got if r["conv_id"] == 99 and r["turn"] < 2]
+    assert circle == [["circular reference"]] * 2
+
+
+def test_turns_become_calls_and_results(spark):
+    rows = [(1, 0, "user", 'say "hi"\n'), (1, 1, "assistant", "hi"), (1, 2, "user", "again"), (2, 0, "system", "s"), (2, 2, "user", "late"), (2, 5, "assistant", "lost"), (3, 0, "user", '{"a":1}'), (None, 0, "user", "x"), (4, 0, "user", None), (5, 0, "user", "w " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in tool_calls.link_tool_calls(tool_calls.from_turns(df), tool_calls.tool_table(spark, tool_calls.TURN_TOOLS)).collect()}
+    assert len(got) == len(rows) and json.loads(got[1, 2]["json"])["calls"][0]["arguments"] == {"message": "again", "turn": 2, "after": {"result_of": "0"}}
+    assert got[1, 0]["n_linked"] == 1 and got[1, 2]["n_faults"] == 0 and json.loads(got[2, 2]["json"])["calls"][0]["faults"] == ["unknown reference after"]
+    assert json.loads(got[2, 5]["json"])["result_state"] == "orphan" and got[3, 0]["n_calls"] == 0 and got[None, 0]["n_calls"] == 0 and got[4, 0]["n_calls"] == 1 and got[5, 0]["n_calls"] == 1
+
+
 def test_pipeline_equals_plain_version(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{small}/labels.parquet"))

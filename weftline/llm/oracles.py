@@ -88,3 +88,22 @@ x AS (
 SELECT doc_id, size, z AS source_size, target, (least(3, whole + CASE WHEN u < coalesce(cut, 0) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN x ON x.source IS NOT DISTINCT FROM q.source
 """
+
+ORACLES["op4_tool_calls"] = r"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+asks AS (SELECT DISTINCT conv_id, turn FROM m WHERE role = 'user'),
+says AS (SELECT DISTINCT conv_id, turn FROM m WHERE role = 'assistant'),
+x AS (
+  SELECT m.*, role = 'user' AS ask, role = 'assistant' AND a.turn IS NOT NULL AS linked, role = 'user' AND r.turn IS NOT NULL AS answered,
+         CASE WHEN role <> 'user' OR m.turn < 2 THEN '' WHEN b.turn IS NULL THEN '"unknown reference after"' WHEN q.turn IS NULL THEN '"open reference after"' ELSE '' END AS fault
+  FROM m LEFT JOIN asks a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 LEFT JOIN says r ON r.conv_id = m.conv_id AND r.turn = m.turn + 1
+  LEFT JOIN asks b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2 LEFT JOIN says q ON q.conv_id = m.conv_id AND q.turn = m.turn - 1)
+SELECT conv_id, turn, role, CASE WHEN linked THEN turn - 1 ELSE turn END AS anchor_turn, linked::INTEGER AS depth, ask::BIGINT AS n_calls,
+       (linked OR answered)::BIGINT AS n_linked, (fault <> '')::BIGINT AS n_faults,
+  '{' || CASE WHEN ask THEN '"calls":[{"arguments":{' || CASE WHEN turn >= 2 THEN '"after":{"result_of":"' || (turn - 2) || '"},' ELSE '' END || '"message":' || to_json(text)::VARCHAR || ',"turn":' || turn
+      || '},"faults":[' || fault || '],"id":"' || turn || '","name":"reply","state":"' || CASE WHEN answered THEN 'answered' ELSE 'open' END || '"}],' ELSE '' END
+  || '"content":' || CASE WHEN ask THEN '""' ELSE to_json(text)::VARCHAR END || ',"conv_id":' || conv_id
+  || CASE WHEN role = 'assistant' THEN ',"result_of":"' || (turn - 1) || '","result_state":"' || CASE WHEN linked THEN 'linked' ELSE 'orphan' END || '"' ELSE '' END
+  || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' AS json
+FROM x
+"""

@@ -23,7 +23,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.link_tool_calls(table(spark, sf_dir, "conversations"), tool_calls.tool_table(spark))
+    """The turns of each conversation as calls and results (``from_turns``), linked."""
+    turns = tool_calls.from_turns(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(turns, tool_calls.tool_table(spark, tool_calls.TURN_TOOLS))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
