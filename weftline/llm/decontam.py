@@ -7,16 +7,22 @@ WAND does it with its pivot: the most frequent ones are left out of candidate se
 than ``COMMON`` of its score, so a unit that reaches the threshold must get the rest from the other terms.
 
 Search. Passages are windows of ``2 * UNIT`` words, one every ``UNIT`` words, so each unit-long stretch is whole in one.
-For all passages of a piece of text at once, block maxima are added up by (passage, block); only blocks whose bound reaches
-the threshold are scored exactly, unit by unit. Nothing above the threshold is missed and no passage is left out.
+All passages of a piece of text are searched at once. In each the terms are ordered by their largest impact, and the pivot is the
+one at which their sum reaches the threshold: terms before it cannot make a result by themselves, so blocks are opened for those from
+the pivot on, passages without a pivot are skipped, and block maxima are added up by (passage, block). Only blocks whose bound
+reaches the threshold are scored exactly, unit by unit. Nothing above the threshold is missed and no passage is left out.
 
 Verification. An item is split into a question and an answer (its last line or sentence, at least a quarter and
 ``ANSWER`` words). The share of the 3-word shingles of each that the passage holds must be ``OVERLAP`` for both.
 
 The index goes to the tasks in slices of at most ``SLICE`` bytes of item text, measured before anything is collected; a
 larger benchmark is taken slice by slice, one pass each. The number of units, their mean length and the units that hold a
-term are counted over the whole benchmark, so scores do not depend on the slices: these only part the postings. Null and empty texts match nothing; an item without words is
-ignored; repeated items and rows give one row for each pair of ids. Extra columns are ignored.
+term are counted over the whole benchmark, so scores do not depend on the slices: these only part the postings.
+
+Null and empty texts match nothing, a null doc_id is one id like others; an item without id or words is ignored; an empty table on
+either side finds nothing. Very long texts are searched whole, piece by piece of a batch. Repeated items and rows give one
+row for each pair of ids, with the best passage (the highest score, then the larger overlaps); a score on the threshold
+counts as reaching it. Extra columns are ignored by ``contaminated`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ from .common import stash, unstash
 UNIT, BLOCK, THRESHOLD, COMMON, OVERLAP, SHINGLE, ANSWER = 64, 8, 0.5, 0.2, 0.5, 3, 8
 K1, B = 1.2, 0.75
 SLICE = 8 << 20
+#: Candidates that are scored together.
+SCORED = 1 << 14
 
 
 def _word_hashes(text: str) -> np.ndarray:
@@ -55,6 +63,11 @@ def _answer_at(text: str) -> int:
     return at or max(0, words - max(ANSWER, words // 3))
 
 
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after the other."""
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Index:
     """The inverted index of one slice of items; arrays only, so it travels cheaply. ``whole``: the units and words of the
     whole benchmark, the sorted terms of the slice (others may be among them) and the units of the benchmark that hold each;
@@ -109,9 +122,58 @@ class Index:
         np.maximum.at(self.b_max, at, self.impact[keep])
         self.b_term, self.b_block = keys // max(self.blocks, 1), keys % max(self.blocks, 1)
         self.b_first = np.searchsorted(self.b_term, np.arange(len(self.terms) + 1))
+        self.pb_key, at = np.unique(self.p_term * max(self.blocks, 1) + self.p_unit // BLOCK, return_index=True)
+        self.pb_first = np.append(at, len(self.p_term))
+        self.t_max = np.zeros(len(self.terms))
+        np.maximum.at(self.t_max, self.b_term, self.b_max)
         self.slots = np.zeros(1 << 20, bool)
         self.slots[(self.terms >> np.uint64(44)).astype(np.int64)] = True
 
+    def _blocks(self, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage and block as one number, largest impact) of all blocks of the terms ``t`` of passages ``w``."""
+        many = self.b_first[t + 1] - self.b_first[t]
+        place = _ranges(self.b_first[t], many)
+        return np.repeat(w, many) * self.blocks + self.b_block[place], self.b_max[place]
+
+    def _candidates(self, w: np.ndarray, t: np.ndarray, windows: int) -> np.ndarray:
+        """The blocks (numbered with their passage) whose bound reaches what is needed. The terms of a passage are put in
+        order of their largest impact; before the pivot they cannot reach it together, so only the blocks of the others are
+        opened, and a passage without a pivot is skipped. What lies before the pivot is opened for passages with blocks left."""
+        order = np.lexsort((self.t_max[t], w))
+        w, t = w[order], t[order]
+        upto = np.cumsum(self.t_max[t])
+        head = np.searchsorted(w, np.arange(windows))
+        upto -= np.concatenate(([0.0], upto))[head][w]
+        behind = upto >= self.need
+        before = np.bincount(w[~behind], self.t_max[t[~behind]], minlength=windows)
+        key, most = self._blocks(w[behind], t[behind])
+        keys, back = np.unique(key, return_inverse=True)
+        bound = np.bincount(back, most, minlength=len(keys))
+        left = bound + before[keys // self.blocks] >= self.need
+        keys, bound = keys[left], bound[left]
+        still = np.zeros(windows, bool)
+        still[keys // self.blocks] = True
+        rest = ~behind & still[w]
+        key, most = self._blocks(w[rest], t[rest])
+        if len(keys) and len(key):
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            ok = keys[at] == key
+            bound = bound + np.bincount(at[ok], most[ok], minlength=len(keys))
+        return keys[bound >= self.need]
+
+    def _scores(self, terms: np.ndarray, head: np.ndarray, size: np.ndarray, block: np.ndarray):
+        """(candidate, unit within the block, score) of what reaches the threshold. Candidates: where the terms of their passage
+        begin in ``terms``, how many there are, and the block."""
+        owner = np.repeat(np.arange(len(block)), size)
+        key = terms[_ranges(head, size)] * self.blocks + block[owner]
+        at = np.minimum(np.searchsorted(self.pb_key, key), len(self.pb_key) - 1)
+        ok = self.pb_key[at] == key
+        at, owner = at[ok], owner[ok]
+        n = self.pb_first[at + 1] - self.pb_first[at]
+        p = _ranges(self.pb_first[at], n)
+        score = np.bincount(np.repeat(owner, n) * BLOCK + self.p_unit[p] % BLOCK, self.impact[p], minlength=1)
+        return [(x // BLOCK, x % BLOCK, float(score[x])) for x in np.flatnonzero(score >= THRESHOLD).tolist()]
+
     def search(self, words: np.ndarray, first: np.ndarray):
         """(text, item, score, question overlap, answer overlap) for the texts whose words begin at ``first``."""
         at = np.flatnonzero(self.slots[(words >> np.uint64(44)).astype(np.int64)])
@@ -124,42 +186,23 @@ class Index:
         count = -(-np.diff(first) // UNIT)
         start = np.concatenate(([0], np.cumsum(count)))
         own = start[doc] + slot
-        inside = self.searched[term]
-        w = np.concatenate((own[inside], own[inside & (slot > 0)] - 1))
-        t = np.concatenate((term[inside], term[inside & (slot > 0)]))
-        pair = np.unique(w * len(self.terms) + t)
+        pair = np.unique(np.concatenate((own, own[slot > 0] - 1)) * len(self.terms) + np.concatenate((term, term[slot > 0])))
         w, t = pair // len(self.terms), pair % len(self.terms)
-        many = self.b_first[t + 1] - self.b_first[t]
-        place = np.repeat(self.b_first[t] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        key = np.repeat(w, many) * self.blocks + self.b_block[place]
-        if start[-1] * self.blocks <= 4_000_000:
-            bound = np.bincount(key, self.b_max[place], minlength=1)
-            good = np.flatnonzero(bound >= self.need)
-        else:
-            keys, back = np.unique(key, return_inverse=True)
-            good = keys[np.bincount(back, self.b_max[place]) >= self.need]
+        inside = self.searched[t]
+        good = self._candidates(w[inside], t[inside], int(start[-1]))
+        head = np.searchsorted(w, np.arange(start[-1] + 1))
         best: dict = {}
-        order = np.argsort(own, kind="stable")
-        sorted_own, sorted_term = own[order], term[order]
-        for g in good.tolist():
-            window, block = divmod(g, self.blocks)
-            d = int(np.searchsorted(start, window, "right")) - 1
-            last = window + 1 if window + 1 < start[d + 1] else window
-            terms = np.unique(sorted_term[np.searchsorted(sorted_own, window) : np.searchsorted(sorted_own, last, "right")])
-            lo, hi = block * BLOCK, (block + 1) * BLOCK
-            n = self.first[terms + 1] - self.first[terms]
-            p = np.repeat(self.first[terms] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            p = p[(self.p_unit[p] >= lo) & (self.p_unit[p] < hi)]
-            score = np.bincount(self.p_unit[p] - lo, self.impact[p], minlength=BLOCK)
-            for u in np.flatnonzero(score >= THRESHOLD).tolist():
-                unit = lo + u
-                a = first[d] + (window - start[d]) * UNIT
+        for i in range(0, len(good), SCORED):
+            window, block = good[i : i + SCORED] // self.blocks, good[i : i + SCORED] % self.blocks
+            for c, u, score in self._scores(t, head[window], head[window + 1] - head[window], block):
+                unit, d = int(block[c]) * BLOCK + u, int(np.searchsorted(start, window[c], "right")) - 1
+                a = first[d] + (int(window[c]) - start[d]) * UNIT
                 # an item of several units may go on after the passage
                 more = len(self.parts[unit][0]) + len(self.parts[unit][1])
                 passage = words[max(first[d], a - more) : min(first[d + 1], a + 2 * UNIT + more)]
                 shares = [self._share(x, passage) for x in self.parts[unit]]
                 if min(shares) >= OVERLAP:
-                    found = (float(score[u]), *shares)
+                    found = (score, *shares)
                     k = (d, self.item[unit])
                     best[k] = max(best.get(k, found), found)
         return [(d, item, *v) for (d, item), v in sorted(best.items())]
