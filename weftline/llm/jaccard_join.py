@@ -17,7 +17,9 @@ Groups. Equal sets are one vertex from the start. The result needs connectivity
 taken in rounds: first the words of ``FIRST`` parts, each bucket as a star around its smallest member; verified links are
 contracted; then all parts, but only buckets that still hold several components: first as a star around the member that
 shares most, which is the centre of its copies, then with ``PIVOTS`` times as many pivots in each round. A bucket of no more
-members than pivots is then complete. Sizes and bit sketches are compared inside the join, so it gives plausible pairs only. No link between different
+members than pivots is then complete. What a join looks keys up in is written first, so that Spark knows its size: where it
+is below ``spark.sql.autoBroadcastJoinThreshold`` the buckets are not shuffled at all, otherwise both sides are, and
+adaptive execution splits the hot keys. Sizes and bit sketches are compared inside the join, so it gives plausible pairs only. No link between different
 components is left unexamined when the rounds end, and a group of near copies costs its members times the pivots.
 
 Null, empty and blank texts have an empty set, link with nothing and are their own component; rows without doc_id
@@ -179,7 +181,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     sets = stash(base.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")))
     # one row for each different set: the row of its smallest doc_id
     chosen = sets.where("id is not null").select("id").distinct()
-    vertex = stash(wide.where("n > 0").join(chosen, wide["doc_id"] == chosen["id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys", "fine", F.xxhash64("h1", "h2").alias("h")).distinct())
+    vertex = wide.where("n > 0").join(chosen, wide["doc_id"] == chosen["id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys", "fine")
+    if vertex.count() > chosen.count():  # some rows share a doc_id
+        vertex = vertex.distinct()
+    vertex = stash(vertex)
     unstash(wide)
     sizes = stash(vertex.select("id", "n", "fine"))
     found = None  # verified links so far
@@ -198,10 +203,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     def examine(pairs: DataFrame, texts: DataFrame | None = None) -> None:
         """Verifies pairs that have not been examined yet, and contracts the links."""
         nonlocal found, tested
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        likely = keep(_plausible(pairs, sizes, percent))
+        ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        likely = keep(_plausible(pairs, keep(sizes.join(ids, "id", "left_semi")), percent))
         if likely.isEmpty():
             return
         tested = likely if tested is None else tested.union(likely)
@@ -215,7 +221,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     # a star in each bucket of the first parts
     some = vertex.select("id", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
-    shared = some.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    shared = keep(some.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"))
     examine(some.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")))
     # every part, buckets of several components only
     labelled = vertex.withColumn("c", F.col("id")) if labels is None else vertex.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
@@ -225,11 +231,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     for k in range(PASSES):
         own = F.filter("keys", lambda x: F.pmod(F.shiftright(x, BAND_BITS), F.lit(PASSES)) == k)
         rows = labelled.select("id", "c", F.explode(F.array_distinct(own)).alias("key"))
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("key", "g")
-        part = keep(rows.join(mixed, "key").select("key", "id", "g"))
+        # most keys are of one text: only counts of keys are shuffled for them
+        often = keep(rows.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
+        part = keep(rows.join(often, "key").select("key", "id", "c", "g"))
         bucket = part if bucket is None else bucket.union(part)
-        del rows, mixed
     unstash(labelled)
+    mixed = keep(bucket.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
+    bucket = bucket.join(mixed, "key", "left_semi").select("key", "id", "g")
     # of the keys of a text in a band, its most frequent ones are not needed
     band = F.pmod("key", F.lit(1 << BAND_BITS)).cast("int")
     spared = F.element_at(F.array(*[F.lit(band_parts(b, percent)[2] - 1) for b in range(1 << BAND_BITS)]), band + 1)
@@ -243,7 +251,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     pivots, done = 1, bucket
     while True:
         now = bucket.withColumn("c", F.col("id")) if labels is None else bucket.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
-        state = now.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "g")
+        state = keep(now.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "g"))
         now = keep(now.join(state, "key").select("key", "id", "n", "fine", "c", "g"))
         unstash(done)
         if now.isEmpty():
@@ -255,7 +263,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         salt = F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots))
         ranked = many.join(shares, "id").select("key", salt.alias("salt"), F.struct("shared", -F.col("id"), "id", "n", "fine", "c").alias("p"))
         picked = ranked.groupBy("key", "salt").agg(F.max("p").alias("p")).select("key", "p.id", "p.n", "p.fine", "p.c")
-        left = few.union(picked).select("key", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "fine", "c")])
+        left = keep(few.union(picked).select("key", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "fine", "c")]))
         right = now.select("key", *[F.col(x).alias(f"{x}b") for x in ("id", "n", "fine", "c")])
         examine(left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & _may_link(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b")), texts)
         done, bucket = now, many.select("key", "id", "n", "fine")
