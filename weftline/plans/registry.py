@@ -7,17 +7,16 @@ table of a few files is dealt over all cores first.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.config import JoinParams, SketchParams
+from weftline.functions.rolling import digits
 from weftline.functions.sequence import twobit_decode, twobit_encode, twobit_slice, twobit_valid
 from weftline.operators import index, matching, readhash, report, sketch
-from weftline.functions.rolling import digits
-from weftline.shared import shared_dir, spread, written
+from weftline.shared import fresh_path, spread, written
 from weftline.sources.reads import fasta_reads, fastq_reads, table_reads
 
 from . import oracle as o
@@ -103,7 +102,7 @@ def q_read_count(spark, sf_dir):
 
 
 def _files(spark, sf_dir, record) -> str:
-    path = f"{shared_dir(spark)}/weftline/files-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     placed = reads(spark, sf_dir).repartitionByRange(16, "read_id").sortWithinPartitions("read_id")
     placed.select(record.alias("value")).write.text(path)
     return path

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed value: Spark's setting that deletes the shuffle files of a query once it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: What ``written`` has made in this process and nobody has dropped yet.
+#: Paths that this process has written and nobody has dropped yet.
 _paths: set[str] = set()
 
 
@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is there when the process ends is deleted."""
+    path = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}"
+    _paths.add(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder: computed once, and safe from lost executors. The shuffle files of the query
     go when it has ended. A table that is written already stays as it is. ``dropped`` deletes it; what is left when the
@@ -35,8 +42,7 @@ def written(df: DataFrame) -> DataFrame:
     if getattr(df, "_weftline_path", None):
         return df
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}"
-    _paths.add(path)
+    path = fresh_path(spark)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
