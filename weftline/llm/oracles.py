@@ -107,3 +107,33 @@ SELECT conv_id, turn, role, CASE WHEN linked THEN turn - 1 ELSE turn END AS anch
   || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' AS json
 FROM x
 """
+
+
+def _clustering(k: int = 16, rounds: int = 3, width: int = 64) -> str:
+    """Lloyd's rounds with all distances: one row for each vector and dimension, for each vector and centroid."""
+
+    def assigned(i: int) -> str:
+        return f"""
+d{i} AS (SELECT v.vec_id, c.j, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{i} c USING (p) GROUP BY ALL),
+a{i} AS MATERIALIZED (SELECT vec_id, arg_min(j, (d, j)) AS j, min(d) AS d FROM d{i} GROUP BY vec_id)"""
+
+    def moved(i: int) -> str:
+        return f"""
+s{i} AS (SELECT a.j, v.p, floor(sum(v.x)::DOUBLE / count(*))::BIGINT AS x FROM v JOIN a{i - 1} a USING (vec_id) GROUP BY ALL),
+c{i} AS MATERIALIZED (SELECT c.j, c.p, coalesce(s.x, c.x) AS x FROM c{i - 1} c LEFT JOIN s{i} s USING (j, p))"""
+
+    steps = "".join(f",{moved(i)},{assigned(i)}" for i in range(1, rounds + 1))
+    return f"""
+WITH e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, unnest(range({width})) AS p, unnest(list_transform(e, lambda x: floor(64 * x)::BIGINT)) AS x FROM e),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS j FROM e QUALIFY j < {k}),
+c0 AS MATERIALIZED (SELECT j, p, x FROM first JOIN v USING (vec_id)),{assigned(0)}{steps},
+names AS (SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+SELECT vec_id, j::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN names USING (j)
+"""
+
+
+ORACLES["op12_centroid_clustering"] = _clustering()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, jaccard_join, line_clean, mix, oracles, pii, quality, secrets, tool_calls, url_filter
+from . import centroids, decontam, html_extract, jaccard_join, line_clean, mix, oracles, phrases, pii, quality, secrets, tool_calls, url_filter, whitening
 from .common import table
 
 
@@ -53,11 +53,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean.line_clean(docs).drop("text")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_secret_scan, op3_url_filter, op4_tool_calls, op5_decontaminate, op6_pii, op7_mix_sources,
-        op8_ngram_jaccard_join, op9_html_extraction, op10_quality_rules,
+        op8_ngram_jaccard_join, op9_html_extraction, op10_quality_rules, op11_embedding_whitening, op12_centroid_clustering,
+        op13_document_fingerprints,
     )
 }
 ORACLES = oracles.ORACLES
