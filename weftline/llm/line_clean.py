@@ -8,8 +8,9 @@ A document is kept unless the lines that went held more than ``max_lost`` of its
 fail it (too few words, or too many words in repeated windows). Everything is evaluated inside the row with array
 expressions: no shuffle, no Python, and one long document or one hot source is no burden to others.
 
-A null or empty text has no words, fails the base rules and is not kept. Repeated rows are judged alike. Columns that
-clash with those added are replaced.
+A null or empty text has no words, fails the base rules and is not kept. Repeated rows and equal texts are judged alike, so there are
+no ties. Very long texts and very long lines are treated whole: every rule is linear and none recurses. An empty table gives an empty
+one. Columns that clash with those added are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BOILERPLATE = [
 ]
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 0.3
 MAX_SYMBOLS, MAX_LOST, BOILERPLATE_CHARS = 0.15, 0.5, 120
+#: What separates the items of a navigation line, and the most characters of an item.
+PARTS, PART_CHARS = "|>»•·", 40
 #: Characters that the base measures count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -46,8 +49,8 @@ def bad_line(x: Column) -> Column:
     """Whether a measured line fails the punctuation, navigation or boilerplate rule; a line without words never does."""
     line, n = x["line"], x["n"]
     punctuation = (n >= 20) & (F.length(line) - F.length(_bare(line, *SYMBOLS)) > MAX_SYMBOLS * n)
-    parted = F.contains(line, F.lit("|")) | F.contains(line, F.lit("»")) | F.contains(line, F.lit("•")) | F.contains(line, F.lit("·")) | F.contains(line, F.lit(">"))
-    navigation = parted & F.regexp_like(line, F.lit(r"^[^|>»•·\n]{0,40}(?:[|>»•·][^|>»•·\n]{0,40}){2,}$"))
+    # separators are counted and a longer piece is looked for, as an expression that repeats a group recurses once a repeat
+    navigation = (F.length(line) - F.length(F.translate(line, PARTS, "")) >= 2) & ~F.regexp_like(line, F.lit(f"[^{PARTS}]{{{PART_CHARS + 1}}}"))
     link = (F.contains(line, F.lit("://")) | F.contains(line, F.lit("www."))) & F.regexp_like(line, F.lit(r"^\s*(?:https?://|www\.)\S+\s*$"))
     boilerplate = (n <= BOILERPLATE_CHARS) & F.regexp_like(F.lower(line), F.lit("|".join(BOILERPLATE)))
     return (n > 0) & (punctuation | navigation | link | boilerplate)
