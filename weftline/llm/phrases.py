@@ -51,7 +51,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     return tuple(np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n, b, np.uint64)))) for b in (BASE, pow(BASE, -1, 1 << 64)))
@@ -64,16 +64,16 @@ def points(text: str) -> np.ndarray:
 def parse(chars: np.ndarray, trie: dict[int, int], node: int, at: int, ends: list[int]) -> tuple[int, int]:
     """Goes on with a parse from the phrase ``node`` at place ``at``: known phrases are numbers in ``trie`` by the number before
     and the character; the places where new phrases end are added to ``ends``. Gives the phrase and the place where it stopped."""
-    known, add = trie.get, ends.append
+    known, add, count = trie.get, ends.append, len(trie)
     for low in range(0, len(chars), PIECE):
         for c in chars[low : low + PIECE].tolist():
             at += 1
             key = node << 21 | c
-            node = known(key)
-            if node is None:
-                trie[key] = len(trie) + 1
+            node = known(key, 0)
+            if not node:
+                count += 1
+                trie[key] = count
                 add(at)
-                node = 0
     return node, at
 
 
@@ -84,8 +84,7 @@ def hashes(chars: np.ndarray, start: int, ends: np.ndarray) -> np.ndarray:
     while row < len(ends):
         stop = max(row + 1, int(np.searchsorted(ends, start + PIECE, "right")))
         part = ends[row:stop] - start
-        n = 1 << int(part[-1]).bit_length()
-        power, inverse = _powers(n) if n <= 4096 or n > PIECE else _powers(PIECE)
+        power, inverse = _powers(max(PIECE, int(part[-1])))
         each = mixed(chars[start : start + part[-1]].astype(np.uint64) + np.uint64(1)) * power[: part[-1]]
         upto = np.concatenate(([np.uint64(0)], np.cumsum(each, dtype=np.uint64)))
         begin = np.concatenate(([0], part[:-1]))
@@ -97,7 +96,8 @@ def hashes(chars: np.ndarray, start: int, ends: np.ndarray) -> np.ndarray:
 def smallest(phrase_hashes: np.ndarray, size: int = SIZE) -> np.ndarray:
     if len(phrase_hashes) > 8 * size:
         phrase_hashes = phrase_hashes[phrase_hashes <= np.partition(phrase_hashes, 4 * size)[4 * size]]
-    return np.unique(phrase_hashes)[:size]
+    out = np.sort(phrase_hashes)
+    return out[np.insert(out[1:] != out[:-1], 0, True)][:size] if len(out) else out
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
