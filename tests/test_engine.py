@@ -11,9 +11,10 @@ from weftline import cli, shared
 from weftline.config import JoinParams, SketchParams
 from weftline.functions import rolling
 from weftline.functions.sequence import twobit_decode, twobit_encode, twobit_slice
-from weftline.operators import arrow_sketch, index, matching, report, sketch
+from weftline.operators import arrow_sketch, index, matching, report, sketch, stored
 from weftline.operators.stored import store_index
 from weftline.sources import reads as sources
+from weftline.streaming import query_mode
 from weftline.streaming.query_mode import stream_overlaps
 
 
@@ -248,3 +249,194 @@ def test_written_tables_go(spark):
     assert shared.written(t) is t and t.count() == 5
     shared.dropped(t, spark.range(1))
     assert not os.path.exists(t._weftline_path)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tandem_runs_equal_regular_expression(spark):
+    import re
+
+    tandem = re.compile(r"(.{1,6}?)\1+|.", re.S)
+    rng = random.Random(9)
+    seqs = ["", "A", "AAAA", "ACACACA", "ACGTTACGTTACGTT", "ABCDEFGABCDEFG"] + ["".join(rng.choice("AC" if i % 3 else "ACGT") for _ in range(rng.randint(0, 200))) for i in range(120)]
+    rows = spark.createDataFrame([(i, True, len(s), s) for i, s in enumerate(seqs)], "read_id long, fw boolean, raw_length long, seq string")
+    for r in arrow_sketch.tandem_runs(rows).collect():
+        want = [(m.start(), len(m[1] or m[0])) for m in tandem.finditer(seqs[r["read_id"]])]
+        assert list(zip(r["starts"], r["motifs"], strict=True)) == want
+
+
+@pytest.mark.parametrize(("gap", "width"), [(5, 8), (5, 3), (500, 1 << 15), (0, 1)])
+def test_chains_over_ranges_of_diagonals(spark, monkeypatch, gap, width):
+    monkeypatch.setattr(matching, "DIAGONALS", width)
+    rng = random.Random(width)
+    rows = []
+    for _ in range(700):
+        pair = (0, 1, True) if rng.random() < 0.4 else (rng.randrange(3), 3 + rng.randrange(3), rng.random() < 0.5)
+        a, d = rng.randrange(100), rng.choice([-700, 0, 3, 4000]) + rng.randrange(-25, 25) * rng.choice([1, 1, 6])
+        rows.append((pair[0], pair[1], a, a + 9, a + d, a + d + 9, pair[2], 5000, 5000))
+    want = []
+    for pair in {(r[0], r[1], r[6]) for r in rows}:
+        mine = sorted((r for r in rows if (r[0], r[1], r[6]) == pair), key=lambda r: r[4] - r[2])
+        box = None
+        for r in mine:
+            if box and (r[4] - r[2]) - box[-1] <= gap:
+                box = [*pair, min(box[3], r[2]), max(box[4], r[3]), min(box[5], r[4]), max(box[6], r[5]), box[7] + 1, r[4] - r[2]]
+            else:
+                want += [tuple(box[:-1])] if box else []
+                box = [*pair, r[2], r[3], r[4], r[5], 1, r[4] - r[2]]
+        want.append(tuple(box[:-1]))
+    m = spark.createDataFrame(rows, "left long, right long, l_start long, l_end long, r_start long, r_end long, r_fw boolean, l_len long, r_len long")
+    found = matching.chains(m, JoinParams(chain_gap=gap))
+    assert sorted((r["left"], r["right"], r["r_fw"], r["l_start"], r["l_end"], r["r_start"], r["r_end"], r["n_matches"]) for r in found.collect()) == sorted(want)
+
+
+def test_a_hot_pair_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(matching, "DIAGONALS", 16)
+    m = spark.range(4000).selectExpr("0L as left", "1L as right", "id % 50 as l_start", "id % 50 + 9 as l_end", "id % 50 + id as r_start", "id % 50 + id + 9 as r_end", "true as r_fw", "9000L as l_len", "9000L as r_len")
+    found = matching.chains(m, JoinParams(chain_gap=2))
+    text = plan(found)
+    shuffles = [x for x in text.split("\n") if "Exchange hashpartitioning" in x]
+    assert any("diagonal" in x for x in shuffles) and any("range" in x for x in shuffles)  # matches go by diagonal, diagonals by range
+    r = found.collect()
+    assert len(r) == 1 and r[0]["n_matches"] == 4000
+
+
+def test_counters_and_overlaps_of_one_run(spark, tmp_path, monkeypatch, capsys):
+    r, p, calls = near_copies(spark), SketchParams(11, 2, 10), []
+    sketched, joined = report.chunks, report.matches
+    monkeypatch.setattr(report, "chunks", lambda *a, **b: calls.append("chunks") or sketched(*a, **b))
+    monkeypatch.setattr(report, "matches", lambda *a, **b: calls.append("matches") or joined(*a, **b))
+    before = set(shared._paths)
+    with shared.scope():
+        done = report.run(r, p)
+        assert sorted(map(tuple, done.overlaps().collect())) == sorted(map(tuple, report.overlaps(r, p).collect()))
+    assert calls.count("matches") == 2 and set(shared._paths) == before  # one for each of the two
+    assert report.stats(r, p).first().asDict() == done.counters and set(shared._paths) == before
+    calls.clear()
+    (tmp_path / "a.fa").write_text("".join(f">{x['name']}\n{x['sequence']}\n" for x in r.collect()))
+    cli.main(["overlaps", str(tmp_path / "all"), str(tmp_path / "a.fa"), "--k", "11", "--num-windows", "2", "--window-size", "10"], spark)
+    said = dict(x.split("\t") for x in capsys.readouterr().err.splitlines() if "\t" in x)
+    assert calls == ["chunks", "matches"] and {k: int(v) for k, v in said.items()} == done.counters and set(shared._paths) == before
+
+
+def test_scopes_nest(spark):
+    before = set(shared._paths)
+    with shared.scope():
+        with shared.scope():
+            a, b = shared.written(spark.range(3)), shared.outlives(shared.written(spark.range(4)))
+        assert a._weftline_path not in shared._paths and b.count() == 4
+    assert set(shared._paths) == before
+
+
+def tables(index, spark):
+    return [sorted(map(tuple, df.collect())) for df in (index.chunks(spark), index.keys(spark), index.reads(spark))]
+
+
+def test_index_in_two_steps_equals_one(spark, tmp_path):
+    rng = random.Random(3)
+    r = sequences(spark, *["".join(rng.choice("ACGT") for _ in range(200)) + "ACGGTCAATCGGATTA" * 8 for _ in range(12)])
+    p = SketchParams(7, 2, 10)
+    one, two = store_index(r, "one", p, 3), stored.new_index(spark, "two", p, 3, str(tmp_path))
+    assert two.batches(spark) == [] and two.chunks(spark).count() == 0
+    assert two.append(r.where("read_id < 5")) and two.append(r.where("read_id >= 5"), batch=7)
+    assert two.batches(spark) == [0, 7] and tables(two, spark) == tables(one, spark)
+    assert not two.append(r.where("read_id >= 5"), batch=7) and tables(two, spark) == tables(one, spark)  # given again
+    with pytest.raises(ValueError):
+        two.append(r.where("read_id = 3"))
+    # a batch that failed before its log was written is not seen, and is replaced when it comes again
+    extra = sequences(spark, "ACGTTGCA" * 20).withColumn("read_id", F.lit(100).cast("long"))
+    spark.sql("CREATE TABLE log_kept USING parquet AS SELECT * FROM two_log")
+    two.append(extra, batch=8)
+    spark.sql("INSERT OVERWRITE two_log SELECT * FROM log_kept")
+    assert tables(two, spark) == tables(one, spark)
+    assert two.append(extra.withColumn("name", F.lit("second try")), batch=8)
+    assert [tuple(x) for x in two.reads(spark).where("read_id = 100").collect()] == [(100, "second try")]
+    before = tables(two, spark)
+    two.compact(spark)
+    assert two.batches(spark) == [9] and tables(two, spark) == before and len(two.chunks(spark).inputFiles()) <= 3
+    assert stored.open_index(spark, "two") == two
+    for index in (one, two):
+        index.drop(spark)
+    spark.sql("DROP TABLE log_kept")
+    with pytest.raises(ValueError):
+        stored.open_index(spark, stored.new_index(spark, "none").name)
+
+
+def test_index_is_not_shuffled(spark):
+    r, p = near_copies(spark), SketchParams(7, 2, 10)
+    kept = store_index(r, "kept2", p, buckets=3)
+    kept.append(r.withColumn("read_id", F.col("read_id") + 50))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = plan(matching.query_matches(sketch.chunks(r, p), kept.chunks(spark)))
+        assert joined.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in joined
+        assert "Exchange hashpartitioning" not in plan(kept.keys(spark))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        kept.drop(spark)
+
+
+def test_stream_of_files_in_small_batches(spark, tmp_path):
+    r, p = near_copies(spark), SketchParams(7, 2, 10)
+    (tmp_path / "in").mkdir()
+    for x in r.collect():
+        (tmp_path / "in" / f"{x['name']}.fa").write_text(f">{x['name']} remark\n{x['sequence'][:70]}\n{x['sequence'][70:]}\n")
+    kept = store_index(r, "kept3", p, buckets=3)
+    start = lambda: query_mode.stream_fasta(spark, str(tmp_path / "in"), kept, str(tmp_path / "out"), str(tmp_path / "check"), files=1)
+    got = lambda: sorted(map(tuple, query_mode.sunk(spark, str(tmp_path / "out"), tsv=True).collect()))
+    assert start().awaitTermination(180)
+    want = sorted(map(tuple, report.query_overlaps(r, r, p).collect()))
+    assert got() == want and len(list((tmp_path / "out").glob("batch=*"))) == 3
+    assert start().awaitTermination(180) and got() == want  # nothing new
+    (tmp_path / "in" / "late.fa").write_text(f">late\n{r.first()['sequence']}\n")
+    assert start().awaitTermination(180) and {x[0] for x in got()} == {"r0", "r1", "r2", "late"}
+    kept.drop(spark)
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
+    r, p = near_copies(spark), SketchParams(7, 2, 10)
+    rows = report.query_overlaps(r, r, p)
+    for tsv in (False, True):
+        sink = query_mode.batch_sink(str(tmp_path / f"out{tsv}"), tsv)
+        for number in (0, 1, 1, 0):
+            sink(rows.where(F.col("left") == f"r{number}"), number)
+        assert sorted(map(tuple, query_mode.sunk(spark, str(tmp_path / f"out{tsv}"), tsv).collect())) == sorted(map(tuple, rows.where("left in ('r0', 'r1')").collect()))
+
+
+def test_command_line_stream(spark, tmp_path, capsys):
+    r = near_copies(spark).collect()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fa").write_text("".join(f">{x['name']}\n{x['sequence']}\n" for x in r[:2]))
+    before = set(shared._paths)
+    cli.main(["stream", str(tmp_path / "out"), str(tmp_path / "in" / "a.fa"), str(tmp_path / "in"), "--k", "11", "--num-windows", "2", "--window-size", "10", "--max-files", "1"], spark)
+    assert {(x["left"], x["right"]) for x in query_mode.sunk(spark, str(tmp_path / "out"), tsv=True).collect()} == {("r0", "r0"), ("r0", "r1"), ("r1", "r0"), ("r1", "r1")}
+    said = capsys.readouterr().err
+    assert "chain_matches\t4" in said and "distinct_chunks\t" in said and "singleton_chunks\t" in said and set(shared._paths) == before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weftline_")]
+
+
+def test_nameless_records_and_numbers_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">\nACGT\n> two words\nAC\n\nGT\n>\t\n\n>x\n")
+    got = [(r["read_id"], r["name"], r["sequence"]) for r in sources.fasta_reads(spark, str(tmp_path / "a.fa")).orderBy("read_id").collect()]
+    assert got == [(0, "", "ACGT"), (1, "two", "ACGT"), (2, "x", "")]
+    rng = random.Random(4)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 400))) for _ in range(500)]
+    (tmp_path / "b.fa").write_text("".join(f">n{i}\n{s}\n" for i, s in enumerate(seqs)))
+    quality = lambda s: ("@" + "@+!I"[len(s) % 4] * len(s))[: len(s)]
+    (tmp_path / "b.fq").write_text("".join(f"@n{i}\n{s}\n+\n{quality(s)}\n" for i, s in enumerate(seqs)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")  # blocks end inside records
+    try:
+        for df in (sources.fasta_reads(spark, str(tmp_path / "b.fa")), sources.fastq_reads(spark, str(tmp_path / "b.fq"))):
+            assert [(r["read_id"], r["name"], r["sequence"]) for r in df.orderBy("read_id").collect()] == [(i, f"n{i}", s) for i, s in enumerate(seqs)]
+            assert df.rdd.getNumPartitions() > 5
+            moved = [x for x in plan(df).split("\n") if "Exchange" in x and "Broadcast" not in x]
+            assert all("body" not in x and "sequence" not in x for x in moved) and "SortMergeJoin" not in plan(df)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_keys_are_binary(spark):
+    c = sketch.chunks(near_copies(spark), SketchParams(7, 3, 10))
+    assert dict(c.dtypes)["key"] == "binary" and {len(r["key"]) for r in c.collect()} == {24}

@@ -1,10 +1,14 @@
-"""The two programs on a command line.
+"""The programs on a command line.
 
     python -m weftline overlaps OUT FILE...             all-vs-all overlaps of the sequences of files
     python -m weftline query OUT INDEX_FILE FILE...     overlaps of the sequences of files with those of an index file
+    python -m weftline stream OUT INDEX_FILE FOLDER     the same for the FASTA files of a folder, as a stream
 
-OUT is a folder for tab-separated lines; run counters of the first program go to the error output. Files are FASTA or FASTQ by
-their names (.gz too). With spark-submit, give ``--py-files`` a zip of the package, or let this program send it itself.
+OUT is a folder for tab-separated lines (``stream``: one folder a batch in it); run counters go to the error output. Files are FASTA or
+FASTQ by their names (.gz too). Each file is read once: its reads are kept as a table while the program runs, as are chunks and
+chains, from which overlaps and counters are made. ``stream`` ends when all files are done, or with ``--every`` goes on for those that come;
+started again with the same ``--checkpoint`` it goes on where it was. With spark-submit, give ``--py-files`` a zip of the package, or
+let this program send it itself.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import argparse
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
 from functools import reduce
 
@@ -20,8 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.config import MASKS, JoinParams, SketchParams
-from weftline.operators.report import overlaps, query_overlaps, stats
+from weftline.operators.matching import chains, normalised, query_matches
+from weftline.operators.report import COUNTERS, named, run
+from weftline.operators.sketch import chunks
+from weftline.operators.stored import store_index
+from weftline.shared import fresh_path, scope, written
 from weftline.sources.reads import fasta_reads, fastq_reads, write_overlaps
+from weftline.streaming.query_mode import FILES, stream_fasta, sunk
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,11 +45,17 @@ def parser() -> argparse.ArgumentParser:
     programs = out.add_subparsers(dest="program", required=True)
     one = programs.add_parser("overlaps", parents=[own])
     two = programs.add_parser("query", parents=[own])
-    for x in (one, two):
+    three = programs.add_parser("stream", parents=[own])
+    for x in (one, two, three):
         x.add_argument("out")
-    two.add_argument("index")
+    for x in (two, three):
+        x.add_argument("index")
     for x in (one, two):
         x.add_argument("files", nargs="+")
+    three.add_argument("folder")
+    three.add_argument("--checkpoint", help="where the stream keeps its progress; by default it begins anew")
+    three.add_argument("--max-files", type=int, default=FILES, help="files of a batch")
+    three.add_argument("--every", help="how often to look for new files, such as '10 seconds'; without it the program ends when all files are done")
     return out
 
 
@@ -73,10 +89,29 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         send_package(spark)
     p = SketchParams(a.k, a.num_windows, a.window_size, a.mask)
     j = JoinParams(a.min_coverage, a.max_coverage, a.max_length_difference, a.chain_gap)
-    reads = read_files(spark, a.files)
-    if a.program == "query":
-        write_overlaps(query_overlaps(reads, read_files(spark, [a.index]), p, j), a.out)
+    if a.program == "overlaps":
+        with scope():
+            done = run(written(read_files(spark, a.files)), p, j)
+            write_overlaps(done.overlaps(), a.out)
+            _tell({c: done.counters[c] for c in COUNTERS})
         return
-    write_overlaps(overlaps(reads, p, j), a.out)
-    for name, value in stats(reads, p, j).first().asDict().items():
+    with scope():
+        index = store_index(written(read_files(spark, [a.index])), f"weftline_{uuid.uuid4().hex}", p, folder=fresh_path(spark))
+        try:
+            if a.program == "query":
+                queries = written(read_files(spark, a.files))
+                found = written(chains(normalised(query_matches(chunks(queries, p), index.chunks(spark), j)), j))
+                write_overlaps(named(found, queries, index.reads(spark)), a.out)
+                n = found.count()
+            else:
+                stream_fasta(spark, a.folder, index, a.out, a.checkpoint or fresh_path(spark), j, a.max_files, a.every).awaitTermination()
+                n = sunk(spark, a.out, tsv=True).count()
+            keys = index.keys(spark).agg(F.count("*").alias("distinct_chunks"), F.count_if(F.col("n") == 1).alias("singleton_chunks")).first()
+            _tell({**keys.asDict(), "chain_matches": n})
+        finally:
+            index.drop(spark)
+
+
+def _tell(counters: dict[str, int]) -> None:
+    for name, value in counters.items():
         print(f"{name}\t{value}", file=sys.stderr)

@@ -2,15 +2,12 @@
 
 The strands of an Arrow batch are taken in pieces of about ``PIECE`` bytes and laid end to end. Masks are run boundaries,
 k-mer hashes are put together from those of halves, window minima are doubled, and a position counts where a
-window's hash changes: array operations over the whole piece, no loop over symbols, k-mers or strands (but for the runs of the
-``microsat`` mask, which a regular expression finds). Hashes and minima are made for blocks of window positions, so a long
+window's hash changes: array operations over the whole piece, no loop over symbols, k-mers or strands. Hashes and minima are made for blocks of window positions, so a long
 strand needs its letters, and a number and a place for each symbol, and nothing else of its length.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,8 +17,9 @@ from weftline.config import SketchParams
 from weftline.functions.rolling import BASES, PRIME, SYMBOL_BASE
 
 PIECE = 1 << 18
-_TANDEM = re.compile(r"(.{1,6}?)\1+|.", re.S)
-SCHEMA = "key string, read_id long, fw boolean, start long, end long, raw_length long, place long"
+#: Fixed value: letters of the longest motif of the ``microsat`` mask.
+MOTIF = 6
+SCHEMA = "key binary, read_id long, fw boolean, start long, end long, raw_length long, place long"
 
 
 def _residue(x: np.ndarray) -> np.ndarray:
@@ -58,21 +56,49 @@ def _chars(texts: pa.Array, row: int, stop: int) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
 
 
+def _tandem_runs(chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tandem runs of the shortest motif of up to ``MOTIF`` letters, or single letters, from left to right: where they begin, and the
+    letters of their motifs.
+
+    Where a text equals itself moved by m letters for at least m letters in a row, a motif of m letters is repeated. So each place has the
+    length of the run that would begin there; runs that do begin are those that are reached from the strand's start, which doubling of
+    steps finds."""
+    n = len(chars)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    stop = np.repeat(at[1:], np.diff(at))  # the end of each letter's strand
+    places, motif, length = np.arange(n), np.ones(n, np.int64), np.ones(n, np.int64)
+    for m in range(min(MOTIF, n - 1), 0, -1):  # a shorter motif goes before
+        same = np.zeros(n, bool)
+        same[:-m] = (chars[m:] == chars[:-m]) & (places[:-m] + m < stop[:-m])
+        # how many letters from each place on equal those m further
+        ends = np.where(same, n, places)
+        equal = np.minimum.accumulate(ends[::-1])[::-1] - places
+        again = equal >= m
+        motif[again], length[again] = m, m * (1 + equal[again] // m)
+    begins = np.zeros(n + 1, bool)
+    begins[at[:-1][np.diff(at) > 0]] = True
+    step = np.append(np.minimum(places + length, stop), n)
+    last = np.flatnonzero(step[:-1] == stop)
+    step[last] = n  # strands end here; the next begins on its own
+    reached = -1
+    while (count := int(begins.sum())) != reached:
+        reached = count
+        begins[step[np.flatnonzero(begins)]] = True
+        step = step[step]
+    starts = np.flatnonzero(begins[:-1])
+    return starts, motif[starts]
+
+
 def _symbols(chars: np.ndarray, at: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the symbols of strands end to end, and where each begins in ``chars``."""
     if mask == "microsat":
-        text, known, codes, starts = chars.tobytes().decode("utf-32-le", "surrogatepass"), {}, [], []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            for m in _TANDEM.finditer(text, a, b):
-                symbol = m[1] or m[0]
-                if symbol not in known:
-                    value = 0
-                    for c in symbol + ".":
-                        value = (value * SYMBOL_BASE + ord(c)) % PRIME
-                    known[symbol] = value
-                codes.append(known[symbol])
-                starts.append(m.start())
-        return np.array(codes, np.int64), np.array(starts, np.int64)
+        starts, size = _tandem_runs(chars, at)
+        codes = np.zeros(len(starts), np.int64)  # polynomials of the letters of a motif and a final dot
+        for i in range(MOTIF):
+            there = size > i
+            codes[there] = (codes[there] * SYMBOL_BASE + chars[starts[there] + i].astype(np.int64)) % PRIME
+        return (codes * SYMBOL_BASE + ord(".")) % PRIME, starts
     first = np.ones(len(chars), bool)
     if mask == "hpc":
         first[1:] = chars[1:] != chars[:-1]
@@ -81,6 +107,27 @@ def _symbols(chars: np.ndarray, at: np.ndarray, mask: str) -> tuple[np.ndarray,
     return chars[starts].astype(np.int64), starts
 
 
+def tandem_runs(strands: DataFrame) -> DataFrame:
+    """(read_id, fw, raw_length, starts, motifs): the symbols of the ``microsat`` mask of each strand."""
+
+    def run(batches):
+        for batch in batches:
+            texts, row = batch.column("seq"), 0
+            upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+            while row < batch.num_rows:
+                stop = max(row + 1, int(np.searchsorted(upto, upto[row] + PIECE, "right")) - 1)
+                chars, at = _chars(texts, row, stop)
+                starts, motif = _tandem_runs(chars, at)
+                bounds = np.searchsorted(starts, at)
+                own = starts - np.repeat(at[:-1], np.diff(bounds))
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int64())) for x in (own, motif)]
+                part = batch.slice(row, stop - row)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("read_id", "fw", "raw_length")), *lists], names=["read_id", "fw", "raw_length", "starts", "motifs"])
+                row = stop
+
+    return strands.select("read_id", "fw", "raw_length", "seq").mapInArrow(run, "read_id long, fw boolean, raw_length long, starts array<long>, motifs array<long>")
+
+
 def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of several ranges, one after the other."""
     before = np.cumsum(size) - size
@@ -137,10 +184,10 @@ def sketch_strands(chars: np.ndarray, at: np.ndarray, p: SketchParams):
 
 
 def _keys(windows: np.ndarray) -> pa.Array:
-    """Window hashes as hex digits in a row."""
-    digits, width = windows.astype(">i8").tobytes().hex().encode(), 16 * windows.shape[1]
-    offsets = np.arange(len(windows) + 1, dtype=np.int64) * width
-    return pa.LargeStringArray.from_buffers(len(windows), pa.py_buffer(offsets), pa.py_buffer(digits)).cast(pa.string())
+    """Window hashes in a row, the first byte of each the highest."""
+    width = 8 * windows.shape[1]
+    offsets = np.arange(len(windows) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(windows), [None, pa.py_buffer(offsets), pa.py_buffer(windows.astype(">i8").tobytes())])
 
 
 def sketched(strands: DataFrame, p: SketchParams) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import JoinParams, SketchParams
-from weftline.shared import written
+from weftline.shared import outlives, scope, written
 
-from .index import chunk_counts, key_counts, within
+from .index import key_table, within
 from .matching import chains, matches, normalised, query_matches, reads_with_match
 from .sketch import chunks
 
@@ -35,19 +37,45 @@ def query_overlaps(queries: DataFrame, index: DataFrame, p: SketchParams = Sketc
     return named(chains(normalised(query_matches(chunks(queries, p), chunks(index, p), j)), j), queries, index)
 
 
+@dataclass(frozen=True)
+class Run:
+    """What an all-vs-all run leaves: its chains as a written table, the reads, and its nine counters."""
+
+    reads: DataFrame
+    chains: DataFrame
+    counters: dict[str, int]
+
+    def overlaps(self) -> DataFrame:
+        return named(self.chains, self.reads, self.reads)
+
+
+def run(reads: DataFrame, p: SketchParams = SketchParams(), j: JoinParams = JoinParams()) -> Run:  # noqa: B008
+    """An all-vs-all run with its counters. Reads are sketched once and joined once: chunks, keys and chains are written, and
+    everything that is counted or reported is read from these. Only the chains stay."""
+    with scope():
+        c = written(chunks(reads, p))
+        keys = written(key_table(c))
+        found = outlives(written(chains(normalised(matches(c, j, counts=keys)), j)))
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+        ok = within(F.col("n"), j)
+        parts = [
+            reads.agg(F.count("*").alias("number_reads")),
+            keys.agg(
+                F.count("*").alias("distinct_chunks"), total(F.when(ok, F.col("n"))).alias("read_chunk_matches"), F.count_if(F.col("n") == 1).alias("singleton_chunks"),
+                F.coalesce(F.max(F.when(ok, F.col("n"))), F.lit(0)).alias("max_chunk_size"),
+            ),
+            reads_with_match(c, j, keys).agg(F.count("*").alias("reads_with_match")),
+            found.groupBy("left", "right").agg(F.count("*").alias("chains"), F.sum("n_matches").alias("matches"))
+            .agg(F.count("*").alias("read_pair_matches"), total("chains").alias("chain_matches"), total("matches").alias("window_matches")),
+        ]
+        return Run(reads, found, {k: int(v) for x in parts for k, v in x.first().asDict().items()})
+
+
+COUNTERS = ["number_reads", "distinct_chunks", "read_chunk_matches", "singleton_chunks", "reads_with_match", "read_pair_matches", "chain_matches", "window_matches", "max_chunk_size"]
+
+
 def stats(reads: DataFrame, p: SketchParams = SketchParams(), j: JoinParams = JoinParams()) -> DataFrame:  # noqa: B008
-    """The nine counters of an all-vs-all run, one row. The join is made once: pairs and matches are counted from chains."""
-    c = written(chunks(reads, p))  # read by several aggregates
-    pairs = chains(normalised(matches(c, j)), j).groupBy("left", "right").agg(F.count("*").alias("chains"), F.sum("n_matches").alias("matches"))
-    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    parts = [
-        reads.agg(F.count("*").alias("number_reads")),
-        chunk_counts(c),
-        key_counts(c).where(within(F.col("n"), j)).agg(total("n").alias("read_chunk_matches"), F.coalesce(F.max("n"), F.lit(0)).alias("max_chunk_size")),
-        reads_with_match(c, j).agg(F.count("*").alias("reads_with_match")),
-        pairs.agg(F.count("*").alias("read_pair_matches"), total("chains").alias("chain_matches"), total("matches").alias("window_matches")),
-    ]
-    out = parts[0]
-    for x in parts[1:]:  # rows of totals: one each
-        out = out.crossJoin(x)
-    return out
+    """The nine counters of an all-vs-all run, one row; nothing that the run has written stays."""
+    with scope():
+        counters = run(reads, p, j).counters
+    return reads.sparkSession.createDataFrame([tuple(counters[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))

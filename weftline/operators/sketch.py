@@ -132,14 +132,14 @@ def emitted(reads: DataFrame, p: SketchParams) -> DataFrame:
 
 
 def chunks(reads: DataFrame, p: SketchParams = SketchParams(), columns_only: bool = False) -> DataFrame:  # noqa: B008
-    """(key, read_id, fw, start, end, raw_length): window chunks of both strands. The key is the row of window hashes;
+    """(key, read_id, fw, start, end, raw_length): window chunks of both strands. The key is the row of window hashes, eight bytes each;
     start and end are raw, inclusive and on the strand itself. Equal chunks of a strand are one.
 
     Strands are sketched in Arrow batches; ``columns_only`` uses column functions throughout (see README for the cost),
     with a shuffle at the end, as the blocks of a strand can repeat a chunk."""
     if not columns_only:
         return sketched(strands(reads), p).drop("place")
-    e = F.transform("e", lambda x: F.struct(F.array_join(F.transform(x["v"], digits), "").alias("key"), F.get("syms", x["a"])["a"].cast("long").alias("start"), F.get("syms", x["z"] + (p.k - 1))["z"].cast("long").alias("end")))
+    e = F.transform("e", lambda x: F.struct(F.unhex(F.array_join(F.transform(x["v"], digits), "")).alias("key"), F.get("syms", x["a"])["a"].cast("long").alias("start"), F.get("syms", x["z"] + (p.k - 1))["z"].cast("long").alias("end")))
     rows = emitted(reads, p).select("read_id", "fw", "raw_length", F.explode(F.array_distinct(e)).alias("x"))
     return rows.select("x.key", "read_id", "fw", "x.start", "x.end", "raw_length").distinct()
 
@@ -149,5 +149,5 @@ def read_hashes(reads: DataFrame, p: SketchParams = SketchParams()) -> DataFrame
     bounded by its own length."""
     one = SketchParams(p.k, 1, p.window_size, p.mask, p.block)
     forward = reads.where(F.col("sequence").isNotNull()).select("read_id", F.lit(True).alias("fw"), "raw_length", F.col("sequence").alias("seq"))
-    found = sketched(forward, one).groupBy("read_id").agg(F.array_sort(F.collect_set(F.struct(F.col("place").alias("pos"), F.col("key").alias("hash")))).alias("x"))
+    found = sketched(forward, one).groupBy("read_id").agg(F.array_sort(F.collect_set(F.struct(F.col("place").alias("pos"), F.lower(F.hex("key")).alias("hash")))).alias("x"))
     return found.select("read_id", F.col("x.pos").alias("positions"), F.col("x.hash").alias("hashes"))

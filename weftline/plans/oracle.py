@@ -33,6 +33,28 @@ def symbols(pre: str = "") -> str:
          count(*) OVER (PARTITION BY read_id, fw) AS n FROM {pre}starts WINDOW w AS (PARTITION BY read_id, fw ORDER BY p))"""
 
 
+def tandem(motif: int = 6, doublings: int = 18, pre: str = "") -> str:
+    """Tandem runs of the ``microsat`` mask. Each place has the run that would begin there; those that do begin are reached from
+    the first place of their strand, by steps that double."""
+    same = ", ".join(f"coalesce(s = lead(s, {m}) OVER w, false) AS q{m}" for m in range(1, motif + 1))
+    until = ", ".join(f"min(CASE WHEN NOT q{m} THEN p END) OVER (PARTITION BY read_id, fw ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - p AS e{m}" for m in range(1, motif + 1))
+    size = " ".join(f"WHEN e{m} >= {m} THEN {m}" for m in range(1, motif + 1))
+    length = " ".join(f"WHEN e{m} >= {m} THEN {m} * (1 + e{m} // {m})" for m in range(1, motif + 1))
+    steps = "".join(f""",
+{pre}r{i + 1} AS MATERIALIZED (SELECT k FROM {pre}r{i} UNION SELECT nxt FROM {pre}r{i} JOIN {pre}j{i} USING (k)),
+{pre}j{i + 1} AS MATERIALIZED (SELECT a.k, b.nxt FROM {pre}j{i} a JOIN {pre}j{i} b ON a.nxt = b.k)""" for i in range(doublings))
+    return f"""{pre}letters AS (
+  SELECT read_id, fw, raw_length, unnest(range(raw_length)) AS p, unnest(string_split(seq, '')) AS s,
+         unnest(range(raw_length)) + coalesce(sum(raw_length) OVER (ORDER BY read_id, fw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k
+  FROM {pre}strands WHERE raw_length > 0),
+{pre}same AS (SELECT read_id, fw, raw_length, k, p, {same} FROM {pre}letters WINDOW w AS (PARTITION BY read_id, fw ORDER BY p)),
+{pre}until AS (SELECT read_id, fw, raw_length, k, p, {until} FROM {pre}same),
+{pre}runs AS MATERIALIZED (SELECT read_id, fw, raw_length, k, p, CASE {size} ELSE 1 END AS motif, CASE {length} ELSE 1 END AS len FROM {pre}until),
+{pre}r0 AS (SELECT k FROM {pre}runs WHERE p = 0),
+{pre}j0 AS (SELECT k, k + len AS nxt FROM {pre}runs WHERE p + len < raw_length){steps},
+{pre}tandem AS (SELECT read_id, fw, raw_length, p AS a, p + len - 1 AS z, motif FROM {pre}runs JOIN {pre}r{doublings} USING (k))"""
+
+
 def kmers(p: SketchParams = P, pre: str = "") -> str:
     """Hashes of k-mers by doubling: polynomials of 2, 4, 8 ... symbols from neighbours, then the sum of powers that k is,
     then the fifth power of both residues."""

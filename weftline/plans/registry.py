@@ -7,6 +7,7 @@ table of a few files is dealt over all cores first.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ from weftline.config import JoinParams, SketchParams
 from weftline.functions.rolling import digits
 from weftline.functions.sequence import twobit_decode, twobit_encode, twobit_slice, twobit_valid
 from weftline.operators import index, matching, readhash, report, sketch
+from weftline.operators.arrow_sketch import tandem_runs
+from weftline.operators.stored import StoredIndex, store_index
 from weftline.shared import fresh_path, spread, written
 from weftline.sources.reads import fasta_reads, fastq_reads, table_reads
+from weftline.streaming.query_mode import batch_sink, stream_overlaps, sunk, table_stream
 
 from . import oracle as o
 
@@ -51,6 +55,11 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.chunks(reads(spark, sf_dir), P)
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """Keys as hex digits."""
+    return rows.withColumn("key", F.lower(F.hex("key")))
+
+
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of reads with repeats: those labelled toxic and those labelled low."""
     labels = _table(spark, sf_dir, "labels")
@@ -141,6 +150,16 @@ def q_masked(spark, sf_dir):
     return rows.select("read_id", "fw", "raw_length", F.size("syms").cast("long").alias("n_symbols"), F.array_join("syms.s", "").alias("symbols"), F.md5(places).alias("intervals"))
 
 
+@_query(f"""{_STRANDS},\n{o.tandem()} SELECT read_id, fw, raw_length, count(*) AS n_symbols, md5(string_agg(a::VARCHAR || '-' || z::VARCHAR, ',' ORDER BY a)) AS intervals,
+md5(string_agg(motif::VARCHAR, ',' ORDER BY a)) AS motifs FROM tandem GROUP BY ALL""")
+def q_masked_microsat(spark, sf_dir):
+    """Tandem runs of each strand: raw intervals and the lengths of their motifs."""
+    rows = tandem_runs(sketch.strands(reads(spark, sf_dir))).where(F.size("starts") > 0)
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("raw_length"))
+    places = F.zip_with("starts", ends, lambda a, z: F.concat_ws("-", a, z - 1))
+    return rows.select("read_id", "fw", "raw_length", F.size("starts").cast("long").alias("n_symbols"), F.md5(F.array_join(places, ",")).alias("intervals"), F.md5(F.array_join(F.transform("motifs", lambda m: m.cast("string")), ",")).alias("motifs"))
+
+
 @_query(f"{_SYMS} SELECT DISTINCT read_id, fw, n AS n_symbols, n - {P.span} + 1 AS n_positions FROM syms WHERE n >= {P.span}")
 def q_eligible_reads(spark, sf_dir):
     rows = sketch.eligible(sketch.masked(sketch.strands(reads(spark, sf_dir)), P.mask), P)
@@ -188,7 +207,7 @@ def q_emissions(spark, sf_dir):
 
 @_query(f"{_CHUNKS} SELECT * FROM chunks")
 def q_chunks(spark, sf_dir):
-    return _chunks(spark, sf_dir)
+    return _shown(_chunks(spark, sf_dir))
 
 
 # --- index
@@ -199,7 +218,7 @@ ORDER BY read_id, fw, start, "end")) AS occurrences FROM covered GROUP BY ALL"""
 def q_buckets(spark, sf_dir):
     rows = index.buckets(_chunks(spark, sf_dir))
     text = F.transform("occurrences", lambda x: F.concat(x["read_id"].cast("string"), F.when(x["fw"], "+").otherwise("-"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
-    return rows.select("key", "n", "piece", F.md5(F.array_join(text, ",")).alias("occurrences"))
+    return _shown(rows.select("key", "n", "piece", F.md5(F.array_join(text, ",")).alias("occurrences")))
 
 
 @_query(f"{_CHUNKS} SELECT count(*) AS distinct_chunks, count(*) FILTER (n = 1) AS singleton_chunks FROM (SELECT key, count(*) AS n FROM chunks GROUP BY key) x")
@@ -209,12 +228,12 @@ def q_chunk_counts(spark, sf_dir):
 
 @_query(f"{_CHUNKS},\n{o.covered(BOUNDED)} SELECT key, read_id, fw, start, \"end\", n FROM covered")
 def q_coverage(spark, sf_dir):
-    return index.covered(_chunks(spark, sf_dir), BOUNDED).select("key", "read_id", "fw", "start", "end", "n")
+    return _shown(index.covered(_chunks(spark, sf_dir), BOUNDED).select("key", "read_id", "fw", "start", "end", "n"))
 
 
 @_query(f"{_COVERED} SELECT DISTINCT read_id, key FROM covered")
 def q_read_buckets(spark, sf_dir):
-    return index.read_buckets(_chunks(spark, sf_dir))
+    return _shown(index.read_buckets(_chunks(spark, sf_dir)))
 
 
 # --- joins and chains
@@ -222,12 +241,12 @@ def q_read_buckets(spark, sf_dir):
 
 @_query(f"{_MATCHES} SELECT key, {_MATCH_COLUMNS} FROM matches")
 def q_matches(spark, sf_dir):
-    return matching.matches(_chunks(spark, sf_dir)).select("key", *matching.COLUMNS)
+    return _shown(matching.matches(_chunks(spark, sf_dir)).select("key", *matching.COLUMNS))
 
 
 @_query(f"{_COVERED},\n{o.matches(order='<>')} SELECT key, {_MATCH_COLUMNS} FROM matches")
 def q_matches_both(spark, sf_dir):
-    return matching.matches(_chunks(spark, sf_dir), both_orders=True).select("key", *matching.COLUMNS)
+    return _shown(matching.matches(_chunks(spark, sf_dir), both_orders=True).select("key", *matching.COLUMNS))
 
 
 _LISTS = f"""{_CHUNKS}, bad AS (SELECT key FROM chunks WHERE read_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
@@ -240,7 +259,7 @@ def q_matches_masked(spark, sf_dir):
     """Keys by both lists: allowed are those of reads labelled good, denied those of reads labelled toxic."""
     c, labels = written(_chunks(spark, sf_dir)), _table(spark, sf_dir, "labels")
     keys = lambda rule: c.join(labels.where(rule).select(F.col("doc_id").alias("read_id")), "read_id", "left_semi").select("key").distinct()
-    return matching.matches(index.masked_keys(c, keys("quality = 1"), keys("toxic = 1"))).select("key", *matching.COLUMNS)
+    return _shown(matching.matches(index.masked_keys(c, keys("quality = 1"), keys("toxic = 1"))).select("key", *matching.COLUMNS))
 
 
 @_query(f"{_NORMAL} SELECT {_MATCH_COLUMNS} FROM normal")
@@ -290,7 +309,7 @@ def q_stats(spark, sf_dir):
 
 @_query(f"{_Q_MATCHES} SELECT key, {_MATCH_COLUMNS} FROM matches")
 def q_query_matches(spark, sf_dir):
-    return matching.query_matches(_chunks(spark, sf_dir), sketch.chunks(items(spark, sf_dir), P)).select("key", *matching.COLUMNS)
+    return _shown(matching.query_matches(_chunks(spark, sf_dir), sketch.chunks(items(spark, sf_dir), P)).select("key", *matching.COLUMNS))
 
 
 @_query(f"{_Q_CHAINS} SELECT * FROM chains")
@@ -304,6 +323,51 @@ def q_query_overlaps(spark, sf_dir):
     return report.query_overlaps(reads(spark, sf_dir), items(spark, sf_dir), P, J)
 
 
+# --- a kept index and a stream of queries
+
+
+def _index(spark, sf_dir, reads_of_index) -> StoredIndex:
+    return store_index(reads_of_index, f"weftline_{uuid.uuid4().hex}", P, folder=fresh_path(spark))
+
+
+@_query(f"{_Q_CHAINS} {o.named('i_reads')}")
+def q_index_overlaps(spark, sf_dir):
+    """Query mode against an index that is kept: documents against the items of the benchmark."""
+    kept = _index(spark, sf_dir, items(spark, sf_dir))
+    try:
+        return written(kept.overlaps(reads(spark, sf_dir), J))
+    finally:
+        kept.drop(spark)
+
+
+@_query(f"{_CHUNKS} SELECT key, count(*) AS n, min(read_id) AS least, max(read_id) AS most FROM chunks GROUP BY key")
+def q_index_append(spark, sf_dir):
+    """The key table of an index to which reads are added: those that are labelled first, then the others."""
+    everything, labels = reads(spark, sf_dir), _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("read_id"))
+    kept = _index(spark, sf_dir, everything.join(labels, "read_id", "left_semi"))
+    try:
+        kept.append(everything.join(labels, "read_id", "left_anti"))
+        return written(_shown(kept.keys(spark)))
+    finally:
+        kept.drop(spark)
+
+
+@_query(f"{_Q_CHAINS} {o.named('i_reads')}")
+def q_stream_overlaps(spark, sf_dir):
+    """The files of ``documents`` as a stream of queries against a kept index, a few files a batch."""
+    source = reads(spark, sf_dir).select("read_id", "name", "raw_length", "sequence")
+    folder, out = fresh_path(spark), fresh_path(spark)
+    source.write.parquet(folder)  # files as a stream finds them
+    kept = _index(spark, sf_dir, items(spark, sf_dir))
+    try:
+        files = max(1, len(spark.read.parquet(folder).inputFiles()) // 3)
+        stream = stream_overlaps(table_stream(spark, folder, source.schema, files), kept, batch_sink(out), fresh_path(spark), J)
+        stream.awaitTermination()
+        return sunk(spark, out)
+    finally:
+        kept.drop(spark)
+
+
 # --- per-read hashes, lookups, subsets, packed sequences
 
 _ONE = SketchParams(num_windows=1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths that this process has written and nobody has dropped yet.
 _paths: set[str] = set()
+#: Of each ``scope`` that is open, the innermost last: the paths that were made in it.
+_scopes: list[set[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +36,32 @@ def fresh_path(spark: SparkSession) -> str:
     """A new path in the shared folder; what is there when the process ends is deleted."""
     path = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}"
     _paths.add(path)
+    if _scopes:
+        _scopes[-1].add(path)
     return path
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is written inside is deleted at the end, so a long session does not gather tables: results have to be taken
+    before, or be a written table that ``outlives`` it."""
+    _scopes.append(set())
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(path)
+
+
+def outlives(df: DataFrame) -> DataFrame:
+    """A written table that the innermost scope leaves to the one around it."""
+    if _scopes and (path := getattr(df, "_weftline_path", None)):
+        _scopes[-1].discard(path)
+        if len(_scopes) > 1:
+            _scopes[-2].add(path)
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder: computed once, and safe from lost executors. The shuffle files of the query
     go when it has ended. A table that is written already stays as it is. ``dropped`` deletes it; what is left when the

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftline.functions.sequence import fold
+from weftline.shared import written
+
+#: Blocks of files, a few dozen bytes each, that are sent to all tasks.
+BLOCKS = 100_000
+#: The columns of an overlap.
+OVERLAPS = "left string, left_len long, left_start long, left_end long, left_strand string, right string, right_len long, right_start long, right_end long, right_strand string"
 
 
 def table_reads(table: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -24,47 +30,55 @@ def sequence_reads(table: DataFrame, id_col: str, name_col: str, sequence_col: s
     return table.select(F.col(id_col).cast("long").alias("read_id"), F.col(name_col).cast("string").alias("name"), F.length(sequence_col).cast("long").alias("raw_length"), F.col(sequence_col).alias("sequence"))
 
 
-def _records(spark: SparkSession, paths, mark: str) -> DataFrame:
-    """(path, record, body): the records of text files, cut at a line that begins with ``mark``."""
-    text = spark.read.option("lineSep", f"\n{mark}").text(paths)
-    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("body"))
+def _cut(reader, paths, mark: str) -> DataFrame:
+    """(path, block, body): pieces of text files, cut at each line that begins with ``mark``."""
+    text = reader.option("lineSep", f"\n{mark}").text(paths)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("body"))
 
 
 def _numbered(records: DataFrame) -> DataFrame:
-    """Ids by file and place: a count for each block of a file, then running sums, so no task numbers a whole file. A task
-    may hold many small files, so all is by (path, block)."""
-    parts = records.groupBy("path", "block").agg(F.count("*").alias("n"))
+    """Ids by file and place. Records of a block lie in a row in one task, so their numbers there less the first of them are
+    their places in the block; before them come all records of the blocks and files before. Only one row a block is shuffled, and the
+    bodies stay where they were read: the blocks go to all tasks if there are at most ``BLOCKS``, and are joined by Spark's choice otherwise."""
+    records = records.withColumn("at", F.monotonically_increasing_id())
+    parts = written(records.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")))
     before = F.sum("n").over(W.orderBy("path", "block").rowsBetween(W.unboundedPreceding, -1))  # one row a block
-    offsets = parts.select("path", "block", F.coalesce(before, F.lit(0)).alias("offset"))
-    rank = F.row_number().over(W.partitionBy("path", "block").orderBy("at")) - 1
-    return records.withColumn("rank", rank).join(offsets, ["path", "block"]).withColumn("read_id", F.col("offset") + F.col("rank"))
+    offsets = parts.select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))
+    if parts.count() <= BLOCKS:
+        offsets = F.broadcast(offsets)
+    return records.join(offsets, ["path", "block"]).withColumn("read_id", F.col("offset") + F.col("at"))
 
 
-def fasta_reads(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records ``>name ...`` and lines of sequence. The name ends at the first blank; white space in sequences goes."""
-    r = _records(spark, list(paths), ">").withColumn("body", F.regexp_replace("body", "^>", ""))
-    r = r.where(F.trim(F.regexp_replace("body", "[\r\n]", "")) != "")
-    r = r.withColumn("name", F.regexp_extract("body", r"^\s*([^\s]*)", 1)).withColumn("sequence", F.regexp_replace(F.regexp_replace("body", r"^[^\n]*(\n|$)", ""), r"\s+", ""))
+def fasta_text(reader, paths) -> DataFrame:
+    """The pieces of FASTA files, in batch or on a stream, that ``fasta_records`` makes reads of."""
+    return _cut(reader, paths, ">")
+
+
+def fasta_records(text: DataFrame) -> DataFrame:
+    r = text.withColumn("body", F.regexp_replace("body", "^>", ""))
+    r = r.where(F.regexp_like("body", F.lit(r"\S")))  # neither name nor sequence
+    r = r.withColumn("name", F.regexp_extract("body", r"^[ \t]*([^\s]*)", 1)).withColumn("sequence", F.regexp_replace(F.regexp_replace("body", r"^[^\n]*(\n|$)", ""), r"\s+", ""))
     return _numbered(r).select("read_id", "name", F.length("sequence").cast("long").alias("raw_length"), "sequence")
 
 
+def fasta_reads(spark: SparkSession, *paths: str) -> DataFrame:
+    """Records ``>name ...`` and lines of sequence. The name ends at the first blank and may be missing; white space in
+    sequences goes."""
+    return fasta_records(fasta_text(spark.read, list(paths)))
+
+
 def fastq_reads(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records of four lines; qualities are dropped. An at-sign that begins a quality line is no record: a record is cut
-    where a line with an at-sign is followed by a sequence line and a plus line. Sequence and quality may be empty lines, and
-    empty lines may stand between records (ids then have gaps); lines that make no record, as in a cut file, are left out."""
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("body"))
-    # each line says what it would be in a record that begins at it, one line or two lines before
-    line = _numbered(lines).select("path", F.col("read_id").alias("line"), "body")
-    roles = F.array(
-        F.when(F.col("body").startswith("@"), F.struct(F.col("line").alias("first"), F.lit(0).alias("role"))),
-        F.struct((F.col("line") - 1).alias("first"), F.lit(1).alias("role")),
-        F.when(F.col("body").startswith("+"), F.struct((F.col("line") - 2).alias("first"), F.lit(2).alias("role"))),
-    )
-    said = line.select("path", "body", F.explode(F.array_compact(roles)).alias("r")).select("path", "r.first", "r.role", F.when(F.col("r.role") < 2, F.col("body")).alias("body"))
-    part = lambda k: F.max(F.when(F.col("role") == k, F.col("body")))
-    rows = said.groupBy("path", "first").agg(part(0).alias("head"), part(1).alias("sequence"), F.max("role").alias("last")).where("head is not null and sequence is not null and last = 2")
-    rows = rows.withColumn("name", F.regexp_extract("head", r"^@([^\s]*)", 1)).withColumn("sequence", F.regexp_replace("sequence", r"\s+", ""))
-    return rows.select(F.floor(F.col("first") / 4).cast("long").alias("read_id"), "name", F.length("sequence").cast("long").alias("raw_length"), "sequence")
+    """Records of four lines; qualities are dropped. Files are cut at lines that begin with an at-sign: a piece whose third
+    line begins with a plus is a record. A quality line that begins with an at-sign makes a piece of its own, which has no such
+    line. Sequence and quality may be empty lines, and empty lines may stand between records; lines that make no record, as in
+    a cut file, are left out."""
+    text = _cut(spark.read, list(paths), "@").where(F.col("body") != "")
+    # a file's first record still has its mark, behind empty lines at most
+    body = F.when(F.col("block") == 0, F.regexp_replace("body", r"^\s*@(?=[^\n]*\n[^\n]*\n\+)", "")).otherwise(F.col("body"))
+    lines = F.split(body, "\n", 4)
+    r = text.withColumn("lines", lines).where(F.get("lines", F.lit(2)).startswith("+"))
+    r = r.select("path", "block", F.regexp_extract(F.get("lines", F.lit(0)), r"^([^\s]*)", 1).alias("name"), F.regexp_replace(F.get("lines", F.lit(1)), r"\s+", "").alias("sequence"))
+    return _numbered(r).select("read_id", "name", F.length("sequence").cast("long").alias("raw_length"), "sequence")
 
 
 def write_overlaps(overlaps: DataFrame, path: str) -> None:
@@ -73,4 +87,4 @@ def write_overlaps(overlaps: DataFrame, path: str) -> None:
 
 
 def read_overlaps(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").schema("left string, left_len long, left_start long, left_end long, left_strand string, right string, right_len long, right_start long, right_end long, right_strand string").csv(path)
+    return spark.read.option("sep", "\t").schema(OVERLAPS).csv(path)
