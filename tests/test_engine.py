@@ -11,7 +11,7 @@ from weftline import cli, shared
 from weftline.config import JoinParams, SketchParams
 from weftline.functions import rolling
 from weftline.functions.sequence import twobit_decode, twobit_encode, twobit_slice
-from weftline.operators import arrow_sketch, index, matching, report, sketch, stored
+from weftline.operators import arrow_sketch, bloom, index, matching, report, sketch, stored
 from weftline.operators.stored import store_index
 from weftline.sources import reads as sources
 from weftline.streaming import query_mode
@@ -440,3 +440,21 @@ def test_nameless_records_and_numbers_without_a_shuffle(spark, tmp_path):
 def test_keys_are_binary(spark):
     c = sketch.chunks(near_copies(spark), SketchParams(7, 3, 10))
     assert dict(c.dtypes)["key"] == "binary" and {len(r["key"]) for r in c.collect()} == {24}
+
+
+def test_pruned_index_gives_the_same_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    r = sequences(spark, *["".join(rng.choice("ACGT") for _ in range(900)) for _ in range(60)])
+    first = r.where("read_id < 2").withColumn("sequence", F.substring("sequence", 200, 300)).withColumn("raw_length", F.length("sequence").cast("long"))
+    p = SketchParams(9, 2, 10)
+    q = shared.written(sketch.chunks(first, p))
+    keep = bloom.key_filter(q, 2)
+    every, left = sketch.chunks(r, p), sketch.chunks(r, p, keep=keep)
+    matching_rows = every.join(q.select("key").distinct(), "key", "left_semi")
+    assert matching_rows.exceptAll(left).count() == 0 and left.exceptAll(every).count() == 0
+    assert matching_rows.count() <= left.count() < matching_rows.count() + 0.05 * every.count()
+    got = [sorted(map(tuple, report.query_overlaps(first, r, p, prune=x).collect())) for x in (False, True)]
+    assert got[0] and got[0] == got[1]
+    monkeypatch.setattr(bloom, "MOST_BITS", 64)
+    assert bloom.key_filter(q, 2) is None and sorted(map(tuple, report.query_overlaps(first, r, p, prune=True).collect())) == got[0]
+    assert bloom.key_filter(q.limit(0), 2).any() == False  # noqa: E712

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from weftline.config import SketchParams
 from weftline.functions.rolling import BASES, PRIME, SYMBOL_BASE
 
+from .bloom import may_hold
+
 PIECE = 1 << 18
 #: Fixed value: letters of the longest motif of the ``microsat`` mask.
 MOTIF = 6
@@ -190,8 +192,10 @@ def _keys(windows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(windows), [None, pa.py_buffer(offsets), pa.py_buffer(windows.astype(">i8").tobytes())])
 
 
-def sketched(strands: DataFrame, p: SketchParams) -> DataFrame:
-    """Chunks of strands (read_id, fw, raw_length, seq)."""
+def sketched(strands: DataFrame, p: SketchParams, keep: np.ndarray | None = None) -> DataFrame:
+    """Chunks of strands (read_id, fw, raw_length, seq). ``keep``: a ``bloom.key_filter``; chunks whose key cannot be in it do not
+    leave the task."""
+    words = None if keep is None else strands.sparkSession.sparkContext.broadcast(keep)  # its size is bounded
 
     def run(batches):
         for batch in batches:
@@ -201,6 +205,9 @@ def sketched(strands: DataFrame, p: SketchParams) -> DataFrame:
             while row < batch.num_rows:
                 stop = max(row + 1, int(np.searchsorted(upto, upto[row] + PIECE, "right")) - 1)
                 strand, windows, start, end, place = sketch_strands(*_chars(texts, row, stop), p)
+                if words is not None:
+                    there = may_hold(words.value, windows)
+                    strand, windows, start, end, place = (x[there] for x in (strand, windows, start, end, place))
                 own = pa.array(strand + row)
                 same = {c: batch.column(c).take(own) for c in ("read_id", "fw", "raw_length")}
                 yield pa.RecordBatch.from_arrays([_keys(windows), same["read_id"], same["fw"], pa.array(start, pa.int64()), pa.array(end, pa.int64()), same["raw_length"], pa.array(place, pa.int64())], names=["key", "read_id", "fw", "start", "end", "raw_length", "place"])

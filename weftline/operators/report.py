@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.config import JoinParams, SketchParams
 from weftline.shared import outlives, scope, written
 
+from .bloom import key_filter
 from .index import key_table, within
 from .matching import chains, matches, normalised, query_matches, reads_with_match
 from .sketch import chunks
@@ -32,9 +33,14 @@ def overlaps(reads: DataFrame, p: SketchParams = SketchParams(), j: JoinParams =
     return named(chains(normalised(matches(chunks(reads, p), j)), j), reads, reads)
 
 
-def query_overlaps(queries: DataFrame, index: DataFrame, p: SketchParams = SketchParams(), j: JoinParams = JoinParams()) -> DataFrame:  # noqa: B008
-    """Overlaps of each query with the reads of an index."""
-    return named(chains(normalised(query_matches(chunks(queries, p), chunks(index, p), j)), j), queries, index)
+def query_overlaps(queries: DataFrame, index: DataFrame, p: SketchParams = SketchParams(), j: JoinParams = JoinParams(), prune: bool = False) -> DataFrame:  # noqa: B008
+    """Overlaps of each query with the reads of an index. ``prune``: the index is large and shares few keys with the queries; a
+    Bloom filter of the queries' keys then keeps the other chunks of the index from being shuffled."""
+    q, keep = chunks(queries, p), None
+    if prune:
+        q = written(q)
+        keep = key_filter(q, p.num_windows)
+    return named(chains(normalised(query_matches(q, chunks(index, p, keep=keep), j)), j), queries, index)
 
 
 @dataclass(frozen=True)
@@ -53,22 +59,22 @@ def run(reads: DataFrame, p: SketchParams = SketchParams(), j: JoinParams = Join
     """An all-vs-all run with its counters. Reads are sketched once and joined once: chunks, keys and chains are written, and
     everything that is counted or reported is read from these. Only the chains stay."""
     with scope():
-        c = written(chunks(reads, p))
-        keys = written(key_table(c))
-        found = outlives(written(chains(normalised(matches(c, j, counts=keys)), j)))
+        c, seen, ok = written(chunks(reads, p)), Observation(), within(F.col("n"), j)
         total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-        ok = within(F.col("n"), j)
+        # counted as they are written, in the last stage, so that no task counts twice; keys of one occurrence are needed no more
+        every = key_table(c).observe(
+            seen, F.count("*").alias("distinct_chunks"), total(F.when(ok, F.col("n"))).alias("read_chunk_matches"), F.count_if(F.col("n") == 1).alias("singleton_chunks"),
+            F.coalesce(F.max(F.when(ok, F.col("n"))), F.lit(0)).alias("max_chunk_size"),
+        )
+        keys = written(every.where("n > 1"))
+        found = outlives(written(chains(normalised(matches(c, j, counts=keys)), j)))
         parts = [
             reads.agg(F.count("*").alias("number_reads")),
-            keys.agg(
-                F.count("*").alias("distinct_chunks"), total(F.when(ok, F.col("n"))).alias("read_chunk_matches"), F.count_if(F.col("n") == 1).alias("singleton_chunks"),
-                F.coalesce(F.max(F.when(ok, F.col("n"))), F.lit(0)).alias("max_chunk_size"),
-            ),
             reads_with_match(c, j, keys).agg(F.count("*").alias("reads_with_match")),
             found.groupBy("left", "right").agg(F.count("*").alias("chains"), F.sum("n_matches").alias("matches"))
             .agg(F.count("*").alias("read_pair_matches"), total("chains").alias("chain_matches"), total("matches").alias("window_matches")),
         ]
-        return Run(reads, found, {k: int(v) for x in parts for k, v in x.first().asDict().items()})
+        return Run(reads, found, {k: int(v) for x in (seen.get, *(x.first().asDict() for x in parts)) for k, v in x.items()})
 
 
 COUNTERS = ["number_reads", "distinct_chunks", "read_chunk_matches", "singleton_chunks", "reads_with_match", "read_pair_matches", "chain_matches", "window_matches", "max_chunk_size"]

@@ -8,6 +8,7 @@ is exploded, and a block is an array that doubles its way to k-mers and window m
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,14 +132,15 @@ def emitted(reads: DataFrame, p: SketchParams) -> DataFrame:
     return emissions(vectors(minima(hashed_kmers(blocks(masked(strands(reads), p.mask), p), p), p), p))
 
 
-def chunks(reads: DataFrame, p: SketchParams = SketchParams(), columns_only: bool = False) -> DataFrame:  # noqa: B008
+def chunks(reads: DataFrame, p: SketchParams = SketchParams(), columns_only: bool = False, keep: np.ndarray | None = None) -> DataFrame:  # noqa: B008
     """(key, read_id, fw, start, end, raw_length): window chunks of both strands. The key is the row of window hashes, eight bytes each;
     start and end are raw, inclusive and on the strand itself. Equal chunks of a strand are one.
 
     Strands are sketched in Arrow batches; ``columns_only`` uses column functions throughout (see README for the cost),
-    with a shuffle at the end, as the blocks of a strand can repeat a chunk."""
+    with a shuffle at the end, as the blocks of a strand can repeat a chunk. ``keep``, a filter of keys, leaves out chunks of other
+    keys where they are made (Arrow batches only)."""
     if not columns_only:
-        return sketched(strands(reads), p).drop("place")
+        return sketched(strands(reads), p, keep).drop("place")
     e = F.transform("e", lambda x: F.struct(F.unhex(F.array_join(F.transform(x["v"], digits), "")).alias("key"), F.get("syms", x["a"])["a"].cast("long").alias("start"), F.get("syms", x["z"] + (p.k - 1))["z"].cast("long").alias("end")))
     rows = emitted(reads, p).select("read_id", "fw", "raw_length", F.explode(F.array_distinct(e)).alias("x"))
     return rows.select("x.key", "read_id", "fw", "x.start", "x.end", "raw_length").distinct()

@@ -323,6 +323,12 @@ def q_query_overlaps(spark, sf_dir):
     return report.query_overlaps(reads(spark, sf_dir), items(spark, sf_dir), P, J)
 
 
+@_query(f"{_BOTH},\n{o.matches(left='i_chunks', right='chunks', read=False)},\n{o.NORMAL},\n{o.chains()} {o.named('reads').replace('JOIN reads l', 'JOIN i_reads l')}")
+def q_pruned_overlaps(spark, sf_dir):
+    """Query mode with the items of the benchmark as queries: documents are the index, of which chunks with other keys are left out."""
+    return report.query_overlaps(items(spark, sf_dir), reads(spark, sf_dir), P, J, prune=True)
+
+
 # --- a kept index and a stream of queries
 
 
