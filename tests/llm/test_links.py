@@ -145,11 +145,55 @@ def test_order_follows_dependencies(spark):
 
 def test_turns_become_calls_and_results(spark):
     rows = [(1, 0, "user", 'say "hi"\n'), (1, 1, "assistant", "hi"), (1, 2, "user", "again"), (2, 0, "system", "s"), (2, 2, "user", "late"), (2, 5, "assistant", "lost"), (3, 0, "user", '{"a":1}'), (None, 0, "user", "x"), (4, 0, "user", None), (5, 0, "user", "w " * 200_000)]
+    rows += [(6, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(8)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["turn"]): r for r in tool_calls.link_tool_calls(tool_calls.from_turns(df), tool_calls.tool_table(spark, tool_calls.TURN_TOOLS)).collect()}
-    assert len(got) == len(rows) and json.loads(got[1, 2]["json"])["calls"][0]["arguments"] == {"message": "again", "turn": 2, "after": {"result_of": "0"}}
-    assert got[1, 0]["n_linked"] == 1 and got[1, 2]["n_faults"] == 0 and json.loads(got[2, 2]["json"])["calls"][0]["faults"] == ["unknown reference after"]
+    arguments = lambda *k: json.loads(got[k]["json"])["calls"][0]["arguments"]
+    assert len(got) == len(rows) and arguments(1, 2) == {"message": "again", "turn": 2, "after": {"result_of": "4"}} and arguments(6, 4)["turn"] == "4"
+    assert got[1, 0]["n_linked"] == 1 and json.loads(got[1, 0]["json"])["calls"][0]["faults"] == ["open reference after"] and json.loads(got[2, 2]["json"])["calls"][0]["faults"] == ["unknown reference after"]
     assert json.loads(got[2, 5]["json"])["result_state"] == "orphan" and got[3, 0]["n_calls"] == 0 and got[None, 0]["n_calls"] == 0 and got[4, 0]["n_calls"] == 1 and got[5, 0]["n_calls"] == 1
+    assert [(got[6, t]["anchor_turn"], got[6, t]["depth"]) for t in range(8)] == [(6, 6), (6, 7), (6, 4), (6, 5), (6, 2), (6, 3), (6, 0), (6, 1)]
+    assert json.loads(got[6, 4]["json"])["calls"][0]["faults"] == ["bad argument turn"] and [c["state"] for c in json.loads(got[6, 6]["json"])["calls"]] == ["answered", "duplicate"]
+
+
+def waiting(conv, turn, own, *refs):
+    """A message that makes the call ``own`` with references."""
+    return (conv, turn, "x", json.dumps({"tool_calls": [{"id": own, "name": "t", "arguments": {f"a{k}": {"result_of": r} for k, r in enumerate(refs)}}]}))
+
+
+def answer(conv, turn, of):
+    return (conv, turn, "x", json.dumps({"tool_call_id": of}))
+
+
+def linked(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tools = spark.createDataFrame([("t", f"a{i}", "integer", False) for i in range(3)], "tool string, argument string, type string, required boolean")
+    got = {(r["conv_id"], r["turn"]): r for r in tool_calls.link_tool_calls(df, tools).collect()}
+    assert len(got) == len(rows)
+    faults = {k: c["faults"] for k, r in got.items() for c in json.loads(r["json"]).get("calls", [])}
+    return {k: (r["anchor_turn"], r["depth"]) for k, r in got.items()}, {k for k, f in faults.items() if f == ["circular reference"]}, faults
+
+
+def test_long_chains_wait_whole(spark):
+    n = 100  # each waits for the next, the last for none
+    rows = [waiting(1, i, f"c{i}", *([f"c{i + 1}"] if i < n - 1 else [])) for i in range(n)] + [answer(1, n + i, f"c{i}") for i in range(n)]
+    places, circular, faults = linked(spark, rows)
+    assert not circular and not any(faults.values())
+    assert places == {(1, t): ((n - 1, 2 * (n - 1 - t)) if t < n else (n - 1, 2 * (2 * n - 1 - t) + 1)) for t in range(2 * n)}
+
+
+def test_only_members_of_circles_are_circular(spark):
+    rows = []
+    # a circle of 5, another of 3 that it waits for, a message between the two, one that hangs on the first, one that waits for itself
+    for i in range(5):
+        rows.append(waiting(1, i, f"p{i}", f"p{(i + 1) % 5}", *(["between"] if i == 2 else [])))
+    rows += [waiting(1, 5, "between", "q0"), waiting(1, 6, "hangs", "p0"), waiting(1, 7, "after", "hangs"), waiting(1, 8, "self", "self"), waiting(1, 9, "q0", "q1"), waiting(1, 10, "q1", "q2"), waiting(1, 11, "q2", "q0")]
+    rows += [waiting(1, 12, "free"), waiting(2, 0, "a", "b"), waiting(2, 1, "b")]
+    calls = ["p0", "p1", "p2", "p3", "p4", "between", "hangs", "after", "self", "q0", "q1", "q2", "free"]
+    rows += [answer(1, 20 + i, c) for i, c in enumerate(calls)] + [answer(2, 20, "a"), answer(2, 21, "b")]
+    places, circular, _ = linked(spark, rows)
+    assert circular == {(1, t) for t in (0, 1, 2, 3, 4, 8, 9, 10, 11)}
+    assert all(places[1, t] == (t, 0) for t in (0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12)) and places[1, 5] == (9, 2) and places[2, 0] == (1, 2)
 
 
 def test_pipeline_equals_plain_version(spark, small):

@@ -93,19 +93,35 @@ ORACLES["op4_tool_calls"] = r"""
 WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 asks AS (SELECT DISTINCT conv_id, turn FROM m WHERE role = 'user'),
 says AS (SELECT DISTINCT conv_id, turn FROM m WHERE role = 'assistant'),
+refs AS (
+  SELECT a.*, t.target, b.turn IS NOT NULL AS known, q.turn IS NOT NULL AS closed
+  FROM asks a, LATERAL (SELECT CASE WHEN a.turn % 8 < 6 THEN a.turn + 2 WHEN a.turn >= 8 THEN a.turn - 8 END AS target) t
+  LEFT JOIN asks b ON b.conv_id = a.conv_id AND b.turn = t.target LEFT JOIN says q ON q.conv_id = a.conv_id AND q.turn = t.target + 1),
+waits AS (SELECT conv_id, turn FROM refs WHERE target > turn AND known AND closed),
+places AS (
+  SELECT refs.*, CASE WHEN w1.turn IS NULL THEN 0 WHEN w2.turn IS NULL THEN 1 WHEN w3.turn IS NULL THEN 2 ELSE 3 END AS steps
+  FROM refs LEFT JOIN waits w1 ON w1.conv_id = refs.conv_id AND w1.turn = refs.turn LEFT JOIN waits w2 ON w2.conv_id = refs.conv_id AND w2.turn = refs.turn + 2
+  LEFT JOIN waits w3 ON w3.conv_id = refs.conv_id AND w3.turn = refs.turn + 4),
 x AS (
-  SELECT m.*, role = 'user' AS ask, role = 'assistant' AND a.turn IS NOT NULL AS linked, role = 'user' AND r.turn IS NOT NULL AS answered,
-         CASE WHEN role <> 'user' OR m.turn < 2 THEN '' WHEN b.turn IS NULL THEN '"unknown reference after"' WHEN q.turn IS NULL THEN '"open reference after"' ELSE '' END AS fault
-  FROM m LEFT JOIN asks a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 LEFT JOIN says r ON r.conv_id = m.conv_id AND r.turn = m.turn + 1
-  LEFT JOIN asks b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2 LEFT JOIN says q ON q.conv_id = m.conv_id AND q.turn = m.turn - 1)
-SELECT conv_id, turn, role, CASE WHEN linked THEN turn - 1 ELSE turn END AS anchor_turn, linked::INTEGER AS depth, ask::BIGINT AS n_calls,
-       (linked OR answered)::BIGINT AS n_linked, (fault <> '')::BIGINT AS n_faults,
-  '{' || CASE WHEN ask THEN '"calls":[{"arguments":{' || CASE WHEN turn >= 2 THEN '"after":{"result_of":"' || (turn - 2) || '"},' ELSE '' END || '"message":' || to_json(text)::VARCHAR || ',"turn":' || turn
-      || '},"faults":[' || fault || '],"id":"' || turn || '","name":"reply","state":"' || CASE WHEN answered THEN 'answered' ELSE 'open' END || '"}],' ELSE '' END
+  SELECT m.*, m.role = 'user' AS ask, m.role = 'assistant' AND c.turn IS NOT NULL AS linked, m.role = 'user' AND r.turn IS NOT NULL AS answered, p.target,
+         CASE WHEN m.role = 'user' THEN p.steps WHEN m.role = 'assistant' THEN c.steps END AS steps,
+         CASE WHEN p.target IS NULL THEN '' WHEN NOT p.known THEN '"unknown reference after"' WHEN NOT p.closed THEN '"open reference after"' ELSE '' END AS fault
+  FROM m LEFT JOIN places p ON m.role = 'user' AND p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN places c ON c.conv_id = m.conv_id AND c.turn = m.turn - 1
+  LEFT JOIN says r ON r.conv_id = m.conv_id AND r.turn = m.turn + 1),
+y AS (
+  SELECT *, CASE WHEN ask AND turn % 8 = 4 THEN '"bad argument turn"' || CASE WHEN fault = '' THEN '' ELSE ',' || fault END ELSE fault END AS faults,
+         '{"arguments":{' || CASE WHEN target IS NULL THEN '' ELSE '"after":{"result_of":"' || target || '"},' END || '"message":' || to_json(text)::VARCHAR
+         || ',"turn":' || CASE WHEN turn % 8 = 4 THEN '"' || turn || '"' ELSE turn::VARCHAR END || '},"faults":[' AS head FROM x),
+z AS (SELECT *, head || faults || '],"id":"' || turn || '","name":"reply","state":"' AS body FROM y)
+SELECT conv_id, turn, role, CASE WHEN ask THEN turn + 2 * steps WHEN linked THEN turn - 1 + 2 * steps ELSE turn END AS anchor_turn,
+       (CASE WHEN ask OR linked THEN 2 * steps ELSE 0 END + linked::INTEGER)::INTEGER AS depth,
+       (CASE WHEN ask THEN CASE WHEN turn % 8 = 6 THEN 2 ELSE 1 END ELSE 0 END)::BIGINT AS n_calls, (linked OR answered)::BIGINT AS n_linked,
+       (CASE WHEN NOT ask THEN 0 ELSE ((turn % 8 = 4)::INTEGER + (fault <> '')::INTEGER) * CASE WHEN turn % 8 = 6 THEN 2 ELSE 1 END END)::BIGINT AS n_faults,
+  '{' || CASE WHEN ask THEN '"calls":[' || body || CASE WHEN answered THEN 'answered' ELSE 'open' END || '"}' || CASE WHEN turn % 8 = 6 THEN ',' || body || 'duplicate"}' ELSE '' END || '],' ELSE '' END
   || '"content":' || CASE WHEN ask THEN '""' ELSE to_json(text)::VARCHAR END || ',"conv_id":' || conv_id
   || CASE WHEN role = 'assistant' THEN ',"result_of":"' || (turn - 1) || '","result_state":"' || CASE WHEN linked THEN 'linked' ELSE 'orphan' END || '"' ELSE '' END
   || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' AS json
-FROM x
+FROM z
 """
 
 

@@ -9,9 +9,9 @@ type. ``from_turns`` makes such messages of plain conversations.
 Order. A result depends on its call, and a message on the results that its calls refer to, wherever they were found. In the
 topological order a result stands right behind the message that made the call, and a message stays at its turn unless it
 refers to a call of the same or a later turn; then it waits until that one's result is there. ``anchor_turn``, ``depth`` and
-``turn`` are that order: sorting a conversation by them gives the sequence. Places are handed on in rounds of joins, as many as messages wait
-for each other in a row; messages in order need none. If that does not end after ``DEFERRALS`` rounds, what still
-moved in the later half of them, as in a circle, stays at its turn with the fault ``circular reference``.
+``turn`` are that order: sorting a conversation by them gives the sequence. Places are handed on by joins until none moves, so work grows with the
+longest row of messages that wait for each other; messages in order need none. Messages on a circle, which wait for themselves, stay at their
+turn with the fault ``circular reference``; those that wait for one of them wait for its turn.
 
 Each message becomes one line of canonical JSON: keys sorted at all levels, no blanks, calls with their arguments, links and
 faults. Keys that are not named above, of a message or of a call, are kept under ``extra``.
@@ -30,12 +30,10 @@ if one of them says so. Very long texts are treated like others; an empty table
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unstash
 
 #: The default tools: (tool, argument, type, required).
 TOOLS = [
@@ -45,8 +43,8 @@ TOOLS = [
 ]
 #: The tool of ``from_turns``.
 TURN_TOOLS = [("reply", "message", "string", True), ("reply", "turn", "integer", True), ("reply", "after", "string", False)]
-#: How often the order is handed on by messages that wait for each other.
-DEFERRALS = 32
+#: Steps of the order that are one plan, at most; this changes no result.
+STEPS = 8
 _CALLS = "struct<content:string,tool_call_id:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 
 
@@ -55,16 +53,22 @@ def tool_table(spark: SparkSession, tools=TOOLS) -> DataFrame:
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
-    """Plain turns as calls and results. A user's turn calls ``reply`` with its number as identifier, the text as message
-    and, from the third turn on, a reference to the result of the call two turns before. An assistant's turn is the result of
-    the call one turn before. Other roles, rows without conv_id or turn, and texts that are JSON objects stay as they are."""
+    """Plain turns as calls and results. A user's turn calls ``reply`` with its number as identifier and the text as message.
+    Of eight turns the first six refer to the result of the call two turns later, so that they have to wait for each other, and the
+    others to that of the call eight turns before. The fifth gives its number as text, which its schema does not allow, and the
+    seventh makes its call twice. An assistant's turn is the result of the call one turn before. Other roles, rows without conv_id
+    or turn, and texts that are JSON objects stay as they are."""
     text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("long")
-    number = lambda by: (turn - by).cast("string")
-    after = F.when(turn >= 2, F.struct(number(2).alias("result_of")))
-    call = F.struct(number(0).alias("id"), F.lit("reply").alias("name"), F.struct(text.alias("message"), turn.alias("turn"), after.alias("after")).alias("arguments"))
-    asks, says = F.to_json(F.struct(F.array(call).alias("tool_calls"))), F.to_json(F.struct(number(1).alias("tool_call_id"), text.alias("content")))
+    number = lambda by: (turn + by).cast("string")
+    place = F.pmod(turn, F.lit(8))
+    after = F.when(place < 6, F.struct(number(2).alias("result_of"))).when(turn >= 8, F.struct(number(-8).alias("result_of")))
+    call = lambda *more: F.struct(number(0).alias("id"), F.lit("reply").alias("name"), F.struct(text.alias("message"), *more).alias("arguments"))
+    asks = lambda *calls: F.to_json(F.struct(F.array(*calls).alias("tool_calls")))
+    plain_call = call(turn.alias("turn"), after.alias("after"))
+    asked = F.when(place == 4, asks(call(number(0).alias("turn"), after.alias("after")))).when(place == 6, asks(plain_call, plain_call)).otherwise(asks(plain_call))
+    says = F.to_json(F.struct(number(-1).alias("tool_call_id"), text.alias("content")))
     plain = F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & ~F.ltrim(text).startswith("{")
-    return conversations.select("conv_id", "turn", "role", F.when(plain & (F.col("role") == "user"), asks).when(plain & (F.col("role") == "assistant"), says).otherwise(F.col("text")).alias("text"))
+    return conversations.select("conv_id", "turn", "role", F.when(plain & (F.col("role") == "user"), asked).when(plain & (F.col("role") == "assistant"), says).otherwise(F.col("text")).alias("text"))
 
 
 def _type_of(v):
@@ -83,28 +87,93 @@ def _others(text, *known: str):
     return F.when(F.size(keys) > 0, F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(given, k)))))
 
 
+def _until_still(step, state: DataFrame, columns: list[str], grows: bool = True) -> DataFrame:
+    """``state`` after ``step`` has been made as often as it changes anything. A few steps at a time are one plan, whose result is
+    written. Of a state that grows, rows come or get larger values; of one that shrinks, rows go."""
+    n = 2
+    while True:
+        new = state
+        for _ in range(n):
+            new = step(new)
+        new = stash(new)
+        more, less = (new, state) if grows else (state, new)
+        if more.join(less, columns, "left_anti").isEmpty():
+            unstash(state)
+            return new
+        unstash(state)
+        state, n = new, min(STEPS, 2 * n)
+
+
+def _behind(refs: DataFrame):
+    """A step of the order: each message's place behind those of the messages that it refers to, if it has to leave its turn."""
+
+    def step(late: DataFrame) -> DataFrame:
+        there = late.select("conv_id", F.col("key").alias("of"), F.col("at").alias("of_at"))
+        place = F.struct(F.coalesce("of_at.turn", "of_turn").alias("turn"), (F.coalesce("of_at.depth", F.lit(0)) + 2).alias("depth"))
+        behind = refs.join(there, ["conv_id", "of"], "left").select("conv_id", "key", "turn", place.alias("at"))
+        return behind.where(F.col("at") > F.struct(F.col("turn"), F.lit(0).alias("depth"))).groupBy("conv_id", "key").agg(F.max("at").alias("at"))
+
+    return step
+
+
+def _circles(refs: DataFrame, among: DataFrame) -> DataFrame:
+    """(conv_id, key) of the messages in ``among`` that wait for themselves.
+
+    Messages that wait for none that is left go, again and again, and so do those that none waits for; what stays is on circles or
+    between two. Then each takes the largest number among the messages that it waits for, however far. Where a number returns to
+    its own message, the messages that it passes on the way from there are a circle, or nothing but that message; they go, and the rest is asked again."""
+    nodes = among.select("conv_id", "key")
+    far = nodes.withColumnRenamed("key", "of")
+    edges = stash(refs.select("conv_id", "key", "of").distinct().join(nodes, ["conv_id", "key"], "left_semi").join(far, ["conv_id", "of"], "left_semi"))
+    left = _until_still(lambda k: edges.join(k.withColumnRenamed("key", "of"), ["conv_id", "of"], "left_semi").select("conv_id", "key").distinct(), nodes, ["conv_id", "key"], grows=False)
+    left = _until_still(lambda k: edges.join(k, ["conv_id", "key"], "left_semi").select("conv_id", F.col("of").alias("key")).distinct().join(k, ["conv_id", "key"], "left_semi"), left, ["conv_id", "key"], grows=False)
+    found = left.limit(0)
+    while not left.isEmpty():
+        e = stash(edges.join(left, ["conv_id", "key"], "left_semi").join(left.withColumnRenamed("key", "of"), ["conv_id", "of"], "left_semi"))
+
+        def largest(s: DataFrame) -> DataFrame:
+            near = e.join(s.select("conv_id", F.col("key").alias("of"), "top"), ["conv_id", "of"]).select("conv_id", "key", "top")  # noqa: B023
+            return s.union(near).groupBy("conv_id", "key").agg(F.max("top").alias("top"))
+
+        tops = _until_still(largest, left.withColumn("top", F.col("key")), ["conv_id", "key", "top"])
+        same = stash(e.join(tops, ["conv_id", "key"]).join(tops.select("conv_id", F.col("key").alias("of"), F.col("top").alias("of_top")), ["conv_id", "of"]).where("top = of_top").select("conv_id", "key", "of"))
+        reach = lambda s: s.union(same.join(s, ["conv_id", "key"], "left_semi").select("conv_id", F.col("of").alias("key"))).distinct()  # noqa: B023, E731
+        own = _until_still(reach, tops.where("key = top").select("conv_id", "key"), ["conv_id", "key"])
+        # a message on a circle waits for one with its number that comes from its root too
+        back = same.join(own, ["conv_id", "key"], "left_semi").join(own.withColumnRenamed("key", "of"), ["conv_id", "of"], "left_semi")
+        found = stash(found.union(back.select("conv_id", "key").distinct()))
+        left = stash(left.join(own, ["conv_id", "key"], "left_anti"))
+    return found
+
+
 def _late(refs: DataFrame) -> DataFrame:
     """(conv_id, key, at, circular) of messages that cannot stay at their turn: the place (turn, depth) behind all results
-    that they refer to. refs: messages (turn, key) and the messages (of_turn, of) whose calls they refer to. A place is the
-    largest of the own turn and of two steps behind each of those; only places that moved are handed on."""
+    that they refer to; of those on circles, which have no such place, at is null. refs: messages (turn, key) and the messages
+    (of_turn, of) whose calls they refer to."""
     spark = refs.sparkSession
-    kind = f"conv_id {refs.schema['conv_id'].dataType.simpleString()}, key long, at struct<turn:{refs.schema['turn'].dataType.simpleString()},depth:int>"
-    late = spark.createDataFrame([], kind)
+    none = spark.createDataFrame([], f"conv_id {refs.schema['conv_id'].dataType.simpleString()}, key long, at struct<turn:{refs.schema['turn'].dataType.simpleString()},depth:int>")
     if refs.where("of_turn >= turn").isEmpty():
-        return late.withColumn("circular", F.lit(False))
-    refs, moving = stash(refs), []
-    for _ in range(DEFERRALS + 1):
-        there = late.select("conv_id", F.col("key").alias("of"), F.col("at").alias("of_at"))
-        behind = refs.join(there, ["conv_id", "of"], "left").select("conv_id", "key", "turn", F.struct(F.coalesce("of_at.turn", "of_turn").alias("turn"), (F.coalesce("of_at.depth", F.lit(0)) + 2).alias("depth")).alias("at"))
-        now = stash(behind.where(F.col("at") > F.struct(F.col("turn"), F.lit(0).alias("depth"))).groupBy("conv_id", "key").agg(F.max("at").alias("at")))
-        moved = now.join(late, ["conv_id", "key", "at"], "left_anti")
-        if moved.isEmpty():
-            return now.withColumn("circular", F.lit(False))
-        late = now
-        moving.append(moved.select("conv_id", "key"))
-    # the members of a circle move in turn
-    still = reduce(DataFrame.union, moving[len(moving) // 2 :]).distinct().withColumn("c", F.lit(True))
-    return late.join(still, ["conv_id", "key"], "left").select("conv_id", "key", "at", F.coalesce("c", F.lit(False)).alias("circular"))
+        return none.withColumn("circular", F.lit(False))
+    refs, circles = stash(refs), none.select("conv_id", "key")
+    late, made, n, ask = none, 0, 2, 2 * STEPS
+    while True:
+        new, step = late, _behind(refs)
+        for _ in range(n):
+            new = step(new)
+        new = stash(new)
+        still = new.join(late, ["conv_id", "key", "at"], "left_anti").isEmpty()
+        unstash(late)
+        late, made, n = new, made + n, min(STEPS, 2 * n)
+        if still:
+            break
+        if made >= ask:  # a long chain, or a circle, on which places move without end
+            members = _circles(refs, late)
+            ask = 2 * made
+            if not members.isEmpty():
+                circles = stash(circles.union(members))
+                refs = stash(refs.join(members, ["conv_id", "key"], "left_anti"))
+                late, made, ask = none, 0, 2 * STEPS
+    return late.select("conv_id", "key", "at", F.lit(False).alias("circular")).union(circles.select("conv_id", "key", F.lit(None).cast(none.schema["at"].dataType), F.lit(True)))
 
 
 def link_tool_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
