@@ -7,9 +7,11 @@ Each stage takes (spark, docs, sf_dir). All but the last return the columns of d
    the one with the smallest doc_id (those without come last, then the smallest hash of the text counts);
 3. benchmark decontamination: documents that hold a benchmark item go;
 4. PII: found spans are replaced by their kind in angle brackets, n_chars is counted anew;
-5. mixing: each document with its size, its source's size and target, its copies and the words that are taken.
+5. mixing: each document, redacted text and all, with its size, its source's size and target, how many copies of it the corpus
+   has (which may be none) and the words that are taken.
 
-Every stage judges a row by its text, so doc_id may be null or shared by several texts. Null and empty texts: the classifier
+Every stage judges a row by its text, so doc_id may be null or shared by several texts. Ties: equal scores are judged alike, of
+equal texts one stays, and documents at one place of the mix's order are told apart by their texts. Null and empty texts: the classifier
 gives them the score of its bias; they are no near duplicates and hold no item or personal data, and repeated rows of them stay;
 their size is 0. Of repeated rows with words the second stage leaves one. Very long texts are treated whole. A table without
 rows gives one without rows. Columns other than those of documents are left out; null in lang, source or n_chars stays null.
@@ -55,7 +57,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix.mixed(docs)
+    return mix.mixed(docs, carry=["text", "lang", "n_chars"])
 
 
 STAGES = [

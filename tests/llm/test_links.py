@@ -208,12 +208,14 @@ def test_pipeline_equals_plain_version(spark, small):
     rows = {i: r for i, r in rows.items() if not holds(r["text"])}
     got = corpus_pipeline.run(spark, small).collect()
     assert {r["doc_id"] for r in got} == set(rows)
-    size = {i: len(pii.redact(r["text"], pii.spans(r["text"])).encode().split()) for i, r in rows.items()}
-    assert {r["doc_id"]: r["size"] for r in got} == size and 0 < sum(r["taken"] for r in got)
+    text = {i: pii.redact(r["text"], pii.spans(r["text"])) for i, r in rows.items()}
+    assert {r["doc_id"]: (r["text"], r["lang"], r["source"], r["n_chars"]) for r in got} == {i: (text[i], r["lang"], r["source"], len(text[i])) for i, r in rows.items()}
+    assert {r["doc_id"]: r["size"] for r in got} == {i: len(t.encode().split()) for i, t in text.items()}
+    assert all(r["taken"] == r["copies"] * r["size"] for r in got) and 0 < sum(r["taken"] for r in got)
 
 
 def test_stages_keep_columns_and_take_any_table(spark, small):
-    docs = spark.createDataFrame([(1, None, None, None, None), (None, "some text", "en", "a", 9), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (3, "mail a@b.co now", "en", "b", 15)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, None, None, None, None), (None, "some text", "en", "a", 9), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (3, "mail a@b.co now", "en", "b", 15), (4, "long word " * 40_000, "en", "b", 400_000)], "doc_id long, text string, lang string, source string, n_chars long")
     for table in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, small)
@@ -222,4 +224,4 @@ def test_stages_keep_columns_and_take_any_table(spark, small):
                 assert out.columns == corpus_pipeline.COLUMNS
     red = {r["doc_id"]: r for r in corpus_pipeline.pii_stage(spark, docs, small).collect()}
     assert red[3]["text"] == "mail <EMAIL> now" and red[3]["n_chars"] == 16
-    assert decontam.contaminated(docs, docs.selectExpr("doc_id as item_id", "text")).count() >= 0 and mix.mixed(docs).count() == 5
+    assert decontam.contaminated(docs, docs.selectExpr("doc_id as item_id", "text")).count() >= 0 and mix.mixed(docs).count() == 6

@@ -22,6 +22,7 @@ read, other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -148,10 +149,11 @@ def cuts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return single.union(shared.join(tie, shared["source"].eqNullSafe(tie["s"])).select("source", F.col("low").alias("cut"), "cut_tie"))
 
 
-def mixed(docs: DataFrame, times: int = MAX_TIMES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of each row of ``docs`` (doc_id, source, text)."""
+def mixed(docs: DataFrame, times: int = MAX_TIMES, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of each row of ``docs`` (doc_id, source, text), and the columns
+    ``carry`` of it, such as the text."""
     text = F.col("text")
-    sized = stash(docs.select("doc_id", "source", F.size(words(text)).cast("long").alias("size"), order_hash(F.col("doc_id"), text).alias("place"), tie_hash(text).alias("tie")))
+    sized = stash(docs.select("doc_id", "source", *carry, F.size(words(text)).cast("long").alias("size"), order_hash(F.col("doc_id"), text).alias("place"), tie_hash(text).alias("tie")))
     plan = tilted(share_out(sized.groupBy("source").agg(F.sum("size").alias("source_size")), times))
     plan = plan.withColumn("whole", F.floor(F.col("rate") + 1e-9))
     plan = stash(plan.select("source", "source_size", "target", "whole", (F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")) * F.col("source_size")).alias("want")))
@@ -160,4 +162,4 @@ def mixed(docs: DataFrame, times: int = MAX_TIMES) -> DataFrame:
     out = sized.join(cut, sized["source"].eqNullSafe(cut["s"]))
     more = (F.col("place") < F.col("cut")) | ((F.col("place") == F.col("cut")) & (F.col("tie") < F.col("cut_tie")))
     copies = F.least(F.lit(times), F.col("whole") + F.when(more, 1).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", *carry, "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
