@@ -35,6 +35,8 @@ from .common import stash, unstash, words
 MAX_TIMES, STEPS, TOLERANCE, LONGEST_STEP = 3, 100, 1e-13, 1.0
 #: The most groups of several columns whose multipliers are solved together: a dense system in the driver.
 GROUPS = 4096
+#: The most sources, a few numbers each, that are sent to all tasks so that documents stay where they are.
+SOURCES = 100_000
 #: Bits of the order hash that each level of the histograms resolves.
 LEVELS = (12, 12, 16)
 BITS = sum(LEVELS)
@@ -159,6 +161,8 @@ def mixed(docs: DataFrame, times: int = MAX_TIMES, carry: Sequence[str] = ()) ->
     plan = stash(plan.select("source", "source_size", "target", "whole", (F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")) * F.col("source_size")).alias("want")))
     cut = cuts(sized.where("size > 0"), plan.where("want > 1e-6").select("source", "want")).withColumnRenamed("source", "c")
     cut = plan.join(cut, plan["source"].eqNullSafe(F.col("c")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"), F.coalesce("cut_tie", F.lit(0)).alias("cut_tie"))
+    if plan.count() <= SOURCES:  # else Spark chooses how to join
+        cut = F.broadcast(cut)
     out = sized.join(cut, sized["source"].eqNullSafe(cut["s"]))
     more = (F.col("place") < F.col("cut")) | ((F.col("place") == F.col("cut")) & (F.col("tie") < F.col("cut_tie")))
     copies = F.least(F.lit(times), F.col("whole") + F.when(more, 1).otherwise(0))
