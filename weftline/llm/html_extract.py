@@ -39,6 +39,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?=[A-Za-z])[^>]*(?:>|\Z)", re.S)
+#: The same where a quote has no partner: the end of a tag is looked for by ``_tag_end``.
+_ODD = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>\"']*)", re.S)
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _SHUT = {name: re.compile(f"</{name}(?![A-Za-z0-9])", re.I) for name in RAW}
@@ -49,6 +52,22 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _CLIP, _ROOT = 30.0, 3.0
 
 
+def _tag_end(source: str, at: int, doomed: set[int]) -> int | None:
+    """Where a tag ends whose name ends at ``at``; None if a quote in it has no partner. ``doomed`` gets the opening quotes from which
+    that one was reached, so that none of them is followed again: many such tags take time in proportion to the page."""
+    seen = []
+    while m := _STOP.search(source, at):
+        if m[0] == ">":
+            return m.end()
+        k = -1 if m.start() in doomed else source.find(m[0], m.end())
+        seen.append(m.start())
+        if k < 0:
+            doomed.update(seen)
+            return None
+        at = k + 1
+    return len(source)
+
+
 class _Open:
     """The open elements, and for each tag (and for blocks other than ``p`` together) where those of it stand."""
 
@@ -83,9 +102,10 @@ class Page:
         self.items: list = []  # (element, text), or None where a block begins or ends
         opened, at, end = _Open(), 0, len(source)
         stack = opened.stack
+        token, doomed, endless = _TOKEN, set(), set()
         dark = [False]  # for each element whether it is hidden or inside a hidden one
         while at < end:
-            m = _TOKEN.search(source, at)
+            m = token.search(source, at)
             stop = m.start() if m else end
             if stop > at and self.tag[stack[-1]] == "head" and source[at:stop].strip(SPACES):
                 opened.cut(len(stack) - 1)
@@ -95,6 +115,15 @@ class Page:
                 break
             at = m.end()
             close, name = m[1], m[2]
+            if token is _TOKEN:
+                inside = m[3]
+                if not close and not name and source[stop + 1 : stop + 2].isalpha():  # a quote without a partner
+                    token = _ODD
+            elif name:
+                after = _tag_end(source, at, doomed)
+                inside = source[at : after - 1] if after is not None and source[after - 1] == ">" else source[at:after]
+                at = after if after is not None else source.find(">", at) + 1 or end
+                name = name if after is not None else None
             if close:
                 if k := opened.last(close.lower()):
                     if max(opened.last("block"), opened.last("p")) >= k:
@@ -117,16 +146,18 @@ class Page:
                 self.tag.append(name)
                 self.parent.append(stack[-1])
                 dark.append(dark[stack[-1]] or name in HIDDEN)
-                attrs = {a.lower(): (x or y or z) for a, x, y, z in _NAMES.findall(m[3])} if m[3] else {}
+                attrs = {a.lower(): (x or y or z) for a, x, y, z in _NAMES.findall(inside)} if inside else {}
                 self.names.append(tuple(sorted({w.lower() for a in ("class", "id", "role") for w in _WORD.findall(attrs.get(a, ""))})))
                 self.mark.append(attrs.get("y"))
                 if name in RAW:
-                    shut = _SHUT[name].search(source, at)
+                    shut = None if name in endless else _SHUT[name].search(source, at)
+                    if not shut:
+                        endless.add(name)  # nor is there one further on
                     if shut:
                         at = source.find(">", shut.start()) + 1 or end
                     elif name in ("script", "style"):  # what has no end is cut off; other elements hold nothing then
                         at = end
-                elif not _SELF.search(m[3]) or name in BLOCK:
+                elif not _SELF.search(inside) or name in BLOCK:
                     opened.push(len(self.tag) - 1, name)
         # text and link text under each element
         n = len(self.tag)
