@@ -210,6 +210,12 @@ def q_chunks(spark, sf_dir):
     return _shown(_chunks(spark, sf_dir))
 
 
+@_query(f"{_CHUNKS} SELECT * FROM chunks")
+def q_chunks_in_blocks(spark, sf_dir):
+    """The same from blocks that most texts have several of."""
+    return _shown(sketch.chunks(reads(spark, sf_dir), SketchParams(block=256)))
+
+
 # --- index
 
 
