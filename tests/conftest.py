@@ -28,7 +28,7 @@ def small(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("small")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     few = docs.where("doc_id < 40").union(docs.where("doc_id < 6").withColumn("doc_id", docs["doc_id"] + 1000))
-    for name, df in {"documents": few, **{t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("benchmark", "labels", "pages", "conversations")}}.items():
+    for name, df in {"documents": few, **{t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("benchmark", "labels", "pages", "conversations", "embeddings")}}.items():
         df.coalesce(1).write.parquet(f"{out}/{name}.parquet")
     return str(out)
 
