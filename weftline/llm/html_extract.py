@@ -2,7 +2,7 @@
 
 A page becomes its element tree. Each element is content or not. Its own evidence (tag, names in class, id and role, how
 much of its text are links, how much text it has) gives a unary potential; parent and child are tied by a pairwise
-potential, one for blocks and one for inline elements. All are counted on labelled pages. On a tree, sum-product message
+potential, one each for inline elements, blocks, and parts of lists and figures. All are counted on labelled pages. On a tree, sum-product message
 passing is exact: one pass upward, one downward, and each element has its marginal. Text whose innermost element is
 content with probability one half or more is kept: a paragraph in an advert falls with the advert, and a one-word
 paragraph stays with its article.
@@ -31,11 +31,13 @@ from .html_labelled import pages as labelled_pages
 
 #: Fixed values of HTML: elements without content, without visible text, and those that begin and end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg iframe object canvas select textarea button audio video".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object canvas select textarea audio video".split())
 #: What may stand in a head; anything else ends it.
 HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Parts of a list or a figure, which are seldom other than the whole; cells of a table may be columns of a page.
+PART = frozenset("caption dd dt figcaption legend li summary".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?=[A-Za-z])[^>]*(?:>|\Z)", re.S)
@@ -183,6 +185,11 @@ class Page:
         return [f"t:{self.tag[i]}", f"l:{share}", *([f"b:{self.tag[i]}:{share}"] if share else []), f"n:{(n > 0) + (n > 20) + (n > 80) + (n > 300)}", *(f"c:{w}" for w in self.names[i])]
 
 
+def _tie(tag: str) -> int:
+    """Which pairwise potential ties an element to its parent."""
+    return 2 if tag in PART else int(tag in BLOCK)
+
+
 def _passes(up: list[float], parent: list[int], pairs: list) -> tuple[list[float], list[float], list[float]]:
     """Sum-product on a tree whose parents stand before their children. ``up``: unary log-odds; ``pairs``: for each element
     the potentials by parent's and own state. Gives the marginals' log-odds, and for each element those of what is below
@@ -206,7 +213,7 @@ def _passes(up: list[float], parent: list[int], pairs: list) -> tuple[list[float
 
 
 class Model:
-    """Unary weights of features and potentials ``pair[block][parent's state][own state]``, fitted together by maximum
+    """Unary weights of features and potentials ``pair[kind][parent's state][own state]``, fitted together by maximum
     likelihood of the labelled trees: the gradient is what is observed less what the marginals expect."""
 
     def __init__(self, pages: list[str], steps: int = 200, rate: float = 0.1, shrink: float = 0.3):
@@ -218,39 +225,39 @@ class Model:
                 own.append([names.setdefault(f, len(names)) for f in page.features(i)] if i else [])
                 parent.append(first + up if i else -1)
                 label.append(int(page.mark[i]) if page.mark[i] else label[first + up] if i else 1)
-                block.append(page.tag[i] in BLOCK)
+                block.append(_tie(page.tag[i]))
         n = len(parent)
         x = np.zeros((n, len(names)))
         for r, f in enumerate(own):
             x[r, f] = 1
-        y, up, kind = np.array(label, float), np.array(parent), np.array(block, int)
+        y, up, kind = np.array(label, float), np.array(parent), np.array(block)
         child = up >= 0
-        seen = np.zeros((2, 2, 2))
+        seen = np.zeros((3, 2, 2))
         np.add.at(seen, (kind[child], y[up[child]].astype(int), y[child].astype(int)), 1)
-        w, t = np.zeros(len(names)), np.tile([[1.0, -1.0], [0.0, 1.0]], (2, 1, 1))
+        w, t = np.zeros(len(names)), np.tile([[1.0, -1.0], [0.0, 1.0]], (3, 1, 1))
         moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
         for step in range(1, steps + 1):
-            tied = [np.exp(t[k]).tolist() for k in (0, 1)]
+            tied = [np.exp(t[k]).tolist() for k in range(3)]
             unary = np.where(child, x @ w, _ROOT)
             whole, below, cavity = map(np.array, _passes(unary.tolist(), parent, [tied[k] for k in block]))
             g_w = x.T @ (y - 1 / (1 + np.exp(-np.clip(whole, -_CLIP, _CLIP)))) - shrink * w
             # expected counts of (parent, own) states from both sides of each edge
             joint = np.exp(np.clip(cavity, -_CLIP, _CLIP))[:, None, None] ** np.array([[0, 0], [1, 1]]) * np.exp(np.clip(below, -_CLIP, _CLIP))[:, None, None] ** np.array([[0, 1], [0, 1]]) * np.array(tied)[kind]
             joint /= joint.sum((1, 2), keepdims=True)
-            g_t = seen - np.array([joint[child & (kind == k)].sum(0) for k in (0, 1)]) - shrink * t
+            g_t = seen - np.array([joint[child & (kind == k)].sum(0) for k in range(3)]) - shrink * t
             for v, g, m, s in ((w, g_w, *moments[:2]), (t, g_t, *moments[2:])):
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
                 v += rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
         self.weight = {f: float(w[k]) for f, k in names.items()}
-        self.pair = {bool(k): np.exp(t[k]).tolist() for k in (0, 1)}
+        self.pair = [np.exp(x).tolist() for x in t]
 
     def marginals(self, page: Page) -> list[float]:
         """Log-odds of content for each element."""
         weight = self.weight
         up = [sum(weight.get(f, 0.0) for f in page.features(i)) for i in range(len(page.tag))]
         up[0] = _ROOT
-        return _passes(up, page.parent, [self.pair[t in BLOCK] for t in page.tag])[0]
+        return _passes(up, page.parent, [self.pair[_tie(t)] for t in page.tag])[0]
 
 
 @lru_cache(maxsize=1)

@@ -28,7 +28,7 @@ def _name(tag: str) -> str:
     return tag[1:-1].split()[0]
 
 
-def pages(count: int = 160, seed: int = 11) -> list[str]:
+def pages(count: int = 240, seed: int = 11) -> list[str]:
     pick = random.Random(seed)
 
     def text() -> str:
@@ -48,6 +48,9 @@ def pages(count: int = 160, seed: int = 11) -> list[str]:
             return f'<{_name(tag)} class="{"".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=4))}">'
         return tag
 
+    def wrapper() -> str:
+        return pick.choice(["<div>", '<div class="wrap">', f'<div class="{"".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=5))}">'])
+
     def part(kind: list[str], *inside: str) -> str:
         tag = varied(pick.choice(kind))
         return f'{tag[:-1]} y="0">' + "".join(inside) + f"</{_name(tag)}>"
@@ -62,9 +65,25 @@ def pages(count: int = 160, seed: int = 11) -> list[str]:
         return part(FORM, f"<label>{text()}</label><input name=q>", pick.choice(["", f"<p>{text()}</p>"]), "<button>Go</button>")
 
     def comments() -> str:
-        return part(COMMENTS, pick.choice(["", f"<h3>{text()}</h3>"]), *(f"{t}{pick.choice(['', '<p>'])}{text()}</{_name(t)}>" for t in pick.choices(ONE_COMMENT, k=pick.randint(1, 4))))
+        return part(COMMENTS, pick.choice(["", f"<h3>{text()}</h3>"]), *(f"{t}{pick.choice(['', '<p>'])}{inline()}{text()}{pick.choice(['', '', ' <button>Reply</button>'])}</{_name(t)}>" for t in pick.choices(ONE_COMMENT, k=pick.randint(1, 4))))
+
+    def linked() -> str:
+        """Content that consists of links: sources, a table of contents, a paragraph that is one link."""
+        entry = lambda: pick.choice([f'<a href="/{pick.choice(_WORDS)}">{text()}</a>', f'<a href="/a">{pick.choice(_WORDS)}</a>', f'<a href="#n">{text()}</a> {text()}'])
+        items = [entry() for _ in range(pick.randint(1, 7))]
+        tag = pick.choice(["ul", "ul", "ol"])
+        return pick.choice(["", f"<h2>{text()}</h2>", f"<p>{text()}</p>"]) + pick.choice([f"<{tag}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{tag}>", f"<{tag}>" + "".join(f"<li>{x}" for x in items) + f"</{tag}>", f"<p>{items[0]}</p>", "<p>" + ", ".join(items) + "</p>", f"<table><tr><td>{items[0]}</td><td>{text()}</td></tr></table>"])
+
+    def pressed() -> str:
+        return f"<{(tag := pick.choice(['p', 'p', 'li', 'div']))}>{text()} <button>{pick.choice(_WORDS)}</button> {text()}</{tag}>"
+
+    def figure() -> str:
+        caption = pick.choice([text(), f"{text()} <a href='/z'>{text()}</a>", f"<a href='/z'>{text()}</a>", f"<em>{text()}</em>"])
+        return f"<figure>{pick.choice(['<img src=x>', '<a href=/z><img src=x></a>', f'<pre>{text()}</pre>', f'<blockquote>{text()}</blockquote>'])}<figcaption>{caption}</figcaption></figure>"
 
     def block() -> str:
+        if (kind := pick.random()) < 0.24:
+            return linked() if kind < 0.14 else pressed() if kind < 0.19 else figure()
         return pick.choice([*[f"<p>{inline()}{text()}</p>"] * 6, f"<h2>{text()}</h2>", f"<ul><li>{text()}</li><li>{text()}</li></ul>", f"<ol><li>{text()}</li></ol>", f"<blockquote><p>{text()}</p></blockquote>", f"<pre>{text()}</pre>", f"<table><tr><th>{text()}</th><td>{text()}</td></tr></table>", f"<figure><img src=x><figcaption>{text()}</figcaption></figure>", f"<div>{text()}</div>", f"<section><h3>{text()}</h3><p>{text()}</p></section>", f"<p>{text()}", f"<dl><dt>{text()}</dt><dd>{text()}</dd></dl>"])
 
     out = []
@@ -73,14 +92,19 @@ def pages(count: int = 160, seed: int = 11) -> list[str]:
         inner = [f"<h1>{text()}</h1>" if pick.random() < 0.8 else ""]
         for _ in range(pick.randint(1, 9)):
             inner.append(block() if pick.random() < 0.9 else pick.choice([advert, form, lambda: part(ASIDE, plain()), lambda: part(NOTICE, plain()), lambda: part(MENU, links())])())
+        if pick.random() < 0.3:  # content inside a wrapper of its own
+            inner = [pick.choice([wrapper(), wrapper(), "<section>"]), *inner]
+            inner.append(f"</{_name(inner[0])}>")
         content = f'{tag[:-1]} y="1">' + "".join(inner) + f"</{_name(tag)}>" if pick.random() < 0.9 else "".join(block() for _ in range(5))
         if tag == "<td>":
             content = f"<table><tr>{content}</tr></table>"
         before = [part(MENU, links()), part(HEADER, pick.choice([f"<h1>{text()}</h1>", "", links(), f"<p>{text()}</p>"])), part(NOTICE, plain()), advert()]
         after = [part(FOOTER, plain()), part(ASIDE, plain()), comments(), form(), advert(), part(FOOTER, plain())]
         pick.shuffle(before)
+        if pick.random() < 0.3:  # columns
+            content = f'{wrapper()[:-1]} y="1">{content}{part(ASIDE, plain())}</div>'
         body = "".join(x for x in before if pick.random() < 0.7) + content + "".join(x for x in after if pick.random() < 0.5)
-        if pick.random() < 0.3:
-            body = f'<div class="page wrapper container" y="1">{body}</div>'
+        if pick.random() < 0.5:
+            body = f'{pick.choice(['<div class="page wrapper container">', wrapper(), wrapper()])[:-1]} y="1">{body}</div>'
         out.append(f'<html><head><meta charset="utf-8"><title>{text()}</title><style>p{{}}</style><script>x("</p>")</script></head><body>{body}</body></html>')
     return out
