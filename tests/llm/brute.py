@@ -40,7 +40,7 @@ ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 
 
 def battery(token):
-    """(chi-squared, runs and serial deviates, p of the chi-squared against text) of a token, symbol by symbol."""
+    """(chi-squared, runs and serial deviates, p of all three) of a token, symbol by symbol."""
     token = token.rstrip("=")
     alphabet = next(a for a in ALPHABETS if all(c in a for c in token))
     k, n, x = len(alphabet), len(token), [alphabet.index(c) for c in token]
@@ -51,10 +51,11 @@ def battery(token):
     spread = math.sqrt(max((mean - 1) * (mean - 2) / max(n - 1, 1), 1e-9))
     m = sum(x) / n
     serial = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / max(sum((v - m) ** 2 for v in x), 1e-9) * math.sqrt(n)
-    often = max(0.06, 2 / k)
+    often = max(0.045, 2 / k)
     z = ((n - 1) * (k * often - 1) + k - 1 - chi) / math.sqrt(2 * (k - 1) + 2 * n * (k * often - 1))
-    p = 1 / (1 + math.exp(min(1.5976 * z + 0.07056 * z**3, 690)))
-    return (chi - (k - 1)) / math.sqrt(2 * (k - 1)), (runs - mean) / spread, serial, p
+    tail = lambda z: 1 / (1 + math.exp(min(1.5976 * z + 0.07056 * z**3, 690)))
+    deviates = (chi - (k - 1)) / math.sqrt(2 * (k - 1)), (runs - mean) / spread, serial
+    return *deviates, max(tail(z), tail(math.sqrt(n) - max(map(abs, deviates))))
 
 
 def random_spans(texts):
@@ -65,9 +66,8 @@ def random_spans(texts):
         base = [(m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 6] + [(m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
         for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
             if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
-                u, r, s, p = battery(m[0])
-                step = min(30000, max(0, math.floor(-100 * math.log10(max(p, 1e-300))))) if abs(u) < 4 and abs(r) < 3.3 and abs(s) < 3.3 else 0
-                tokens.append((i, m.start(), m.end(), step))
+                p = battery(m[0])[3]
+                tokens.append((i, m.start(), m.end(), min(30000, max(0, math.floor(-100 * math.log10(max(p, 1e-300)))))))
     best = 30001
     for step in sorted({t[3] for t in tokens}):
         if 10 ** (-step / 100) <= 0.01 * sum(t[3] >= step for t in tokens) / len(tokens):

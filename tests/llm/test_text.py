@@ -72,6 +72,26 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum("random" in got[i] for i in range(20)) >= 17 and not any(got[100 + i] for i in range(20))
 
 
+def test_false_discoveries_among_names_and_ordered_tokens():
+    """At the rate of one in a hundred few of the found tokens are names, counters or alphabets, and long random ones are found."""
+    rng = random.Random(3)
+    words = "river rose request handler value index table account session config default service manager string builder path file client response error code".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def name():
+        parts = [rng.choice(words) for _ in range(rng.randint(4, 8))]
+        parts.insert(rng.randint(1, 4), str(rng.randint(1, 2030)))
+        return rng.choice([lambda: "".join(w.capitalize() for w in parts), lambda: "_".join(parts), lambda: "-".join(parts).upper(), lambda: "/".join(parts)])()
+
+    names = [n for n in (name() for _ in range(900)) if len(n) >= 20]
+    ordered = ["".join(sorted(rng.choice(letters) for _ in range(40))) for _ in range(50)] + [letters[i : i + 40] + "0" for i in range(20)] + ["a1B2" * n for n in range(5, 15)]
+    ordered = [t for t in ordered if not t.isalpha()]
+    secret = ["1a" + "".join(rng.choice(letters) for _ in range(38)) for _ in range(150)]
+    texts = [*secret, *names, *ordered]
+    found = [i for i, _, _ in brute.random_spans(texts)]
+    assert sum(i < 150 for i in found) >= 140 and sum(i >= 150 for i in found) <= 0.03 * len(found)
+
+
 def test_random_spans_equal_plain_battery(spark):
     rng = random.Random(12)
     alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "aeiou1", "ab2"]

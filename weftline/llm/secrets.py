@@ -3,11 +3,12 @@
 Patterns give the base spans (``assign``, ``access``, ``hex``). Beyond them, each long token with letters and digits is a
 candidate. Its encoding is inferred (hex, base 32, letters and digits, base 64) and its symbols become numbers below the
 alphabet's size. Three tests ask whether it looks like random output: chi-squared uniformity over the alphabet, the runs
-test about the middle of the alphabet, and the serial correlation of neighbours. A token that any of them rejects is
-none. For the others the chi-squared value is held against that of names and text of the same length, whose letters
-coincide more often (``COINCIDENCE``): a longer token gives a smaller p-value. The p-values of all candidates of all
-documents go through the Benjamini-Hochberg procedure at ``RATE``, on a grid of hundredths of a power of ten so that it
-needs only counts per grid step. Accepted tokens become ``random`` spans if no base span holds them.
+test about the middle of the alphabet, and the serial correlation of neighbours. A token is random only if every test says
+so, so its p-value is the largest of two kinds. The first holds the chi-squared value against that of names and text of the
+same length, whose letters coincide more often (``COINCIDENCE``). The second holds the deviates of all three tests against
+those of an ordered token, which grow with the root of its length (``ORDERED`` of it). Both fall with the length. The
+p-values of all candidates of all documents go through the Benjamini-Hochberg procedure at ``RATE``, on a grid of hundredths
+of a power of ten so that it needs only counts per grid step. Accepted tokens become ``random`` spans if no base span holds them.
 
 Only DataFrame functions are used. A span's place is found by marking matches and adding up lengths, in code points.
 Null and empty texts have no spans, an empty table gives an empty one; repeated rows are judged alike, and each counts among
@@ -31,7 +32,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]{24,}",
     "random": r"[A-Za-z0-9+/_-]{20,}={0,2}",
 }
-RATE, COINCIDENCE, Z_RUNS, Z_SERIAL, Z_UNIFORM = 0.01, 0.06, 3.3, 3.3, 4.0
+RATE, COINCIDENCE, ORDERED = 0.01, 0.045, 1.0
 #: Steps of the grid for p-values: a hundredth of a power of ten, down to 1e-300.
 GRID, LEAST = 100, 300
 #: Matches whose places are summed together.
@@ -104,7 +105,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def battery(token: Column) -> Column:
-    """struct(encoding, n, uniform, runs, serial, p): the statistics as normal deviates, p against names and text."""
+    """struct(encoding, n, uniform, runs, serial, p): the statistics as normal deviates, and p from all three."""
     bare = F.rtrim(token, F.lit("="))
     first = lambda pick: F.coalesce(*[F.when(F.regexp_like(bare, F.lit(r)), F.lit(pick(i))) for i, (_, r, _) in enumerate(ALPHABETS)])
     alphabet, name = first(lambda i: ALPHABETS[i][2]), first(lambda i: ALPHABETS[i][0])
@@ -136,7 +137,8 @@ def _statistics(t: Column) -> Column:
     often = F.greatest(F.lit(COINCIDENCE), 2 / k)
     expected, wide = (n - 1) * (k * often - 1) + k - 1, F.sqrt(2 * (k - 1) + 2 * n * (k * often - 1))
     z = (expected - chi) / wide
-    p = 1 / (1 + F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(690.0))))  # the normal tail by a logistic curve
+    tail = lambda z: 1 / (1 + F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(690.0))))  # noqa: E731  the normal tail by a logistic curve
+    p = F.greatest(tail(z), tail(ORDERED * F.sqrt(n) - F.greatest(F.abs(uniform), F.abs(runs), F.abs(serial))))
     return F.struct(t["encoding"].alias("encoding"), n.alias("n"), uniform.alias("uniform"), runs.alias("runs"), serial.alias("serial"), p.alias("p"))
 
 
@@ -168,9 +170,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fresh = F.filter("long", lambda s: ~(overlapped(s, *at["assign"]) | overlapped(s, *at["access"]) | overlapped(s, *at["hex"])))
     found = found.select("id", "base", fresh.alias("long"))
     tested = F.transform("long", lambda s: F.struct(s.alias("span"), battery(s["match"]).alias("t")))
-    random = lambda t: (F.abs(t["uniform"]) < Z_UNIFORM) & (F.abs(t["runs"]) < Z_RUNS) & (F.abs(t["serial"]) < Z_SERIAL)
-    step = lambda t: F.when(random(t), step_of(t["p"])).otherwise(F.lit(0)).cast("int")  # noqa: E731  a rejected token counts as tested
-    tokens = F.transform(tested, lambda c: F.struct(c["span"].alias("span"), step(c["t"]).alias("step")))
+    tokens = F.transform(tested, lambda c: F.struct(c["span"].alias("span"), step_of(c["t"]["p"]).cast("int").alias("step")))
     first = stash(found.select("id", "base", tokens.alias("tokens")))
     least = accepted_step(first.select(F.explode("tokens.step").alias("step")), rate)
     more = F.transform(F.filter("tokens", lambda c: c["step"] >= least), lambda c: c["span"])
