@@ -24,6 +24,8 @@ components is left unexamined when the rounds end, and a group of near copies co
 
 Null, empty and blank texts have an empty set, link with nothing and are their own component; rows without doc_id
 get a null component unless an equal text has one. Rows that share a doc_id are one vertex. Extra columns are ignored.
+An empty table gives an empty one. Ties cannot change the result: links do not depend on the order in which pairs are examined, and a
+component has one smallest doc_id. Very long texts are treated whole, and their sketches have parts in proportion to their sets.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ The sweep runs over the distinct hosts, in segments of the key order, so a host
 one row of it; an interval is copied to each segment that it meets. Only DataFrame operations are used.
 
 Nulls, urls without ``://`` and empty tables: host and path are empty, no rule fits, the verdict is the default.
-Repeated rows are judged alike. Columns that clash with those added are replaced.
+Repeated rows are judged alike. Of rules of one length that fit, the one later by code point wins, and of the same rule
+twice its ``block``. Very long urls are read whole, in time that grows with their length. Columns that clash with those
+added are replaced.
 """
 
 from __future__ import annotations
