@@ -10,8 +10,9 @@ lower bound of the symmetric difference. Two sets of a size band that link diffe
 meet in ``agree`` keys (band, part, word) at least, and each of them can go without its ``agree - 1`` most frequent ones:
 the rarest key that they share stays. That keeps passages which many documents repeat out of the buckets. A set is in its
 own size band and in the one below if a smaller partner may be there. A second sketch of single bits (``FINE`` bits for
-each allowed difference) gives a Hamming distance that drops most false candidates before texts are fetched. What is left
-is verified on whole texts.
+each allowed difference) gives a Hamming distance that drops most false candidates before sets are fetched. What is left
+is verified on the hashed shingles of whole texts, which are written once for the texts that are in a candidate pair; filters of
+bounded size (``members``) keep the texts that are in none, and keys of one text, out of the shuffles.
 
 Groups. Equal sets are one vertex from the start. The result needs connectivity and not all pairs, so candidates are
 taken in rounds: first the words of ``FIRST`` parts, each bucket as a star around its smallest member; verified links are
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import stash, unstash
 from .components import components
+from .members import may_be_in, may_hold, members
 
 BAND, FINE = 1.4, 16
 #: The lowest bits of a key hold the number of its band.
@@ -139,26 +141,68 @@ def sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, fine array<long>")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some vertices (id), written once."""
-    return stash(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi"))
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """The hashed sets of some vertices (id): each text is hashed once and written, however many pairs it is in. A filter of the ids
+    keeps most other texts out of the shuffle."""
+    ids = stash(ids.select("id").distinct())
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    there = members(ids, "id")
+    rows = (rows if there is None else rows.where(may_be_in(F.col("id"), there))).join(ids, "id", "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in textvec.pieces(batch.column("text")):
+                sets = list(textvec.shingle_sets(data, offsets, width))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(sets)), _lists(sets)], names=["id", "s"])
+
+    out = stash(rows.mapInArrow(run, "id long, s array<long>"))
+    unstash(ids)
+    return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts link."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link."""
+
+    def parts(column):
+        values, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+        return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def run(batches):
         for batch in batches:
-            a, b, ok = batch.column("a"), batch.column("b"), []
-            sets = [[s for _, data, offsets in textvec.pieces(batch.column(c)) for s in textvec.shingle_sets(data, offsets, width)] for c in ("ta", "tb")]
-            for x, y in zip(*sets, strict=True):
+            ok = []
+            for x, y in zip(parts(batch.column("sa")), parts(batch.column("sb")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
 
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+def _exploded(rows: DataFrame, k: int, there) -> DataFrame:
+    """(id, c, key): the keys of pass ``k`` that may be in the filter."""
+
+    def run(batches):
+        for batch in batches:
+            keys, at = batch.column("keys"), batch.column("keys").offsets.to_numpy()
+            values = keys.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+            row = np.repeat(np.arange(len(batch)), np.diff(at))
+            mine = (values >> BAND_BITS) % PASSES == k
+            values, row = values[mine], row[mine]
+            if there is not None:
+                held = may_hold(there.value, values)
+                values, row = values[held], row[held]
+            order = np.lexsort((values, row))
+            values, row = values[order], row[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (values[1:] != values[:-1])
+            values, row = values[first], row[first]
+            for i in range(0, len(values), 1 << 16):
+                part = batch.select(["id", "c"]).take(pa.array(row[i : i + (1 << 16)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values[i : i + (1 << 16)])], names=["id", "c", "key"])
+
+    return rows.select("id", "c", "keys").mapInArrow(run, "id long, c long, key long")
 
 
 def _may_link(percent: int):
@@ -181,13 +225,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     wide = stash(sketched(docs, width, percent))
     base = stash(wide.select("doc_id", "n", "h1", "h2"))
     sets = stash(base.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")))
-    # one row for each different set: the row of its smallest doc_id
+    # one row for each different set: the row of its smallest doc_id. The others are few or many; a filter of their ids tells most
+    # rows that stay, so that those need not be shuffled
     chosen = sets.where("id is not null").select("id").distinct()
-    vertex = wide.where("n > 0").join(chosen, wide["doc_id"] == chosen["id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys", "fine")
-    if vertex.count() > chosen.count():  # some rows share a doc_id
+    filled = base.where("n > 0 and doc_id is not null").select("doc_id")
+    others = stash(filled.join(chosen, filled["doc_id"] == chosen["id"], "left_anti").distinct())
+    shared_ids = filled.count() - filled.distinct().count()
+    rows = wide.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "keys", "fine")
+    there = members(others, "doc_id")
+    if there is None:
+        vertex = rows.join(chosen, "id", "left_semi")
+    else:
+        other = may_be_in(F.col("id"), there)
+        vertex = rows.where(~other).union(rows.where(other).join(chosen, "id", "left_semi"))
+    vertex = vertex.select("id", "n", "keys", "fine")
+    if shared_ids:
         vertex = vertex.distinct()
     vertex = stash(vertex)
-    unstash(wide)
+    unstash(wide, others)
     sizes = stash(vertex.select("id", "n", "fine"))
     found = None  # verified links so far
     labels = None
@@ -202,7 +257,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         nonlocal labels
         labels = components(found)
 
-    def examine(pairs: DataFrame, texts: DataFrame | None = None) -> None:
+    def examine(pairs: DataFrame, hashed: DataFrame | None = None) -> None:
         """Verifies pairs that have not been examined yet, and contracts the links."""
         nonlocal found, tested
         pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -213,9 +268,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         if likely.isEmpty():
             return
         tested = likely if tested is None else tested.union(likely)
-        own = texts if texts is not None else _texts(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")))
-        good = keep(_verified(likely, own, width, percent))
-        if texts is None:
+        own = hashed if hashed is not None else _sets(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")), width)
+        good = keep(_verified(likely, own, percent))
+        if hashed is None:
             unstash(own)
         if not good.isEmpty():
             found = good if found is None else found.union(good)
@@ -232,10 +287,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     bucket = None
     for k in range(PASSES):
         own = F.filter("keys", lambda x: F.pmod(F.shiftright(x, BAND_BITS), F.lit(PASSES)) == k)
-        rows = labelled.select("id", "c", F.explode(F.array_distinct(own)).alias("key"))
+        every = labelled.select(F.explode(F.array_distinct(own)).alias("key"))
         # most keys are of one text: only counts of keys are shuffled for them
-        often = keep(rows.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
-        part = keep(rows.join(often, "key").select("key", "id", "c", "g"))
+        often = keep(every.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
+        part = keep(_exploded(labelled, k, members(often, "key")).join(often, "key").select("key", "id", "c", "g"))
         bucket = part if bucket is None else bucket.union(part)
     unstash(labelled)
     mixed = keep(bucket.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
@@ -249,7 +304,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     folded = F.transform(F.sequence(F.lit(0), F.least(F.size("fine"), F.lit(CARRIED)) - 1), lambda i: F.aggregate(F.filter("fine", lambda _, j: j % CARRIED == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
     short = sizes.select("id", "n", F.when(F.size("fine") > 0, folded).otherwise(F.col("fine")).alias("fine"))
     bucket = keep(bucket.join(short, "id").select("key", "id", "n", "fine"))
-    texts = _texts(docs, bucket)
+    hashed = _sets(docs, bucket, width)
     pivots, done = 1, bucket
     while True:
         now = bucket.withColumn("c", F.col("id")) if labels is None else bucket.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
@@ -267,7 +322,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         picked = ranked.groupBy("key", "salt").agg(F.max("p").alias("p")).select("key", "p.id", "p.n", "p.fine", "p.c")
         left = keep(few.union(picked).select("key", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "fine", "c")]))
         right = now.select("key", *[F.col(x).alias(f"{x}b") for x in ("id", "n", "fine", "c")])
-        examine(left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & _may_link(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b")), texts)
+        examine(left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & _may_link(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b")), hashed)
         done, bucket = now, many.select("key", "id", "n", "fine")
         pivots *= PIVOTS
     whole = sets if labels is None else sets.join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("id"))
@@ -275,6 +330,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(whole, ["h1", "h2"], "left")
     # a component is named after its smallest doc_id; a text without words after itself
     out = keep(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id")))
-    for df in [*written[:-1], base, sets, sizes, texts]:
+    for df in [*written[:-1], base, sets, sizes, hashed]:
         unstash(df)
     return out
