@@ -90,3 +90,29 @@ def accounts(t):
             end = m.end() + got.end()
             out.append(("login", m.end(), end))
     return out
+
+
+def numbers_after_cues(t, cues):
+    """Account numbers, by looking at every place of a text for a cue that ends there, sign by sign."""
+    out, end = [], 0
+
+    def blanks(q):
+        while q < len(t) and t[q].isspace():
+            q += 1
+        return q
+
+    for p in range(1, len(t) + 1):
+        if p <= end or not any(t.endswith(c, 0, p) for c in cues):
+            continue
+        q = blanks(p)
+        name = next((w for w in ("number", "no.", "no", "num.", "num", "id", "#") if t.startswith(w, q)), None)
+        q = blanks(q + len(name) if name else p)
+        q = blanks(q + 1 if t[q : q + 1] and t[q] in ":#=" else q)
+        stop = q
+        while stop < len(t) and t[stop] in "0123456789":
+            stop += 1
+        if 6 <= stop - q <= 17:
+            out.append(("account", q, stop))
+            end = stop
+    return out
+

@@ -127,6 +127,13 @@ def test_added_pii_equals_plain_search(text):
     assert sorted(s for s in found if s[0] in ("iban", "login")) == sorted(brute.accounts(text))
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*pii.CUES[:4], "customer id", "SSN", " ", "\n", "\u00a0", ":", "#", "=", "no", "no.", "num", "num.", "number", "id", "123456", "12345", "12345678901234567", "9", "x"]), max_size=12).map("".join))
+def test_account_numbers_equal_plain_search(text):
+    found = [(pii.KINDS[k], a, b) for a, b, k in pii.spans(text)]
+    assert [s for s in found if s[0] == "account"] == brute.numbers_after_cues(text, pii.CUES)
+
+
 def test_quality_rules_on_awkward_rows(docs):
     got = {(r["doc_id"], r["lang"]): r for r in line_clean.line_clean(docs.withColumn("kept", F.lit(1)), cleaned_col="clean").collect()}
     assert not got[0, "en"]["kept"] and got[0, "en"]["n_words"] == 0 and got[4, "en"]["n_repeat_words"] == 30_000 and got[9, "en"]["n_dup_lines"] == 34
@@ -298,6 +305,42 @@ def test_quality_model_learns(spark, docs):
     assert quality.kept(df, quality.train(df, lab)).count() == 200
 
 
+def test_quality_fit_equals_plain_descent(monkeypatch):
+    """The fit against one that moves one number at a time, in double precision, feature by feature as they occur."""
+    monkeypatch.setattr(quality, "RATE", 2.0)
+    texts = ["the river runs by the mill", "BUY NOW!! BUY NOW!!", "a field, a bridge", "WIN WIN WIN", "water é water", ""]
+    labels = [1, 0, 1, 0, 1, 0]
+    model = quality.fit(texts, labels)
+    dims, rng = range(quality.DIMENSIONS), np.random.default_rng(quality.SEED)
+    e = rng.uniform(-1 / quality.DIMENSIONS, 1 / quality.DIMENSIONS, (quality.size(), quality.DIMENSIONS))
+    w = rng.normal(0, 0.5, (quality.DIMENSIONS, 2))
+    prior = np.log((3 + 0.5) / 7 / (1 - (3 + 0.5) / 7))
+    b = [-prior / 2, prior / 2]
+    seen = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        seen.append([int(r) for rows, _ in quality.features(data, np.array([0, len(data)])) for r in rows])
+    step, steps = 0, quality.EPOCHS * len(texts)
+    for _ in range(quality.EPOCHS):
+        for i in rng.permutation(len(texts)):
+            rate, n = 2.0 * (1 - step / steps), max(1, len(seen[i]))
+            step += 1
+            mean = [sum(e[r][k] for r in seen[i]) / n for k in dims]
+            z = [sum(mean[k] * w[k][y] for k in dims) + b[y] for y in (0, 1)]
+            g = [1 / (1 + np.exp(z[1 - y] - z[y])) - (labels[i] == y) for y in (0, 1)]
+            back = [w[k][0] * g[0] + w[k][1] * g[1] for k in dims]
+            for r in seen[i]:
+                for k in dims:
+                    e[r][k] -= rate * back[k] / n
+            for y in (0, 1):
+                for k in dims:
+                    w[k][y] -= 0.01 * rate * mean[k] * g[y]
+                b[y] -= 0.001 * rate * g[y]
+    rows = sorted({r for s in seen for r in s})
+    plain = [sum(e[r][k] * (w[k][1] - w[k][0]) for k in dims) for r in rows]
+    assert np.allclose(model.weights[rows], plain, atol=1e-4) and abs(model.bias - (b[1] - b[0])) < 1e-4
+
+
 def test_quality_score_equals_plain_sums():
     """Scores of whole batches against a model that is applied feature by feature."""
     rng = np.random.default_rng(5)
