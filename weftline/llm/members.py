@@ -41,7 +41,7 @@ def members(table: DataFrame, name: str):
     n = table.count()
     if n > MOST_BITS:
         return None
-    bits = min(MOST_BITS, 1 << max(6, (BITS_EACH * n).bit_length()))
+    bits = max(64, min(MOST_BITS, 1 << (BITS_EACH * n).bit_length()))
 
     def run(batches):
         words = np.zeros(bits // 64, np.uint64)
