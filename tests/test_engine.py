@@ -11,7 +11,7 @@ from weftline import cli, shared
 from weftline.config import JoinParams, SketchParams
 from weftline.functions import rolling
 from weftline.functions.sequence import twobit_decode, twobit_encode, twobit_slice
-from weftline.operators import arrow_sketch, bloom, index, matching, report, sketch, stored
+from weftline.operators import arrow_sketch, arrow_stages, bloom, index, matching, report, sketch, stored
 from weftline.operators.stored import store_index
 from weftline.sources import reads as sources
 from weftline.streaming import query_mode
@@ -458,3 +458,69 @@ def test_pruned_index_gives_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(bloom, "MOST_BITS", 64)
     assert bloom.key_filter(q, 2) is None and sorted(map(tuple, report.query_overlaps(first, r, p, prune=True).collect())) == got[0]
     assert bloom.key_filter(q.limit(0), 2).any() == False  # noqa: E712
+
+
+def _odd_sequences():
+    rng = random.Random(31)
+    return ["".join(rng.choice("AC" if i % 2 else "ACGT") for _ in range(rng.randint(0, 120))) for i in range(20)] + ["A" * 60, "", "acgtACGT" * 6, "ACGTN" * 9, "é" + "ACGGT" * 9]
+
+
+def _no_column_functions(monkeypatch):
+    """The stages must come without the column functions, which cost ten times as much."""
+    for name in ("masked", "hashed_kmers", "minima", "vectors", "emissions"):
+        monkeypatch.setattr(sketch, name, None)
+
+
+@pytest.mark.parametrize("stage", ["eligible", "masked", "kmers", "minima", "vectors", "emissions"])
+@pytest.mark.parametrize("mask", ["none", "hpc"])
+def test_stages_equal_column_functions(spark, monkeypatch, stage, mask):
+    import hashlib
+
+    seqs = _odd_sequences()
+    p = SketchParams(3, 2, 4, mask, 1 << 20)
+    df = sequences(spark, *seqs)
+    md5 = lambda rows: hashlib.md5(",".join(rows).encode()).hexdigest()
+    hexed = lambda v: "".join(f"{h:016x}" for h in v)
+    m = sketch.masked(sketch.strands(df), mask)
+    b = sketch.blocks(m, p)
+    k = sketch.hashed_kmers(b, p)
+    rows = {"eligible": sketch.eligible(m, p), "masked": m.where(F.size("syms") > 0), "kmers": k, "minima": sketch.minima(k, p), "vectors": sketch.vectors(sketch.minima(k, p), p), "emissions": sketch.emitted(df, p)}[stage]
+    show = {
+        "eligible": lambda r: (len(r["syms"]), len(r["syms"]) - p.span + 1),
+        "masked": lambda r: (len(r["syms"]), "".join(x["s"] for x in r["syms"]), md5(f"{x['a']}-{x['z']}" for x in r["syms"])),
+        "kmers": lambda r: (len(r["h"]), min(r["h"]), max(r["h"]), md5(map(str, r["h"]))),
+        "minima": lambda r: (len(r["m"]), md5(f"{x['h']}:{x['p']}" for x in r["m"])),
+        "vectors": lambda r: (len(r["v"]), md5(f"{hexed(x['v'])}:{x['a']}:{x['z']}" for x in r["v"])),
+        "emissions": lambda r: (len(r["e"]), md5(f"{x['shift']}:{hexed(x['v'])}:{x['a']}:{x['z']}" for x in r["e"])),
+    }[stage]
+    want = sorted((r["read_id"], r["fw"], r["raw_length"], *show(r)) for r in rows.collect())
+    _no_column_functions(monkeypatch)
+    for piece, held in ((1 << 18, 1 << 17), (1, 5)):
+        # held in this process too, as the tasks of Spark import the module anew
+        monkeypatch.setattr(arrow_sketch, "PIECE", piece)
+        monkeypatch.setattr(arrow_stages, "ROWS", held)
+        chars, at = arrow_sketch.both_strands(*arrow_sketch._chars(pa.array(seqs), 0, len(seqs)))
+        there, columns = arrow_stages.stage_of(chars, at, p, stage)
+        got = zip(there.tolist(), *(x.to_pylist() if isinstance(x, pa.Array) else list(map(lambda v: v.item() if hasattr(v, "item") else v, x)) for x in columns), strict=True)
+        n = len(seqs)
+        assert want and sorted((i if i < n else 2 * n - 1 - i, i < n, len(seqs[i if i < n else 2 * n - 1 - i]), *x) for i, *x in got) == want
+    assert sorted(map(tuple, arrow_stages.stages(df, p, stage).collect())) == want
+    assert arrow_stages.stages(df.where("read_id < 0"), p, stage).count() == 0
+
+
+def test_tandem_stage(spark):
+    got = {r["read_id"]: r for r in arrow_stages.stages(sequences(spark, "TACACACGG", "", "A"), SketchParams(), "tandem").where("fw").collect()}
+    import hashlib
+
+    assert sorted(got) == [0, 2] and got[0]["n_symbols"] == 3
+    assert got[0]["intervals"] == hashlib.md5(b"0-0,1-6,7-8").hexdigest() and got[0]["motifs"] == hashlib.md5(b"1,2,1").hexdigest()
+    with pytest.raises(ValueError):
+        arrow_stages.stages(sequences(spark, "ACGT"), SketchParams(mask="microsat"), "masked")
+
+
+def test_packed_reads_equal_column_functions(spark):
+    df = sequences(spark, *_odd_sequences()).union(spark.createDataFrame([(99, "r", None, None)], "read_id long, name string, raw_length long, sequence string"))
+    b, size = twobit_encode(F.col("sequence")), F.col("raw_length").cast("int")
+    want = df.select("read_id", b.alias("packed"), twobit_decode(b, size).alias("decoded"), twobit_slice(b, size, 7, 30).alias("piece")).collect()
+    got = arrow_stages.unpacked_reads(arrow_stages.packed_reads(df), 7, 30).select("read_id", "packed", "decoded", "piece").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 26

@@ -140,7 +140,7 @@ def chunks(reads: DataFrame, p: SketchParams = SketchParams(), columns_only: boo
     with a shuffle at the end, as the blocks of a strand can repeat a chunk. ``keep``, a filter of keys, leaves out chunks of other
     keys where they are made (Arrow batches only)."""
     if not columns_only:
-        return sketched(strands(reads), p, keep).drop("place")
+        return sketched(reads, p, keep).drop("place")
     e = F.transform("e", lambda x: F.struct(F.unhex(F.array_join(F.transform(x["v"], digits), "")).alias("key"), F.get("syms", x["a"])["a"].cast("long").alias("start"), F.get("syms", x["z"] + (p.k - 1))["z"].cast("long").alias("end")))
     rows = emitted(reads, p).select("read_id", "fw", "raw_length", F.explode(F.array_distinct(e)).alias("x"))
     return rows.select("x.key", "read_id", "fw", "x.start", "x.end", "raw_length").distinct()
@@ -150,6 +150,5 @@ def read_hashes(reads: DataFrame, p: SketchParams = SketchParams()) -> DataFrame
     """(read_id, positions, hashes): the minimizers of the forward strand with one window, by place. Arrays of a read are
     bounded by its own length."""
     one = SketchParams(p.k, 1, p.window_size, p.mask, p.block)
-    forward = reads.where(F.col("sequence").isNotNull()).select("read_id", F.lit(True).alias("fw"), "raw_length", F.col("sequence").alias("seq"))
-    found = sketched(forward, one).groupBy("read_id").agg(F.array_sort(F.collect_set(F.struct(F.col("place").alias("pos"), F.lower(F.hex("key")).alias("hash")))).alias("x"))
+    found = sketched(reads, one, both=False).groupBy("read_id").agg(F.array_sort(F.collect_set(F.struct(F.col("place").alias("pos"), F.lower(F.hex("key")).alias("hash")))).alias("x"))
     return found.select("read_id", F.col("x.pos").alias("positions"), F.col("x.hash").alias("hashes"))
