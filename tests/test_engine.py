@@ -524,3 +524,33 @@ def test_packed_reads_equal_column_functions(spark):
     want = df.select("read_id", b.alias("packed"), twobit_decode(b, size).alias("decoded"), twobit_slice(b, size, 7, 30).alias("piece")).collect()
     got = arrow_stages.unpacked_reads(arrow_stages.packed_reads(df), 7, 30).select("read_id", "packed", "decoded", "piece").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 26
+
+
+def test_counted_keys_are_hashed_not_sorted(spark):
+    """Chunks are joined with the counts of their keys without sorting them, and keys of one occurrence are left out before the pairs are made."""
+    c = occurrences(spark, *[(f"k{i % 50 if i < 100 else i}", i, True, 0, 9, 50) for i in range(400)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "ShuffledHashJoin" in plan(index.covered(c)) and "SortMergeJoin" not in plan(index.covered(c))
+        assert "ShuffledHashJoin" in plan(matching.reads_with_match(c)) and "SortMergeJoin" not in plan(matching.reads_with_match(c))
+        found = matching.matches(c)
+        assert found.count() == 50 and index.covered(c).count() == 100 and matching.reads_with_match(c).count() == 100
+        assert sum(spark.read.parquet(*{f.rsplit("/", 1)[0] for f in found.inputFiles()}).count() for _ in range(1)) == 100  # what was written for the join
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keys_of_a_batch_are_counted_where_its_chunks_lie(spark, monkeypatch):
+    r, p = near_copies(spark), SketchParams(7, 2, 10)
+    plans, table = [], stored.key_table
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(stored, "key_table", lambda c: plans.append(plan(table(c))) or table(c))
+    kept = store_index(r, "kept9", p, buckets=3)
+    try:
+        assert len(plans) == 1 and "Exchange hashpartitioning" not in plans[0] and "Bucketed: true" in plans[0]
+        want = sorted(map(tuple, table(sketch.chunks(r, p)).collect()))
+        assert want and sorted(map(tuple, kept.keys(spark).collect())) == want
+        assert len(spark.table("kept9_keys").inputFiles()) <= 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        kept.drop(spark)
