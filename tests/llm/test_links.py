@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_text import brute_components
-from weftline.llm import decontam, mix, pii, quality, tool_calls, url_filter
+from weftline.llm import decontam, jaccard_join, mix, pii, quality, tool_calls, url_filter
 
 
 def judge(url, rules):
@@ -225,3 +225,12 @@ def test_stages_keep_columns_and_take_any_table(spark, small):
     red = {r["doc_id"]: r for r in corpus_pipeline.pii_stage(spark, docs, small).collect()}
     assert red[3]["text"] == "mail <EMAIL> now" and red[3]["n_chars"] == 16
     assert decontam.contaminated(docs, docs.where("n_chars < 100").selectExpr("doc_id as item_id", "text")).count() >= 0 and mix.mixed(docs).count() == 6
+
+
+def test_keys_of_sketches_are_on_disk_once(spark, small, monkeypatch):
+    """The widest table of the near-duplicate stage is written once, and nothing is a copy of it."""
+    wide, stash = [], jaccard_join.stash
+    monkeypatch.setattr(jaccard_join, "stash", lambda df: wide.append("keys" in df.columns) or stash(df))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, small)
+    assert sum(wide) == 1 and 0 < out.count() < docs.count()

@@ -119,26 +119,37 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, keys, fine): size, identity and sketches of each text's set."""
+    """(doc_id, n, keys, fine): size and sketches of each text's set."""
 
     def run(batches):
         for batch in batches:
             for row, data, offsets in textvec.pieces(batch.column("text")):
-                n, h1, h2, keys, fine = [], [], [], [], []
+                n, keys, fine = [], [], []
                 for s in textvec.shingle_sets(data, offsets, width):
                     n.append(len(s))
-                    # identity: two independent 64-bit sums over the set
-                    h1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                    h2.append(int(textvec.mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)))
                     k, f = _sketch(s, percent) if len(s) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
                     keys.append(k)
                     fine.append(f)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, len(n)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(keys), _lists(fine)],
-                    names=["doc_id", "n", "h1", "h2", "keys", "fine"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(n)), pa.array(n, pa.int64()), _lists(keys), _lists(fine)], names=["doc_id", "n", "keys", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, fine array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, keys array<long>, fine array<long>")
+
+
+def identified(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, h1, h2): size and identity of each text's set."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in textvec.pieces(batch.column("text")):
+                n, h1, h2 = [], [], []
+                for s in textvec.shingle_sets(data, offsets, width):
+                    n.append(len(s))
+                    # identity: two independent 64-bit sums over the set
+                    h1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
+                    h2.append(int(textvec.mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(n)), *(pa.array(x, pa.int64()) for x in (n, h1, h2))], names=["doc_id", "n", "h1", "h2"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -181,7 +192,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _exploded(rows: DataFrame, k: int, there) -> DataFrame:
-    """(id, c, key): the keys of pass ``k`` that may be in the filter."""
+    """(id, key): the keys of pass ``k`` that may be in the filter."""
 
     def run(batches):
         for batch in batches:
@@ -199,10 +210,10 @@ def _exploded(rows: DataFrame, k: int, there) -> DataFrame:
             first[1:] = (row[1:] != row[:-1]) | (values[1:] != values[:-1])
             values, row = values[first], row[first]
             for i in range(0, len(values), 1 << 16):
-                part = batch.select(["id", "c"]).take(pa.array(row[i : i + (1 << 16)]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values[i : i + (1 << 16)])], names=["id", "c", "key"])
+                part = batch.column("id").take(pa.array(row[i : i + (1 << 16)]))
+                yield pa.RecordBatch.from_arrays([part, pa.array(values[i : i + (1 << 16)])], names=["id", "key"])
 
-    return rows.select("id", "c", "keys").mapInArrow(run, "id long, c long, key long")
+    return rows.select("id", "keys").mapInArrow(run, "id long, key long")
 
 
 def _may_link(percent: int):
@@ -222,27 +233,26 @@ def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
-    wide = stash(sketched(docs, width, percent))
-    base = stash(wide.select("doc_id", "n", "h1", "h2"))
+    base = stash(identified(docs, width))
     sets = stash(base.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")))
-    # one row for each different set: the row of its smallest doc_id. The others are few or many; a filter of their ids tells most
-    # rows that stay, so that those need not be shuffled
+    # one row for each different set: the row of its smallest doc_id, and only that is sketched. The others are few or many; a filter
+    # of their ids tells most rows that stay, so that those need not be shuffled
     chosen = sets.where("id is not null").select("id").distinct()
     filled = base.where("n > 0 and doc_id is not null").select("doc_id")
     others = stash(filled.join(chosen, filled["doc_id"] == chosen["id"], "left_anti").distinct())
     shared_ids = filled.count() - filled.distinct().count()
-    rows = wide.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "keys", "fine")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     there = members(others, "doc_id")
     if there is None:
         vertex = rows.join(chosen, "id", "left_semi")
     else:
         other = may_be_in(F.col("id"), there)
         vertex = rows.where(~other).union(rows.where(other).join(chosen, "id", "left_semi"))
-    vertex = vertex.select("id", "n", "keys", "fine")
+    vertex = sketched(vertex.withColumnRenamed("id", "doc_id"), width, percent).where("n > 0").withColumnRenamed("doc_id", "id")
     if shared_ids:
         vertex = vertex.distinct()
     vertex = stash(vertex)
-    unstash(wide, others)
+    unstash(others)
     sizes = stash(vertex.select("id", "n", "fine"))
     found = None  # verified links so far
     labels = None
@@ -281,19 +291,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     shared = keep(some.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"))
     examine(some.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")))
     # every part, buckets of several components only
-    labelled = vertex.withColumn("c", F.col("id")) if labels is None else vertex.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
-    labelled = keep(labelled.select("id", "c", "keys"))
-    unstash(vertex)
-    bucket = None
+    bucket, parts = None, []
     for k in range(PASSES):
         own = F.filter("keys", lambda x: F.pmod(F.shiftright(x, BAND_BITS), F.lit(PASSES)) == k)
-        every = labelled.select(F.explode(F.array_distinct(own)).alias("key"))
+        every = vertex.select(F.explode(F.array_distinct(own)).alias("key"))
         # most keys are of one text: only counts of keys are shuffled for them
-        often = keep(every.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
-        part = keep(_exploded(labelled, k, members(often, "key")).join(often, "key").select("key", "id", "c", "g"))
-        bucket = part if bucket is None else bucket.union(part)
-    unstash(labelled)
-    mixed = keep(bucket.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
+        often = stash(every.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
+        parts.append(keep(_exploded(vertex, k, members(often, "key")).join(often, "key").select("key", "id", "g")))
+        unstash(often)
+        bucket = parts[0] if bucket is None else bucket.union(parts[-1])
+    unstash(vertex)
+    labelled = bucket.withColumn("c", F.col("id")) if labels is None else bucket.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
+    mixed = keep(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
     bucket = bucket.join(mixed, "key", "left_semi").select("key", "id", "g")
     # of the keys of a text in a band, its most frequent ones are not needed
     band = F.pmod("key", F.lit(1 << BAND_BITS)).cast("int")
@@ -304,6 +313,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     folded = F.transform(F.sequence(F.lit(0), F.least(F.size("fine"), F.lit(CARRIED)) - 1), lambda i: F.aggregate(F.filter("fine", lambda _, j: j % CARRIED == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
     short = sizes.select("id", "n", F.when(F.size("fine") > 0, folded).otherwise(F.col("fine")).alias("fine"))
     bucket = keep(bucket.join(short, "id").select("key", "id", "n", "fine"))
+    unstash(*parts, mixed)
     hashed = _sets(docs, bucket, width)
     pivots, done = 1, bucket
     while True:
