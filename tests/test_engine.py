@@ -554,3 +554,20 @@ def test_keys_of_a_batch_are_counted_where_its_chunks_lie(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         kept.drop(spark)
+
+
+def test_matched_reads_are_sketched_again_only_if_unknown(spark, monkeypatch):
+    """Ends of a bucket are known from its row of the key table; reads between them are looked up, and reads without a match are not found."""
+    rng = random.Random(8)
+    own = ["".join(rng.choice("ACGT") for _ in range(300)) for _ in range(7)]
+    # read 2 lies between 1 and 3 in every bucket that it is in; 0, 4 and 6 match nothing; 5 repeats its own keys only
+    r, p = sequences(spark, own[0], own[1], own[1], own[1], own[2], own[3] + own[3], own[4], ""), SketchParams(15, 2, 10)
+    calls, keys = [], matching.read_keys
+    monkeypatch.setattr(matching, "read_keys", lambda reads, *more: calls.append((sorted(x["read_id"] for x in reads.collect()), len(more))) or keys(reads, *more))
+    assert sorted(x["read_id"] for x in matching.matched_reads(r, p).collect()) == [1, 2, 3]
+    assert calls == [(list(range(8)), 1), ([0, 2, 4, 5, 6, 7], 2)]  # the second time with a filter
+    c = sketch.chunks(r, p)
+    for j in (JoinParams(), JoinParams(min_coverage=4), JoinParams(max_coverage=2)):
+        assert sorted(map(tuple, matching.matched_reads(r, p, j).collect())) == sorted(map(tuple, matching.reads_with_match(c, j).collect()))
+    assert keys(r, p).columns == ["key", "read_id"] and sorted(map(tuple, keys(r, p).collect())) == sorted(map(tuple, c.select("key", "read_id").collect()))
+    assert matching.matched_reads(r.where("read_id = 0"), p).count() == 0 == matching.matched_reads(r.limit(0), p).count()
