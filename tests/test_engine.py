@@ -571,3 +571,11 @@ def test_matched_reads_are_sketched_again_only_if_unknown(spark, monkeypatch):
         assert sorted(map(tuple, matching.matched_reads(r, p, j).collect())) == sorted(map(tuple, matching.reads_with_match(c, j).collect()))
     assert keys(r, p).columns == ["key", "read_id"] and sorted(map(tuple, keys(r, p).collect())) == sorted(map(tuple, c.select("key", "read_id").collect()))
     assert matching.matched_reads(r.where("read_id = 0"), p).count() == 0 == matching.matched_reads(r.limit(0), p).count()
+
+
+def test_matches_sketch_and_shuffle_chunks_once(spark, monkeypatch):
+    plans, write = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df: plans.append(plan(df)) or write(df))
+    c = sketch.chunks(near_copies(spark), SketchParams(7, 2, 10))
+    assert matching.matches(c).count() > 0
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 and plans[0].count("MapInArrow") == 1
