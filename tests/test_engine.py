@@ -579,3 +579,13 @@ def test_matches_sketch_and_shuffle_chunks_once(spark, monkeypatch):
     c = sketch.chunks(near_copies(spark), SketchParams(7, 2, 10))
     assert matching.matches(c).count() > 0
     assert len(plans) == 1 and plans[0].count("Exchange") == 1 and plans[0].count("MapInArrow") == 1
+
+
+def test_pairs_are_written_once_and_both_orders_share_a_shuffle(spark, monkeypatch):
+    tables, write = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df: tables.append(write(df)) or tables[-1])
+    c = occurrences(spark, *[("k", i, True, 0, 9, 50) for i in range(9)])
+    got = matching.pair_sets(c, size=4)
+    assert [tuple(x) for x in tables[-1].where("left > right").collect()] == [] and tables[-1].count() == 36
+    assert plan(got).count("Exchange") == 1
+    assert {x["read_id"]: x["n_partners"] for x in got.collect()} == dict.fromkeys(range(9), 8)
