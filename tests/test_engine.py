@@ -589,3 +589,23 @@ def test_pairs_are_written_once_and_both_orders_share_a_shuffle(spark, monkeypat
     assert [tuple(x) for x in tables[-1].where("left > right").collect()] == [] and tables[-1].count() == 36
     assert plan(got).count("Exchange") == 1
     assert {x["read_id"]: x["n_partners"] for x in got.collect()} == dict.fromkeys(range(9), 8)
+
+
+def test_queries_of_a_kept_index_are_filtered_where_they_are_sketched(spark, monkeypatch):
+    """Chunks with keys that no indexed read has do not leave the task; reads that are added later are found all the same."""
+    r, p = near_copies(spark), SketchParams(7, 2, 10)
+    filters, make = [], stored.chunks
+    monkeypatch.setattr(stored, "chunks", lambda reads, p, keep=None: filters.append(keep) or make(reads, p, keep=keep))
+    kept = store_index(r.where("read_id < 2"), "kept10", p)
+    try:
+        for new in ("read_id < 0", "read_id >= 2"):
+            kept.append(r.where(new))
+            there = r.where(f"read_id < 2 or {new}")
+            want = sorted(map(tuple, report.query_overlaps(r, there, p).collect()))
+            filters.clear()
+            assert want and sorted(map(tuple, kept.overlaps(r).collect())) == want
+            assert len(filters) == 1 and filters[0] is not None
+            assert sketch.chunks(r, p, keep=filters[0]).count() <= sketch.chunks(r, p).count()
+        assert len(kept._filters) == 1  # of the present state only
+    finally:
+        kept.drop(spark)
