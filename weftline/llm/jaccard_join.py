@@ -118,11 +118,14 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, keys, fine): size and sketches of each text's set."""
+def sketched(docs: DataFrame, width: int, percent: int, without=None) -> DataFrame:
+    """(doc_id, n, keys, fine): size and sketches of each text's set. ``without``: a filter of ids, and only rows that cannot be in it are taken;
+    it is asked in the same Python process, as a second one would hold memory beside it."""
 
     def run(batches):
         for batch in batches:
+            if without is not None:
+                batch = batch.filter(pa.array(~may_hold(without.value, batch.column("doc_id").to_numpy())))
             for row, data, offsets in textvec.pieces(batch.column("text")):
                 n, keys, fine = [], [], []
                 for s in textvec.shingle_sets(data, offsets, width):
@@ -243,12 +246,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     shared_ids = filled.count() - filled.distinct().count()
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     there = members(others, "doc_id")
-    if there is None:
-        vertex = rows.join(chosen, "id", "left_semi")
-    else:
-        other = may_be_in(F.col("id"), there)
-        vertex = rows.where(~other).union(rows.where(other).join(chosen, "id", "left_semi"))
-    vertex = sketched(vertex.withColumnRenamed("id", "doc_id"), width, percent).where("n > 0").withColumnRenamed("doc_id", "id")
+    some = (rows if there is None else rows.where(may_be_in(F.col("id"), there))).join(chosen, "id", "left_semi")
+    vertex = sketched(some.withColumnRenamed("id", "doc_id"), width, percent)
+    if there is not None:
+        vertex = vertex.union(sketched(rows.withColumnRenamed("id", "doc_id"), width, percent, there))
+    vertex = vertex.where("n > 0").withColumnRenamed("doc_id", "id")
     if shared_ids:
         vertex = vertex.distinct()
     vertex = stash(vertex)
