@@ -52,6 +52,10 @@ FIRST, PIVOTS = 4, 16
 PASSES = 4
 #: Words of 64 bits that a bucket row carries of a bit sketch; longer sketches are folded to that, and compared whole later.
 CARRIED = 8
+#: A filter of fewer bits for a number lets more than one in twenty others through, and is followed by the exact join.
+CROWDED = 8
+#: Rows of keys that a task holds in arrays at a time.
+KEY_ROWS = 4096
 
 
 @lru_cache(maxsize=65536)
@@ -157,19 +161,26 @@ def identified(docs: DataFrame, width: int) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """The hashed sets of some vertices (id): each text is hashed once and written, however many pairs it is in. A filter of the ids
-    keeps most other texts out of the shuffle."""
+    is asked in the process that hashes, so texts are not shuffled. The few others that it lets through have sets here too, which
+    pairs never ask for; a filter that is too full to tell most of them is followed by the exact join."""
     ids = stash(ids.select("id").distinct())
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     there = members(ids, "id")
-    rows = (rows if there is None else rows.where(may_be_in(F.col("id"), there))).join(ids, "id", "left_semi")
+    if there is None:
+        rows = rows.join(ids, "id", "left_semi")
 
     def run(batches):
         for batch in batches:
+            if there is not None:
+                batch = batch.filter(pa.array(may_hold(there.value, batch.column("id").to_numpy())))
             for row, data, offsets in textvec.pieces(batch.column("text")):
                 sets = list(textvec.shingle_sets(data, offsets, width))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(sets)), _lists(sets)], names=["id", "s"])
 
-    out = stash(rows.mapInArrow(run, "id long, s array<long>"))
+    found = rows.mapInArrow(run, "id long, s array<long>")
+    if there is not None and 64 * len(there.value) < CROWDED * ids.count():
+        found = found.join(ids, "id", "left_semi")
+    out = stash(found)
     unstash(ids)
     return out
 
@@ -198,7 +209,7 @@ def _exploded(rows: DataFrame, k: int, there) -> DataFrame:
     """(id, key): the keys of pass ``k`` that may be in the filter."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, KEY_ROWS) for whole in batches for i in range(0, len(whole), KEY_ROWS)):
             keys, at = batch.column("keys"), batch.column("keys").offsets.to_numpy()
             values = keys.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
             row = np.repeat(np.arange(len(batch)), np.diff(at))
@@ -246,7 +257,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     shared_ids = filled.count() - filled.distinct().count()
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     there = members(others, "doc_id")
-    some = (rows if there is None else rows.where(may_be_in(F.col("id"), there))).join(chosen, "id", "left_semi")
+    # these few texts are written before they are sketched: a filter in Python and a sketch in one task would be two processes
+    some = rows.join(chosen, "id", "left_semi") if there is None else stash(rows.where(may_be_in(F.col("id"), there)).join(chosen, "id", "left_semi"))
     vertex = sketched(some.withColumnRenamed("id", "doc_id"), width, percent)
     if there is not None:
         vertex = vertex.union(sketched(rows.withColumnRenamed("id", "doc_id"), width, percent, there))
@@ -254,7 +266,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     if shared_ids:
         vertex = vertex.distinct()
     vertex = stash(vertex)
-    unstash(others)
+    unstash(others, some)
     sizes = stash(vertex.select("id", "n", "fine"))
     found = None  # verified links so far
     labels = None

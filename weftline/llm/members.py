@@ -2,7 +2,7 @@
 
 Each task sets two bits for each of its numbers; the words of all tasks are put together by word. The filter has ``BITS_EACH`` bits for a number, rounded up to a power
 of two, and ``MOST_BITS`` at most (16 MB), which bounds what goes to the driver and to the tasks whatever the table's size. It only says
-"cannot be there" or "may be there", so the exact join always follows and results do not depend on it. A table of more numbers than
+"cannot be there" or "may be there", so an exact join follows, at once or in a later step, and results do not depend on it. A table of more numbers than
 ``MOST_BITS`` has no filter, as most numbers would pass.
 
 Nulls of the table set nothing, and a null that is asked for cannot be there. Repeated numbers and ties set the same bits again. An empty table
