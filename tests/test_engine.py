@@ -11,8 +11,9 @@ from weftline import cli, shared
 from weftline.config import JoinParams, SketchParams
 from weftline.functions import rolling
 from weftline.functions.sequence import twobit_decode, twobit_encode, twobit_slice
-from weftline.operators import arrow_sketch, arrow_stages, bloom, index, matching, report, sketch, stored
+from weftline.operators import arrow_sketch, arrow_stages, bloom, cells, index, matching, report, sketch, stored
 from weftline.operators.stored import store_index
+from weftline.plans import registry
 from weftline.sources import reads as sources
 from weftline.streaming import query_mode
 from weftline.streaming.query_mode import stream_overlaps
@@ -609,3 +610,49 @@ def test_queries_of_a_kept_index_are_filtered_where_they_are_sketched(spark, mon
         assert len(kept._filters) == 1  # of the present state only
     finally:
         kept.drop(spark)
+
+
+@pytest.mark.parametrize("setting", [{}, {"SIZE": 60, "MATCHES": 50, "LEAST": 4}, {"SIZE": 1000, "READS": 3, "MATCHES": 7, "LEAST": 1}])
+def test_cells_equal_joined_matches(spark, monkeypatch, setting):
+    """Blocks of all sizes, reads whose matches come in several parts, keys over several batches, and all bounds."""
+    rng = random.Random(1)
+    rows = {(f"{'hot' if i % 3 else i % 40}".encode(), i % 25, bool(i % 2), a := rng.randrange(90), a + rng.randrange(30), 500) for i in range(400)}
+    c = spark.createDataFrame(sorted(rows), "key binary, read_id long, fw boolean, start long, end long, raw_length long")
+    names = spark.range(30).selectExpr("id as read_id", "concat('r', id) as name")
+    for name, value in setting.items():
+        monkeypatch.setattr(cells, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    try:
+        for j in (JoinParams(max_length_difference=20, chain_gap=3), JoinParams(max_coverage=60, min_coverage=3)):
+            m, b = matching.matches(c, j), cells.packed(c, j, names)
+            assert not setting or b.count() > 4
+            chained = matching.chains(matching.normalised(m), j)
+            assert same(cells.chains(b, j), chained) and same(cells.named_chains(b, j), report.named(chained, names, names))
+            assert same(cells.read_pairs(b, j), matching.read_pairs(m)) and same(cells.pair_sets(b, j, 4), matching.pair_sets(c, j, 4))
+            assert tuple(cells.totals(b, j).first()) == (matching.read_pairs(m).count(), chained.count(), m.count()) and m.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cells.read_pairs(cells.packed(c.limit(0))).count() == 0 and tuple(cells.totals(cells.packed(c.limit(0))).first()) == (0, 0, 0)
+
+
+def shuffled(spark, monkeypatch, query):
+    """Exchanges of the plan of a registered query's result, and the rows of the tables that it writes, by 100 reads with one text and by 20."""
+    out = []
+    for n in (100, 20):
+        same = "".join(random.Random(4).choice("ACGT") for _ in range(400))
+        reads = spark.range(n).selectExpr("id as read_id", "concat('r', id) as name", f"{len(same)}L as raw_length", f"'{same}' as sequence")
+        tables, write = [], shared.written
+        for module in (cells, matching, report):
+            monkeypatch.setattr(module, "written", lambda df: tables.append(write(df).count()) or write(df))  # noqa: B023
+        monkeypatch.setattr(registry, "reads", lambda *a: reads)  # noqa: B023
+        found = registry.QUERIES[query](spark, "")
+        out.append((plan(found).count("Exchange hash"), max(tables), found.count()))
+        monkeypatch.undo()
+    return out
+
+
+@pytest.mark.parametrize("query", ["q_chains"])
+def test_pairs_are_made_without_a_shuffle(spark, monkeypatch, query):
+    (shuffles, more, pairs), (_, less, few) = shuffled(spark, monkeypatch, query)
+    assert shuffles == 0 and more <= 5 * less + 5 and pairs >= 24 * few
