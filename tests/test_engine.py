@@ -652,7 +652,7 @@ def shuffled(spark, monkeypatch, query):
     return out
 
 
-@pytest.mark.parametrize("query", ["q_chains"])
+@pytest.mark.parametrize("query", ["q_chains", "q_overlaps"])
 def test_pairs_are_made_without_a_shuffle(spark, monkeypatch, query):
     (shuffles, more, pairs), (_, less, few) = shuffled(spark, monkeypatch, query)
     assert shuffles == 0 and more <= 5 * less + 5 and pairs >= 24 * few
