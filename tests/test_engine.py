@@ -656,3 +656,8 @@ def shuffled(spark, monkeypatch, query):
 def test_pairs_are_made_without_a_shuffle(spark, monkeypatch, query):
     (shuffles, more, pairs), (_, less, few) = shuffled(spark, monkeypatch, query)
     assert shuffles == 0 and more <= 5 * less + 5 and pairs >= 24 * few
+
+
+def test_pair_sets_shuffle_lists_of_partners(spark, monkeypatch):
+    (shuffles, more, _), (_, less, _) = shuffled(spark, monkeypatch, "q_pair_sets")
+    assert shuffles == 1 and more <= 5 * less + 5
