@@ -652,6 +652,11 @@ def shuffled(spark, monkeypatch, query):
     return out
 
 
+def test_counters_write_nothing_that_grows_with_pairs(spark, monkeypatch):
+    (_, more, _), (_, less, _) = shuffled(spark, monkeypatch, "q_stats")
+    assert more <= 5 * less + 5
+
+
 @pytest.mark.parametrize("query", ["q_chains", "q_overlaps"])
 def test_pairs_are_made_without_a_shuffle(spark, monkeypatch, query):
     (shuffles, more, pairs), (_, less, few) = shuffled(spark, monkeypatch, query)

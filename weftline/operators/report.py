@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.config import JoinParams, SketchParams
 from weftline.shared import outlives, scope, written
 
+from . import cells
 from .bloom import key_filter
 from .index import key_table, within
 from .matching import chains, matches, normalised, query_matches, reads_with_match
@@ -81,7 +82,12 @@ COUNTERS = ["number_reads", "distinct_chunks", "read_chunk_matches", "singleton_
 
 
 def stats(reads: DataFrame, p: SketchParams = SketchParams(), j: JoinParams = JoinParams()) -> DataFrame:  # noqa: B008
-    """The nine counters of an all-vs-all run, one row; nothing that the run has written stays."""
+    """The nine counters of an all-vs-all run, one row; nothing that the run has written stays. Chains are counted in the cells where they
+    are made, so what is written grows with the reads and not with their pairs."""
     with scope():
-        counters = run(reads, p, j).counters
+        seen: dict[str, int] = {}
+        blocks = cells.packed(chunks(reads, p), j, seen=seen)
+        matched = F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)) / 8
+        parts = [reads.agg(F.count("*").alias("number_reads")), blocks.agg(matched.cast("long").alias("reads_with_match")), cells.totals(blocks, j)]
+        counters = {k: int(v) for x in (seen, *(x.first().asDict() for x in parts)) for k, v in x.items()}
     return reads.sparkSession.createDataFrame([tuple(counters[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
