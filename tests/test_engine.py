@@ -657,7 +657,7 @@ def test_counters_write_nothing_that_grows_with_pairs(spark, monkeypatch):
     assert more <= 5 * less + 5
 
 
-@pytest.mark.parametrize("query", ["q_chains", "q_overlaps"])
+@pytest.mark.parametrize("query", ["q_read_pairs", "q_chains", "q_overlaps"])
 def test_pairs_are_made_without_a_shuffle(spark, monkeypatch, query):
     (shuffles, more, pairs), (_, less, few) = shuffled(spark, monkeypatch, query)
     assert shuffles == 0 and more <= 5 * less + 5 and pairs >= 24 * few
