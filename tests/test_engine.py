@@ -666,3 +666,18 @@ def test_pairs_are_made_without_a_shuffle(spark, monkeypatch, query):
 def test_pair_sets_shuffle_lists_of_partners(spark, monkeypatch):
     (shuffles, more, _), (_, less, _) = shuffled(spark, monkeypatch, "q_pair_sets")
     assert shuffles == 1 and more <= 5 * less + 5
+
+
+def test_masked_matches_sketch_and_shuffle_chunks_once(spark, monkeypatch):
+    rng = random.Random(6)
+    base, tail, other = ("".join(rng.choice("ACGT") for _ in range(400)) for _ in range(3))
+    # keys of the first half of read 0 are in a denied read, those that reads 3 and 4 share in no allowed one
+    r, p, plans, write = sequences(spark, base, base, base[:200] + tail, other, other), SketchParams(7, 2, 10), [], matching.written
+    c = sketch.chunks(r, p)
+    allow, deny = (spark.createDataFrame([(i,) for i in x], "read_id long") for x in ((0, 0, 2, 999), (2, 2)))
+    monkeypatch.setattr(matching, "written", lambda df: plans.append(plan(df)) or write(df))
+    got = sorted(map(tuple, matching.masked_matches(r, allow, deny, p).collect()))
+    assert len(plans) == 1 and plans[0].count("MapInArrow") == 1 and plans[0].count("Exchange hashpartitioning(key") == 1
+    keys = lambda of: c.join(of, "read_id", "left_semi").select("key").distinct()
+    assert got and got == sorted(map(tuple, matching.matches(index.masked_keys(c, keys(allow), keys(deny))).collect()))
+    assert len(got) < matching.matches(c).count()
