@@ -681,3 +681,17 @@ def test_masked_matches_sketch_and_shuffle_chunks_once(spark, monkeypatch):
     keys = lambda of: c.join(of, "read_id", "left_semi").select("key").distinct()
     assert got and got == sorted(map(tuple, matching.matches(index.masked_keys(c, keys(allow), keys(deny))).collect()))
     assert len(got) < matching.matches(c).count()
+
+
+def test_appending_leaves_no_shuffle_files_and_no_index(spark, tmp_path, monkeypatch):
+    r, seen, count = near_copies(spark), [], stored.key_table
+    blocks = lambda: sum(1 for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x)
+    monkeypatch.setattr(stored, "key_table", lambda c: seen.append(blocks()) or count(c))
+    monkeypatch.setattr(registry, "reads", lambda *a: r)
+    monkeypatch.setattr(registry, "_table", lambda *a: spark.createDataFrame([(0,)], "doc_id long"))
+    before, left = set(shared._paths), blocks()
+    got = registry.QUERIES["q_index_append"](spark, "")
+    assert len(seen) == 2 and max(seen) <= left  # after the chunks of each batch are written
+    assert len(set(shared._paths) - before) == 1  # the result
+    want = index.key_table(sketch.chunks(r)).withColumn("key", F.lower(F.hex("key")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
